@@ -130,6 +130,7 @@ def remove_repeated_passages(docs: DataFrame, length: int = 35, seed: int = SEED
     keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("fp"), "text")
     found = document_runs(keyed.select("id", "fp", "text"), length, seed)
     paths = found.groupBy("minimizer").agg(F.count(F.lit(1)).alias("c"), F.min("run").alias("a"), F.max("run").alias("z")).where("c > 1").select("minimizer", (F.col("a") != F.col("z")).alias("branches"))
+    paths = store(paths, "minimizers")  # as a table, so that a frequent minimizer is split in the join
     repeated = store(found.join(paths, "minimizer").select("id", "fp", "at", "n", "run", "branches"), "paths")
     here = F.struct("id", "fp", "at")
     whole = repeated.where("branches").groupBy("run").agg(F.count(F.lit(1)).alias("times"), F.min(here).alias("one"))
