@@ -174,21 +174,19 @@ def _sharing(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, "sig long, lead long, node long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of nodes, those whose sets are similar enough; texts has one text per node."""
+def _compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """Pairs (a, b) of nodes with both, the size of the intersection of their sets, and all, that of the union; texts has one text per node."""
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, "text_a", 1 << 20):
-            keep = []
+            both, all_ = [], []
             for x, y in zip(shingle_sets(b.column("text_a"), k), shingle_sets(b.column("text_b"), k), strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            m = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(m), b.column("b").filter(m)], names=["a", "b"])
+                both.append(len(np.intersect1d(x, y, assume_unique=True)))
+                all_.append(len(x) + len(y) - both[-1])
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(both, pa.int64()), pa.array(all_, pa.int64())], names=["a", "b", "both", "all"])
 
-    a, b = (texts.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
-    both = pairs.join(a.drop("text_a"), "a").join(b.drop("text_b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b")
-    return both.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
+    a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long, both long, all long")
 
 
 def near_duplicates(docs: DataFrame, k: int, percent: int, split_: int = 2, sub: int = 3) -> DataFrame:
@@ -204,7 +202,7 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, split_: int = 2, sub:
     """
     docs = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("fp"), "text")
     sets = store(_sets(docs, k), "sets")
-    rows = _signature_rows(docs.select("text"), k, percent, split_, sub).repartitionByRange("sig", "node").sortWithinPartitions("sig", "node")
+    rows = store(_signature_rows(docs.select("text"), k, percent, split_, sub), "signatures").repartitionByRange("sig", "node").sortWithinPartitions("sig", "node")
     shared = store(_sharing(rows), "shared")
     edge = shared.where("lead IS NULL").select("sig", "node").distinct()
     lead = edge.groupBy("sig").agg(F.min("node").alias("lead"))
@@ -212,22 +210,29 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, split_: int = 2, sub:
     pairs = shared.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
     nodes = shared.select("node").union(shared.select("lead")).distinct()
     one = sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("fp", "doc_id", "n_shingles")).alias("r")).select("node", "r.*")
-    one = one.select("node", "fp", F.col("n_shingles").alias("n"))
-    texts = store(docs.select("fp", "text").join(one, "fp").groupBy("node", "n").agg(F.first("text").alias("text")), "texts")
-    links = store(_verified(pairs, texts, k, percent), "links")
+    texts = store(docs.select("fp", "text").join(one, "fp").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    linked = F.expr(f"100 * both >= {percent} * all")
+    compared = store(_compared(pairs, texts, k), "compared")
+    links = compared.where(linked).select("a", "b")
     found = store(components(links), "components")
-    more = _open_pairs(shared, found)
+    more = _open_pairs(shared, found, compared, percent)
     if not more.isEmpty():
-        links = store(links.unionByName(_verified(more, texts, k, percent)), "links")
+        links = links.unionByName(_compared(more, texts, k).where(linked).select("a", "b"))
         found = store(components(links), "components")
     rows = sets.join(found, "node", "left").withColumn("root", F.coalesce("root", F.when(F.col("n_shingles") > 0, F.col("node"))))
     least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "root", "left").select("doc_id", "fp", "n_shingles", F.col("node").alias("set_id"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _open_pairs(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs that share a signature, are in different components and were not compared with each other."""
+def _open_pairs(shared: DataFrame, found: DataFrame, compared: DataFrame, percent: int) -> DataFrame:
+    """Pairs that share a signature, are in different components and were not compared with each other.
+
+    Jaccard distance is a metric: two sets whose distances to the same lead differ by more than a link allows are not linked, so
+    such pairs are left out by the join's condition.
+    """
     root = found.select(F.col("node").alias("n_"), F.col("root").alias("r_"))
+    far = compared.select("a", "b", (1 - F.col("both") / F.col("all")).alias("far"))
+    far = far.select(F.col("a").alias("l_"), F.col("b").alias("m_"), "far").unionByName(far.select(F.col("b").alias("l_"), F.col("a").alias("m_"), "far"))
 
     def rooted(df: DataFrame, column: str, to: str) -> DataFrame:
         return df.join(root, F.col(column) == F.col("n_"), "left").withColumn(to, F.coalesce("r_", F.col(column))).drop("n_", "r_")
@@ -235,8 +240,11 @@ def _open_pairs(shared: DataFrame, found: DataFrame) -> DataFrame:
     rows = rooted(rooted(shared, "lead", "lead_root"), "node", "root")
     groups = rows.groupBy("sig").agg(F.min(F.struct("lead", "lead_root"))["lead_root"].alias("first_root"), F.min("root").alias("low"), F.max("root").alias("high"))
     open_ = groups.where("low <> first_root OR high <> first_root").select("sig", "first_root")
-    rest = store(rows.select("sig", "node", "root").join(open_, "sig"), "open")
-    x = rest.where("root <> first_root").select("sig", F.col("node").alias("a"), F.col("root").alias("ra"))
-    y = rest.select("sig", F.col("node").alias("b"), F.col("root").alias("rb"))
-    pairs = x.join(y, "sig").where("ra <> rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return store(pairs, "pairs")
+    rest = rows.select("sig", "lead", "node", "root").join(open_, "sig")
+    rest = store(rest.join(far, (F.col("lead") == F.col("l_")) & (F.col("node") == F.col("m_")), "left").drop("l_", "m_"), "open")
+    x, y = (rest.where("root <> first_root") if i == "a" else rest for i in "ab")
+    x = x.select("sig", F.col("lead").alias("la"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("far").alias("fa"))
+    y = y.select(F.col("sig").alias("sig_"), F.col("lead").alias("lb"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("far").alias("fb"))
+    apart = (F.col("la") == F.col("lb")) & (F.abs(F.col("fa") - F.col("fb")) > 1 - percent / 100 + 1e-9)
+    pairs = x.join(y, (F.col("sig") == F.col("sig_")) & (F.col("ra") != F.col("rb")) & ~apart)
+    return store(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
