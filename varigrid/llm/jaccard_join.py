@@ -189,7 +189,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long, both long, all long")
 
 
-def near_duplicates(docs: DataFrame, k: int, percent: int, split_: int = 2, sub: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int, percent: int, split_: int = 2, sub: int = 3, rounds: int = 1) -> DataFrame:
     """Groups of documents linked by a Jaccard similarity of their k-word shingle sets of ``percent`` percent or more.
 
     Returns for every row of ``docs`` (doc_id, text): doc_id, fp (hash of the text), n_shingles (size of its set; A-Z
@@ -197,8 +197,9 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, split_: int = 2, sub:
     included). A null, empty or blank text has an empty set and is linked with nothing, so component_id is its own
     doc_id. Rows that repeat a doc_id count as documents of their own; a null doc_id is never the smallest, so only
     a component without any other doc_id gets null. Sets are told apart by 64-bit hashes. Links between documents of one
-    component are not all looked at: a group that shares a signature is first compared with one of its sets, and
-    only sets that are still in different components are then compared with each other.
+    component are not all looked at: a group that shares a signature is first compared with one of its sets, then, for
+    ``rounds`` rounds, with other sets drawn for each signature; only sets that are still in different components are
+    at last compared with each other.
     """
     docs = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("fp"), "text")
     sets = store(_sets(docs, k), "sets")
@@ -215,29 +216,46 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, split_: int = 2, sub:
     compared = store(_compared(pairs, texts, k), "compared")
     links = compared.where(linked).select("a", "b")
     found = store(components(links), "components")
+    for turn in range(rounds):
+        more = _next_pairs(shared, found, turn)
+        if more.isEmpty():
+            break
+        compared = store(compared.unionByName(_compared(more, texts, k)), "compared")
+        found = store(components(compared.where(linked).select("a", "b")), "components")
     more = _open_pairs(shared, found, compared, percent)
     if not more.isEmpty():
-        links = links.unionByName(_compared(more, texts, k).where(linked).select("a", "b"))
+        links = compared.where(linked).select("a", "b").unionByName(_compared(more, texts, k).where(linked).select("a", "b"))
         found = store(components(links), "components")
     rows = sets.join(found, "node", "left").withColumn("root", F.coalesce("root", F.when(F.col("n_shingles") > 0, F.col("node"))))
     least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "root", "left").select("doc_id", "fp", "n_shingles", F.col("node").alias("set_id"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _rooted(df: DataFrame, found: DataFrame, column: str, to: str) -> DataFrame:
+    root = found.select(F.col("node").alias("n_"), F.col("root").alias("r_"))
+    return df.join(root, F.col(column) == F.col("n_"), "left").withColumn(to, F.coalesce("r_", F.col(column))).drop("n_", "r_")
+
+
+def _next_pairs(shared: DataFrame, found: DataFrame, turn: int) -> DataFrame:
+    """For each signature whose sets are in several components, pairs of one drawn set with those of other components."""
+    members = shared.select("sig", "node").unionByName(shared.select("sig", F.col("lead").alias("node"))).distinct()
+    rows = store(_rooted(members, found, "node", "root"), "members")
+    drawn = F.min_by(F.struct("node", "root"), F.xxhash64(F.lit(turn), "sig", "node"))
+    groups = rows.groupBy("sig").agg(drawn.alias("d"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig", "d")
+    pairs = rows.join(groups, "sig").where(F.col("root") != F.col("d.root")).select(F.least("node", "d.node").alias("a"), F.greatest("node", "d.node").alias("b"))
+    return store(pairs.distinct(), "pairs")
+
+
 def _open_pairs(shared: DataFrame, found: DataFrame, compared: DataFrame, percent: int) -> DataFrame:
     """Pairs that share a signature, are in different components and were not compared with each other.
 
     Jaccard distance is a metric: two sets whose distances to the same lead differ by more than a link allows are not linked, so
     such pairs are left out by the join's condition.
     """
-    root = found.select(F.col("node").alias("n_"), F.col("root").alias("r_"))
     far = compared.select("a", "b", (1 - F.col("both") / F.col("all")).alias("far"))
     far = far.select(F.col("a").alias("l_"), F.col("b").alias("m_"), "far").unionByName(far.select(F.col("b").alias("l_"), F.col("a").alias("m_"), "far"))
 
-    def rooted(df: DataFrame, column: str, to: str) -> DataFrame:
-        return df.join(root, F.col(column) == F.col("n_"), "left").withColumn(to, F.coalesce("r_", F.col(column))).drop("n_", "r_")
-
-    rows = rooted(rooted(shared, "lead", "lead_root"), "node", "root")
+    rows = _rooted(_rooted(shared, found, "lead", "lead_root"), found, "node", "root")
     groups = rows.groupBy("sig").agg(F.min(F.struct("lead", "lead_root"))["lead_root"].alias("first_root"), F.min("root").alias("low"), F.max("root").alias("high"))
     open_ = groups.where("low <> first_root OR high <> first_root").select("sig", "first_root")
     rest = rows.select("sig", "lead", "node", "root").join(open_, "sig")
