@@ -9,7 +9,9 @@ Leaves with too few documents are left out early: no line there can recur.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varigrid.llm.common import SPACE, WORD, store
@@ -17,12 +19,18 @@ from varigrid.llm.common import SPACE, WORD, store
 FIELD = "<*>"
 
 
+def _words(line: Column) -> Column:
+    """Split at white space; a plain split where there are only spaces, which is most lines."""
+    other = reduce(Column.__or__, (F.contains(line, F.lit(c)) for c in "\t\x0b\x0c\r"))
+    return F.when(other, F.split(line, SPACE)).otherwise(F.split(line, " "))
+
+
 def _lines(docs: DataFrame, depth: int) -> DataFrame:
     """One row per line: id, fp, pos, n (words), leaf, h (hash of the masked words), words."""
     rows = docs.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("fp"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).where("line IS NOT NULL")
     digit = WORD.replace("+", "*") + "[0-9]" + WORD.replace("+", "*")
     masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", digit, FIELD)).otherwise(F.col("line"))
-    rows = rows.select("id", "fp", "pos", F.filter(F.split(masked, SPACE), lambda x: x != "").alias("words")).withColumn("n", F.size("words"))
+    rows = rows.select("id", "fp", "pos", F.filter(_words(masked), lambda x: x != "").alias("words")).withColumn("n", F.size("words"))
     leaf = F.xxhash64("n", *(F.get("words", F.lit(i)) for i in range(depth)))
     return rows.select("id", "fp", "pos", "n", leaf.alias("leaf"), F.xxhash64(F.array_join("words", " ")).alias("h"), "words")
 
