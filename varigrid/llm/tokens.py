@@ -1,7 +1,7 @@
 """Token ids of whole texts by a public tokenizer, on the executors.
 
 Texts are cut before single spaces between other characters, where a byte-level BPE never joins; each distinct piece is
-encoded once per task and remembered, up to a fixed number. A text with other white space at such a place is encoded whole.
+encoded once per worker and remembered, up to a fixed number. A text with other white space at such a place is encoded whole.
 """
 
 from __future__ import annotations
@@ -14,21 +14,22 @@ import pyarrow as pa
 
 #: The id that ends a document.
 END = 2
-_REMEMBERED = 1 << 18
+_REMEMBERED = 1 << 19
 
 
 @lru_cache(maxsize=1)
-def _tokenizer(path: str):
+def _tokenizer(path: str) -> tuple:
+    """The tokenizer and the pieces that this worker process has encoded, for all its tasks."""
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    return Tokenizer.from_file(path), {}
 
 
 class Encoder:
     """Encodes texts with the tokenizer in the file ``path``, without its special tokens around the text."""
 
     def __init__(self, path: str) -> None:
-        self.tokenizer, self.known = _tokenizer(path), {}
+        self.tokenizer, self.known = _tokenizer(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
