@@ -32,8 +32,12 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 MIN_QTY = BranchPoint("MinQty", {"lo": 1, "hi": 25})
 MIN_DISC = BranchPoint("MinDisc", {"d0": 0.0, "d5": 0.05, "d9": 0.09})
-CENTS = F.floor(F.col("l_extendedprice") * 100).cast("long")
-SUMS = {"n_lines": F.lit(1).cast("long"), "revenue_cents": CENTS}
+
+
+def _sums() -> dict:
+    return {"n_lines": F.lit(1).cast("long"), "revenue_cents": F.floor(F.col("l_extendedprice") * 100).cast("long")}
+
+
 _GRID = "(SELECT * FROM (VALUES ('lo', 1), ('hi', 25)) q(bp_MinQty, q), (VALUES ('d0', 0.0::DOUBLE), ('d5', 0.05::DOUBLE), ('d9', 0.09::DOUBLE)) d(bp_MinDisc, d))"
 _NAME = "coalesce(nullif(concat_ws('+', CASE WHEN bp_MinDisc <> 'd0' THEN 'MinDisc.' || bp_MinDisc END, CASE WHEN bp_MinQty <> 'lo' THEN 'MinQty.' || bp_MinQty END), ''), 'Baseline.baseline')"
 _SWEEP = f"SELECT bp_MinQty, bp_MinDisc, {_NAME} AS realization, count(*) AS n_lines, sum(floor(l_extendedprice * 100)::BIGINT)::BIGINT AS revenue_cents FROM lineitem JOIN {_GRID} g ON l_quantity >= q AND l_discount >= d"
@@ -48,7 +52,7 @@ def sweep_one_off(spark, d):
     """Line count and revenue with one threshold varied at a time."""
     points = [MIN_QTY, MIN_DISC]
     holds = lambda: (F.col("l_quantity") >= F.col("val_MinQty")) & (F.col("l_discount") >= F.col("val_MinDisc"))
-    aggs = [F.sum(v).alias(n) for n, v in SUMS.items()]
+    aggs = [F.sum(v).alias(n) for n, v in _sums().items()]
     return _named(sweep.sweep(t(spark, d, "lineitem"), points, plans.one_off(points), holds, aggs), *points)
 
 
@@ -57,7 +61,7 @@ def sweep_cross(spark, d):
     """All combinations, from one pass that reduces lines to threshold cells."""
     points = [MIN_QTY, MIN_DISC]
     on = {"MinQty": "l_quantity", "MinDisc": "l_discount"}
-    return _named(sweep.sweep_thresholds(t(spark, d, "lineitem"), points, plans.cross(points), on, SUMS), *points)
+    return _named(sweep.sweep_thresholds(t(spark, d, "lineitem"), points, plans.cross(points), on, _sums()), *points)
 
 
 @query("SELECT bp_MinDisc, count(*) AS n_lines FROM lineitem JOIN (VALUES ('0', 0.0::DOUBLE), ('0.02', 0.02::DOUBLE), ('0.04', 0.04::DOUBLE), ('0.06', 0.06::DOUBLE), ('0.08', 0.08::DOUBLE), ('0.1', 0.1::DOUBLE)) g(bp_MinDisc, d) ON l_discount >= d GROUP BY ALL")
