@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from varigrid.llm import jaccard_join, line_templates, mixing, order_minhash, packing, quality_rules, substring_dedup, token_files, url_filter, warc
 from varigrid.llm.common import table
+from varigrid.llm.sql import ORACLES
 
 TOKENIZER = "byte_bpe_50k.json"
 RULES = [
@@ -70,4 +71,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op3_jaccard_join, op4_token_files, op5_line_templates, op6_warc, op7_packing, op8_order_minhash, op9_mixing, op10_substring_dedup)}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
