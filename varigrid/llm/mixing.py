@@ -64,7 +64,7 @@ def apportion(parties: DataFrame, group: str, party: str, votes: str, seats: str
     seat = x.where((F.col("d_") != 0) & (reach > 0)).select(group, party, "d_", votes, F.explode(steps).alias("n_"))
     quotient = F.col(votes) / (2 * F.col("n_") - 1)
     sign = F.signum("d_")
-    order = Window.partitionBy(group).orderBy(F.desc(quotient * sign), F.asc_nulls_last(party), "n_")
+    order = Window.partitionBy(group).orderBy(F.desc(quotient * sign), F.asc_nulls_last(F.when(sign > 0, F.col(party))), F.desc_nulls_first(F.when(sign < 0, F.col(party))), F.col("n_") * sign)
     change = seat.where(F.col(votes) > 0).withColumn("r_", F.row_number().over(order)).where(F.col("r_") <= F.abs("d_")).groupBy(group, F.col(party).alias("p_")).agg(F.sum(sign).cast("long").alias("c_"))
     change = change.withColumnRenamed(group, "g_")
     return x.join(change, (F.col(group) == F.col("g_")) & F.col(party).eqNullSafe(F.col("p_")), "left").withColumn("quota", F.col("a_") + F.coalesce("c_", F.lit(0))).drop("w_", "unit_", "a_", "d_", "s_", "g_", "p_", "c_")
