@@ -30,14 +30,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays (five-word shingles, similarity 0.8): that with the smallest doc_id.
 
-    Of rows that repeat that doc_id with one text, one stays; a group without any doc_id stays whole.
+    Of rows that repeat that doc_id with one text, the one with the smallest lang and source stays; a group without any doc_id stays whole.
     """
     docs = docs.select(*COLUMNS)
     groups = jaccard_join.near_duplicates(docs, 5, 80, split_=1, sub=1)
     gone = groups.where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(F.col("doc_id").alias("id_"), F.col("fp").alias("fp_")).distinct()
     rows = docs.withColumn("fp", F.xxhash64(F.coalesce("text", F.lit(""))))
     rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("fp") == F.col("fp_")), "left_anti")
-    return rows.select(*COLUMNS)
+    keys = rows.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id_"), F.col("fp").alias("fp_")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = (F.col("doc_id") == F.col("id_")) & (F.col("fp") == F.col("fp_"))
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    one = rows.join(keys, repeated, "left_semi").groupBy("doc_id", "fp").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("r")).select("doc_id", *(f"r.{c}" for c in rest))
+    return rows.join(keys, repeated, "left_anti").select(*COLUMNS).unionByName(one)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
