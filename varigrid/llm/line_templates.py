@@ -5,6 +5,7 @@ than ``least`` documents have at its place is a variable field and becomes ``<*>
 if it stands in ``least`` documents or more and at least ``fixed`` of its words are no fields. Lines of recurring templates are dropped,
 but not from a document of which they make more than ``most``: that is a copy, which deduplication of documents settles.
 For the fields, a document counts once for each distinct line that has the word at the place. Leaves with too few documents are left out early: no line there can recur.
+Before lines are shuffled with their words, a broadcast Bloom filter of bounded size drops most of those in such leaves; the exact join follows.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varigrid.llm.common import SPACE, WORD, store
+from varigrid.llm.url_filter import ask, blocks_for
 
 FIELD = "<*>"
 
@@ -42,8 +44,10 @@ def recurring(docs: DataFrame, depth: int = 2, least: int = 10, fixed: float = 0
     some = found.where("n > 0").select("leaf", "h", "fp").distinct()
     leaves = found.where("n > 0").select("leaf", "fp").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least).select("leaf")
     kinds = store(some.join(leaves, "leaf").groupBy("leaf", "h").agg(F.count(F.lit(1)).alias("c")), "kinds")
-    worded = lines.select("leaf", "h", "words").join(kinds, ["leaf", "h"]).groupBy("leaf", "h", "c").agg(F.first("words").alias("words"))
-    places = store(worded.select("leaf", "h", "c", F.posexplode("words").alias("at", "word")), "places")
+    masked = lines.select("leaf", "h", F.array_join("words", " ").alias("line"))
+    masked = ask(masked, "h", kinds, blocks_for(kinds.count())).where("possible").drop("possible")
+    worded = masked.join(kinds, ["leaf", "h"]).groupBy("leaf", "h", "c").agg(F.first("line").alias("line"))
+    places = store(worded.select("leaf", "h", "c", F.posexplode(F.split("line", " ")).alias("at", "word")), "places")
     usual = places.groupBy("leaf", "at", "word").agg(F.sum("c").alias("s")).where(F.col("s") >= least).select("leaf", "at", "word", F.lit(True).alias("usual"))
     field = F.when(F.col("usual") & (F.col("word") != FIELD), F.col("word")).otherwise(FIELD)
     made = places.join(usual, ["leaf", "at", "word"], "left").groupBy("leaf", "h").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", field.alias("word")))), lambda x: x["word"]).alias("t"))

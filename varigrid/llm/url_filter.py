@@ -64,6 +64,24 @@ def bloom(keys: DataFrame, key: str, blocks: int) -> DataFrame:
     return keys.where(F.col(key).isNotNull()).select(_block(F.col(key), blocks).alias("block"), *(b.alias(f"w{i}") for i, b in enumerate(_bits(F.col(key))))).groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in _WORDS))
 
 
+def blocks_for(n_keys: int, bits_per_key: int = 16) -> int:
+    """Blocks of a filter for so many keys, up to ``MOST_BLOCKS``."""
+    return min(MOST_BLOCKS, max(1, -(-n_keys * bits_per_key // 256)))
+
+
+def ask(rows: DataFrame, key: str, keys: DataFrame, blocks: int) -> DataFrame:
+    """``rows`` with ``possible``: whether the filter of the equally named column of ``keys`` passes the row; false for null keys.
+
+    The filter's size is bounded by its blocks, so it is broadcast.
+    """
+    columns = [F.col(c) for c in rows.columns]
+    joined = rows.withColumn("block", _block(F.col(key), blocks)).join(F.broadcast(bloom(keys, key, blocks)), "block", "left")
+    passed = F.lit(True)
+    for i, bit in enumerate(_bits(F.col(key))):
+        passed &= F.coalesce(F.col(f"w{i}").bitwiseAND(bit) != 0, F.lit(False))
+    return joined.select(*columns, (F.col(key).isNotNull() & passed).alias("possible"))
+
+
 def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], bits_per_key: int = 16) -> DataFrame:
     """Verdict, allow or block, of every row of ``pages`` (page_id, url).
 
@@ -74,14 +92,10 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], bits_per_key:
     longer list only raises the share of rows that the exact join must look at.
     """
     listed = store(listed.select("canonical").where("canonical IS NOT NULL").distinct(), "listed")
-    blocks = min(MOST_BLOCKS, max(1, -(-listed.count() * bits_per_key // 256)))
+    blocks = blocks_for(listed.count(), bits_per_key)
     rows = pages.select("page_id", "url").select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     rows = rows.withColumn("canonical", canonical(F.col("host"), F.col("path"))).withColumn("fit", rule_of(rules, F.col("host"), F.col("path")))
-    rows = rows.withColumn("block", _block(F.col("canonical"), blocks)).join(F.broadcast(bloom(listed, "canonical", blocks)), "block", "left")
-    passed = F.lit(True)
-    for i, bit in enumerate(_bits(F.col("canonical"))):
-        passed &= F.coalesce(F.col(f"w{i}").bitwiseAND(bit) != 0, F.lit(False))
-    rows = rows.withColumn("possible", F.col("canonical").isNotNull() & passed).select("page_id", "host", "path", "canonical", "fit", "possible")
+    rows = ask(rows, "canonical", listed, blocks)
     exact = listed.select(F.col("canonical").alias("canonical_"), F.lit(True).alias("hit")).hint("shuffle_hash")
     hits = rows.where("possible").join(exact, F.col("canonical") == F.col("canonical_"), "left").withColumn("listed", F.col("hit").isNotNull()).drop("canonical_", "hit")
     out = rows.where("NOT possible").withColumn("listed", F.lit(False)).unionByName(hits)
