@@ -1,6 +1,6 @@
 """Token files: shards of documents in doc_id order, each compressed by a Re-Pair grammar of its own.
 
-A shard is one row of a Parquet table: first_start (ids before the shard), doc_ids, lengths (ids per document), ends
+A shard is one row of a Parquet table: part and inside (ids before the shard in its part), tokens (ids in it), doc_ids, lengths (ids per document), ends
 (end of each document in the compressed sequence), rules (pairs of symbols), sizes (expansion length of each rule) and
 sequence. All arrays are little-endian. Symbols under ``BASE`` are token ids, symbol BASE + i is rule i. The sequence
 is compressed without pairs across documents, so a document is decoded from its own part of it alone; the expansion
@@ -90,7 +90,7 @@ def decode(shard: dict, document: int, start: int = 0, stop: int | None = None)
     return expand(part[a:z], rules)[start - skipped : stop - skipped]
 
 
-_FILE = "part int, shard int, tokens long, doc_ids binary, nulls binary, lengths binary, ends binary, rules binary, sizes binary, sequence binary"
+_FILE = "part int, inside long, tokens long, doc_ids binary, nulls binary, lengths binary, ends binary, rules binary, sizes binary, sequence binary"
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, shard_tokens: int = 1 << 18, **re_pair_options: int) -> None:
@@ -101,14 +101,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, shard_tokens: int = 1 << 1
     """
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, part, ids, doc_ids, total = 0, 0, [], [], 0
+        inside, part, ids, doc_ids, total = 0, 0, [], [], 0
 
         def flush() -> pa.RecordBatch:
             lengths = np.array([len(x) for x in ids], np.int64)
             rules, sizes, seq, ends = re_pair(np.concatenate(ids), np.cumsum(lengths), **re_pair_options)
             known = np.array([0 if x is None else x for x in doc_ids], "<i8")
             binary = [known.tobytes(), np.array([x is None for x in doc_ids], np.uint8).tobytes(), *(x.astype("<u4").tobytes() for x in (lengths, ends, rules, sizes, seq))]
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([total], pa.int64()), *(pa.array([x], pa.binary()) for x in binary)], names=["part", "shard", "tokens", "doc_ids", "nulls", "lengths", "ends", "rules", "sizes", "sequence"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([inside], pa.int64()), pa.array([total], pa.int64()), *(pa.array([x], pa.binary()) for x in binary)], names=["part", "inside", "tokens", "doc_ids", "nulls", "lengths", "ends", "rules", "sizes", "sequence"])
 
         for b, i, tokens in documents(it, tokenizer):
             part = b.column("part")[i].as_py()
@@ -117,7 +117,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, shard_tokens: int = 1 << 1
             total += len(tokens)
             if total >= shard_tokens:
                 yield flush()
-                shard, ids, doc_ids, total = shard + 1, [], [], 0
+                inside, ids, doc_ids, total = inside + total, [], [], 0
         if ids:
             yield flush()
 
@@ -134,11 +134,6 @@ def read(spark, path: str) -> DataFrame:
     before, total = {}, 0
     for r in files.groupBy("part").agg(F.sum("tokens").alias("n")).orderBy("part").collect():
         before[r.part], total = total, total + r.n
-    totals = files.select("part", "shard", "tokens")
-    from pyspark.sql.window import Window
-
-    inside = F.sum("tokens").over(Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    starts = totals.select("part", "shard", F.coalesce(inside, F.lit(0)).alias("inside"))
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -154,7 +149,7 @@ def read(spark, path: str) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids", "ids_crc32"],
                 )
 
-    rows = files.join(starts, ["part", "shard"]).select("part", "inside", "doc_ids", "nulls", "lengths", "rules", "sequence")
+    rows = files.select("part", "inside", "doc_ids", "nulls", "lengths", "rules", "sequence")
     return rows.mapInArrow(work, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
 
 
