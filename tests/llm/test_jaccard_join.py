@@ -6,7 +6,7 @@ import pytest
 
 from tests.llm.cases import documents, empty
 from varigrid.llm.components import components
-from varigrid.llm.jaccard_join import near_duplicates, signatures
+from varigrid.llm.jaccard_join import _open_pairs, _shared, near_duplicates, signatures
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -43,6 +43,18 @@ def test_against_brute_force(spark, k, percent, split, sub):
     assert sorted(got) == brute(docs.collect(), k, percent)
 
 
+def test_signature_over_several_partitions(spark):
+    rows = spark.createDataFrame([(7, n) for n in range(1, 13)] + [(9, 1), (9, 20)], "sig long, node long").repartitionByRange(4, "sig", "node").sortWithinPartitions("sig", "node")
+    shared = _shared(rows)
+    pairs = {(min(r.lead, r.node), max(r.lead, r.node)) for r in shared.collect()}
+    assert len({r.lead for r in shared.where("sig = 7").collect()}) > 2
+    none = spark.createDataFrame([], "node long, root long")
+    compared = spark.createDataFrame([(a, b, 0, 20) for a, b in pairs], "a long, b long, both long, all long")
+    left = {(r.a, r.b) for r in _open_pairs(shared, none, compared, 90).collect()}
+    # Pairs at one distance from their common lead are not pruned, so each pair is either compared already or open.
+    assert {(a, b) for a in range(1, 13) for b in range(a + 1, 13)} <= pairs | left
+
+
 def test_null_ids_and_empty(spark):
     docs = spark.createDataFrame([(None, "a b c d"), (7, "A B c d"), (None, "q"), (None, None), (3, "")], "doc_id long, text string")
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(docs, 3, 90).collect()}

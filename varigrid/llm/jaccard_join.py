@@ -174,6 +174,14 @@ def _sharing(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, "sig long, lead long, node long")
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """Rows (sig, lead, node) of ``_sharing``, and for a signature that goes on over partitions, its smallest lead with the other leads."""
+    shared = store(_sharing(rows), "shared")
+    edge = shared.where("lead IS NULL").select("sig", "node").distinct()
+    lead = edge.groupBy("sig").agg(F.min("node").alias("lead"))
+    return store(shared.where("lead IS NOT NULL").unionByName(edge.join(lead, "sig").where("node <> lead")).distinct(), "shared")
+
+
 def _compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """Pairs (a, b) of nodes with both, the size of the intersection of their sets, and all, that of the union; texts has one text per node."""
 
@@ -204,10 +212,7 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, split_: int = 2, sub:
     docs = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("fp"), "text")
     sets = store(_sets(docs, k), "sets")
     rows = store(_signature_rows(docs.select("text"), k, percent, split_, sub), "signatures").repartitionByRange("sig", "node").sortWithinPartitions("sig", "node")
-    shared = store(_sharing(rows), "shared")
-    edge = shared.where("lead IS NULL").select("sig", "node").distinct()
-    lead = edge.groupBy("sig").agg(F.min("node").alias("lead"))
-    shared = store(shared.where("lead IS NOT NULL").unionByName(edge.join(lead, "sig").where("node <> lead")).distinct(), "shared")
+    shared = _shared(rows)
     pairs = shared.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
     nodes = shared.select("node").union(shared.select("lead")).distinct()
     one = sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("fp", "doc_id", "n_shingles")).alias("r")).select("node", "r.*")
@@ -250,16 +255,20 @@ def _open_pairs(shared: DataFrame, found: DataFrame, compared: DataFrame, percen
     """Pairs that share a signature, are in different components and were not compared with each other.
 
     Jaccard distance is a metric: two sets whose distances to the same lead differ by more than a link allows are not linked, so
-    such pairs are left out by the join's condition.
+    such pairs are left out by the join's condition. The smallest lead of a signature is no node of it; where other leads follow, it
+    was not compared with their nodes, so it counts as a node at distance 0 of itself.
     """
     far = compared.select("a", "b", (1 - F.col("both") / F.col("all")).alias("far"))
     far = far.select(F.col("a").alias("l_"), F.col("b").alias("m_"), "far").unionByName(far.select(F.col("b").alias("l_"), F.col("a").alias("m_"), "far"))
 
     rows = _rooted(_rooted(shared, found, "lead", "lead_root"), found, "node", "root")
-    groups = rows.groupBy("sig").agg(F.min(F.struct("lead", "lead_root"))["lead_root"].alias("first_root"), F.min("root").alias("low"), F.max("root").alias("high"))
-    open_ = groups.where("low <> first_root OR high <> first_root").select("sig", "first_root")
-    rest = rows.select("sig", "lead", "node", "root").join(open_, "sig")
-    rest = store(rest.join(far, (F.col("lead") == F.col("l_")) & (F.col("node") == F.col("m_")), "left").drop("l_", "m_"), "open")
+    first = F.min(F.struct("lead", "lead_root"))
+    groups = rows.groupBy("sig").agg(first["lead"].alias("first"), first["lead_root"].alias("first_root"), F.max("lead").alias("last"), F.min("root").alias("low"), F.max("root").alias("high"))
+    open_ = groups.where("low <> first_root OR high <> first_root")
+    rest = rows.select("sig", "lead", "node", "root").join(open_.select("sig", "first_root"), "sig")
+    rest = rest.join(far, (F.col("lead") == F.col("l_")) & (F.col("node") == F.col("m_")), "left").drop("l_", "m_")
+    leads = open_.where("first <> last").select("sig", F.col("first").alias("lead"), F.col("first").alias("node"), F.col("first_root").alias("root"), "first_root", F.lit(0.0).alias("far"))
+    rest = store(rest.unionByName(leads), "open")
     x, y = (rest.where("root <> first_root") if i == "a" else rest for i in "ab")
     x = x.select("sig", F.col("lead").alias("la"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("far").alias("fa"))
     y = y.select(F.col("sig").alias("sig_"), F.col("lead").alias("lb"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("far").alias("fb"))
