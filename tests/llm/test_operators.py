@@ -270,6 +270,19 @@ def test_mix_meets_targets_and_reruns_agree(spark):
     assert max(free.values()) == pytest.approx(min(free.values()))
 
 
+@pytest.mark.parametrize("words", [[10], [20], [100], [30] * 5, [7, 150]])
+def test_rare_sources_of_short_streams_meet_their_targets(spark, words):
+    rows = [(i, " ".join(["w"] * (300 if i % 12 else words[i // 12 % len(words)])), "large" if i % 12 else "a rare one") for i in range(2400)]
+    rows += [(5000, "w " * 33, "tiny"), (5001, None, "none")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), shard_documents=24).collect()
+    taken, target = Counter(), {}
+    for x in got:
+        assert 0 <= x.taken <= 3 * x.size
+        taken[x.source] += x.taken
+        target[x.source] = x.target
+    assert target["a rare one"] > 0 and all(abs(taken[s] - t) <= 64 for s, t in target.items()), (taken, target)
+
+
 def test_mix_of_awkward_tables(spark):
     docs = documents(spark)
     got = mixing.mix(docs).collect()
