@@ -40,3 +40,10 @@ def test_flagship_has_four_rows(spark):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+
+
+def test_live_status_keeps_rows_and_state_in_the_shared_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("varigrid.sources.shared_dir", lambda _: f"file://{tmp_path}")
+    files = QUERIES["live_status"](spark, str(DATA)).inputFiles()
+    assert files and all(f"{tmp_path}/live-status-" in f for f in files)
+    assert list(tmp_path.glob("live-status-*/state/state")) and not spark.catalog.tableExists("live_status_rows")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -466,15 +467,23 @@ _EVENT = {"signup": "skip", "view": "begin", "click": "begin", "purchase": "succ
 
 @query("SELECT user_id::VARCHAR AS task, CASE arg_max(event_type, event_id) WHEN 'signup' THEN 'completed' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END AS status FROM events GROUP BY 1")
 def live_status(spark, d):
-    """The event table read as a stream up to its end."""
+    """The event table read as a stream up to its end; its rows and its state are kept in the shared folder."""
     table = t(spark, d, "events")
     kind = F.create_map(*(F.lit(x) for kv in _EVENT.items() for x in kv))[F.col("event_type")]
     stream = spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet").parquet(d)
     rows = lambda df: df.select("ts", "event_id", F.col("user_id").cast("string").alias("task"), F.lit("all").alias("realization"), kind.alias("event"))
-    name = "live_status_rows"
-    q = streaming.live_status(rows(stream)).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    path = f"{sources.shared_dir(spark)}/live-status-{uuid.uuid4().hex}"
+    out = streaming.live_status(rows(stream))
+    last = []
+
+    def write(df, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/rows-{batch}")
+        last[:] = [f"{path}/rows-{batch}"]
+
+    q = out.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name).select("task", "status")
+    got = spark.read.schema(out.schema).parquet(*last) if last else spark.createDataFrame([], out.schema)
+    return got.select("task", "status")
 
 
 @query("SELECT 'order:' || l_orderkey AS child, count(*) AS n_parents FROM (SELECT l_orderkey, l_linenumber, bool_and(l_linestatus = 'F' AND l_returnflag <> 'R') AS ok FROM lineitem GROUP BY 1, 2) GROUP BY 1 HAVING bool_and(ok)")

@@ -13,14 +13,19 @@ KEY = ["task", "realization"]
 MANIFEST = "version int, kind string, name string, realization string, task_version int, package_version string, packages array<string>"
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; in local mode without one, a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (base or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the plan by a checkpoint in the shared folder; in local mode without one, a temporary folder is set."""
+    """Cut the plan by a checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not base and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
