@@ -3,7 +3,7 @@
 A line's words with a digit become ``<*>``. The tree leads by the number of words and the first ``depth`` words to a leaf. In a leaf, a word that fewer
 than ``least`` documents have at its place is a variable field and becomes ``<*>`` as well; what remains is the line's template. A template recurs
 if it stands in ``least`` documents or more and at least ``fixed`` of its words are no fields. Lines of recurring templates are dropped,
-but not from a document of which they make more than ``most``: that is a copy, which deduplication of documents settles.
+but not from a document of which they make more than ``most``; such a document need not be a copy.
 For the fields, a document counts once for each distinct line that has the word at the place. Leaves with too few documents are left out early: no line there can recur.
 Before lines are shuffled with their words, a broadcast Bloom filter of bounded size drops most of those in such leaves; the exact join follows.
 """
