@@ -92,6 +92,30 @@ def test_token_files_round_trip(spark, encode):
     assert len(shards) > 2 and sum(len(s.rules) for s in shards) > 0
 
 
+def test_rules_are_used_and_copies_shrink_to_one_symbol():
+    r = random.Random(5)
+    ids = np.array([r.choice([1, 1, 2, 3, 4, 5]) for _ in range(3000)] + [7, 8, 9] * 100, np.uint32)
+    rules, sizes, seq, ends = token_files.re_pair(ids, np.array([1500, len(ids)]), least=3, most=50)
+    inner, placed = Counter(rules.ravel().tolist()), Counter(seq.tolist())
+    assert all(inner[x] or placed[x] > 1 for x in range(token_files.BASE, token_files.BASE + len(rules)))
+    assert token_files.expand(seq, rules).tolist() == ids.tolist() and len(seq) < len(ids) // 3
+    copies = np.array([*range(10, 200), 2] * 4, np.uint32)
+    rules, sizes, seq, ends = token_files.re_pair(copies, np.arange(1, 5) * 191)
+    assert token_files.expand(seq, rules).tolist() == copies.tolist() and ends.tolist() == [1, 2, 3, 4] and max(sizes) == 191
+
+
+def test_fetch_of_chosen_stretches(spark, encode):
+    docs = documents(spark)
+    path = new_path(spark, "tokens")
+    token_files.write(docs, path, PATH, shard_tokens=2000, least=2)
+    texts = defaultdict(list)
+    for r in docs.collect():
+        texts[r.doc_id].append(encode(r.text))
+    wanted = [(0, 0, None), (6, 3, 9), (6, 3, 9), (9, 5, 10**6), (9, 10**6, None), (max(i for i in texts if i is not None), 100, 200), (None, 0, 5), (-4, 0, 5)]
+    got = sorted((r.doc_id, r.start, r.stop or -1, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in token_files.fetch(spark.createDataFrame(wanted, "doc_id long, start long, stop long"), path).collect())
+    assert got == sorted((i, a, z or -1, tuple(ids[a:z])) for i, a, z in set(wanted) if i in texts and i is not None for ids in texts[i])
+
+
 def test_token_files_of_empty_table(spark):
     assert token_files.round_trip(empty(spark), PATH).count() == 0
 
@@ -101,7 +125,7 @@ def test_re_pair_decodes_any_part():
     docs = [[r.choice([1, 2, 3, 70000]) for _ in range(r.choice([0, 1, 2, 50, 300]))] for _ in range(40)] + [[9] * 100, [1, 1, 1]]
     ids, lengths = np.array([x for d in docs for x in d], np.uint32), np.array([len(d) for d in docs])
     for most in (1, 3, 4096):
-        rules, sizes, seq, ends = token_files.re_pair(ids, np.cumsum(lengths), least=2, rounds=9, most=most)
+        rules, sizes, seq, ends = token_files.re_pair(ids, np.cumsum(lengths), least=2, most=most)
         assert token_files.expand(seq, rules).tolist() == ids.tolist() and len(seq) < len(ids)
         assert [len(token_files.expand(np.array([token_files.BASE + i]), rules)) for i in range(len(rules))] == sizes.tolist()
         shard = {"rules": rules.astype("<u4").tobytes(), "sizes": sizes.astype("<u4").tobytes(), "ends": ends.astype("<u4").tobytes(), "sequence": seq.astype("<u4").tobytes()}
@@ -296,9 +320,10 @@ def test_mix_of_awkward_tables(spark):
 
 
 def test_pieces_encode_as_whole_texts(encode):
-    from varigrid.llm.tokens import Encoder
+    import pyarrow as pa
+
+    from varigrid.llm import tokens
 
-    e = Encoder(PATH)
     texts = ["", " ", "a", " a", "a ", "a  b", "it's  don't", "über É\u3000x y", "line\nnext line\n\n end", "x\u00a0 y", "12 345 6", "<|endoftext|> a", "a\tb c", "\n a", "👩‍👩‍👧 z"]
-    for t in texts:
-        assert e(t).tolist() == encode(t)[:-1], t
+    for t, ids in zip(texts, tokens.encode(pa.array(texts), PATH), strict=True):
+        assert ids.tolist() == encode(t), t

@@ -24,17 +24,16 @@ from varigrid.llm.tokens import documents
 BASE = 1 << 24
 
 
-def re_pair(ids: np.ndarray, ends: np.ndarray, least: int = 4, rounds: int = 6, most: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def re_pair(ids: np.ndarray, ends: np.ndarray, least: int = 4, most: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rules, their expansion lengths, the compressed sequence and the documents' ends in it.
 
-    Each round counts all pairs of neighbours within documents and replaces, from the left, the most frequent ones
-    (``most`` at a time, each seen ``least`` times or more) by new symbols; it stops when no pair is that frequent.
+    Each round counts all pairs of neighbours within documents and replaces, from the left, the most frequent ones (``most`` at a time, each
+    seen ``least`` times or more) by new symbols. It goes on until no pair is that frequent; every round shortens the sequence.
+    Overlapping pairs of a round take occurrences from each other, so at last rules are taken back that no rule and at most one place of the sequence uses.
     """
-    seq, rules, sizes = ids.astype(np.int64), np.empty((0, 2), np.int64), np.empty(0, np.int64)
+    seq, rules = ids.astype(np.int64), np.empty((0, 2), np.int64)
     ends = ends.astype(np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         pair = (seq[:-1] << 32) | seq[1:]
         pair[ends[(ends > 0) & (ends < len(seq))] - 1] = -1
         kinds, counts = np.unique(pair, return_counts=True)
@@ -51,14 +50,42 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, least: int = 4, rounds: int = 6,
         hit = hit[(np.arange(len(hit)) - np.repeat(run, np.diff(np.append(run, len(hit))))) % 2 == 0]
         new = np.column_stack([order >> 32, order & 0xFFFFFFFF])
         symbol = BASE + len(rules) + at[hit]
-        size = np.where(new >= BASE, sizes[np.clip(new - BASE, 0, max(0, len(sizes) - 1))] if len(sizes) else 1, 1).sum(axis=1)
-        rules, sizes = np.concatenate([rules, new]), np.concatenate([sizes, size])
+        rules = np.concatenate([rules, new])
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
         seq[hit] = symbol
         ends = np.concatenate([[0], np.cumsum(keep)])[ends]
         seq = seq[keep]
-    return rules, sizes, seq, ends
+    rules, seq, ends = _without_idle_rules(rules, seq, ends)
+    sizes: list[int] = []
+    for left, right in rules.tolist():
+        sizes.append((1 if left < BASE else sizes[left - BASE]) + (1 if right < BASE else sizes[right - BASE]))
+    return rules, np.array(sizes, np.int64), seq, ends
+
+
+def _without_idle_rules(rules: np.ndarray, seq: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Take back rules that no rule and at most one place of the sequence uses; the others are numbered anew."""
+    n = len(rules)
+    placed = np.bincount(seq[seq >= BASE] - BASE, minlength=n).tolist()
+    inner = np.bincount(rules[rules >= BASE] - BASE, minlength=n).tolist()
+    pairs, idle = (rules - BASE).tolist(), np.zeros(n, bool)
+    for i in range(n - 1, -1, -1):  # a rule is used by later ones alone
+        if not inner[i] and placed[i] < 2:
+            idle[i] = True
+            for x in pairs[i]:
+                if x >= 0:
+                    inner[x] -= 1
+                    placed[x] += placed[i]
+    while (gone := (seq >= BASE) & idle[np.maximum(seq - BASE, 0)]).any() if n else False:
+        ends = np.concatenate([[0], np.cumsum(1 + gone)])[ends]
+        at = np.cumsum(1 + gone) - 1 - gone
+        out = np.empty(len(seq) + gone.sum(), np.int64)
+        out[at] = np.where(gone, rules[np.maximum(seq - BASE, 0), 0], seq)
+        out[at[gone] + 1] = rules[seq[gone] - BASE, 1]
+        seq = out
+    number = BASE + np.cumsum(~idle) - 1
+    renumber = lambda x: np.where(x >= BASE, number[np.maximum(x - BASE, 0)], x) if n else x
+    return renumber(rules[~idle]), renumber(seq), ends
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
@@ -96,8 +123,9 @@ _FILE = "part int, inside long, tokens long, doc_ids binary, nulls binary, lengt
 def write(docs: DataFrame, path: str, tokenizer: str, shard_tokens: int = 1 << 18, **re_pair_options: int) -> None:
     """Encode every document of ``docs`` (doc_id, text) and write the token files to ``path``, in ascending doc_id order.
 
-    A null text counts as empty: the end id alone. Documents without an id come first; rows that repeat a doc_id follow each
-    other in the order of their texts. A shard ends with the document that brings it to ``shard_tokens`` ids.
+    A null text counts as empty: the end id alone. Documents without an id come first; rows that repeat a doc_id follow each other, in one task
+    in the order of their texts. An empty table writes no shard; other columns are ignored. A very long text is one document of its shard: a
+    shard ends with the document that brings it to ``shard_tokens`` ids.
     """
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,6 +181,34 @@ def read(spark, path: str) -> DataFrame:
     return rows.mapInArrow(work, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
 
 
+def fetch(wanted: DataFrame, path: str) -> DataFrame:
+    """Chosen stretches of documents of the token files: rows (doc_id, start, stop, ids) for the rows of ``wanted`` (doc_id, start, stop).
+
+    Only the shards that hold a wanted document are decoded, and of them only the symbols that cover its stretch. A null stop is the document's end.
+    A stretch outside the document gives no ids; an unknown or null doc_id gives no row; rows that repeat give one. A doc_id that
+    several documents have gives a row for each.
+    """
+    files = wanted.sparkSession.read.schema(_FILE).parquet(path)
+
+    def places(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for part, inside, ids, nulls in zip(*(b.column(c).to_pylist() for c in ("part", "inside", "doc_ids", "nulls")), strict=True):
+                known = np.flatnonzero(np.frombuffer(nulls, np.uint8) == 0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(known), part), pa.int32()), pa.array(np.full(len(known), inside), pa.int64()), pa.array(known, pa.int32()), pa.array(np.frombuffer(ids, "<i8")[known])], names=["part", "inside", "nth", "doc_id"])
+
+    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for shard in b.to_pylist():
+                got = [(w["doc_id"], w["start"], w["stop"], decode(shard, w["nth"], w["start"], w["stop"]).astype("<u4").tobytes()) for w in shard["wanted"]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "start", "stop", "ids"])
+
+    index = files.select("part", "inside", "doc_ids", "nulls").mapInArrow(places, "part int, inside long, nth int, doc_id long")
+    asked = wanted.select("doc_id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop")).distinct()
+    by_shard = index.join(asked, "doc_id").groupBy("part", "inside").agg(F.collect_list(F.struct("nth", "doc_id", "start", "stop")).alias("wanted"))
+    shards = files.select("part", "inside", "ends", "rules", "sizes", "sequence").join(by_shard, ["part", "inside"])
+    return shards.mapInArrow(work, "doc_id long, start long, stop long, ids binary")
+
+
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Write the token files of ``docs`` to a new place in the shared folder and read them back."""
     path = new_path(docs.sparkSession, "tokens")
