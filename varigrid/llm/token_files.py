@@ -22,6 +22,8 @@ from varigrid.llm.tokens import documents
 
 #: Symbols from here on are rules.
 BASE = 1 << 24
+#: Pairs are counted by 2 ** _CELLS cells of their hashes before they are counted one by one.
+_CELLS = 18
 
 
 def re_pair(ids: np.ndarray, ends: np.ndarray, least: int = 4, most: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -31,74 +33,88 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, least: int = 4, most: int = 4096)
     seen ``least`` times or more) by new symbols. It goes on until no pair is that frequent; every round shortens the sequence.
     Overlapping pairs of a round take occurrences from each other, so at last rules are taken back that no rule and at most one place of the sequence uses.
     """
-    seq, rules = ids.astype(np.int64), np.empty((0, 2), np.int64)
+    seq, rules, rounds = ids.astype(np.int64), np.empty((0, 2), np.int64), [0]
     ends = ends.astype(np.int64)
     while len(seq) > 1:
         pair = (seq[:-1] << 32) | seq[1:]
-        pair[ends[(ends > 0) & (ends < len(seq))] - 1] = -1
-        kinds, counts = np.unique(pair, return_counts=True)
-        often = (counts >= least) & (kinds >= 0)
-        kinds, counts = kinds[often], counts[often]
+        cell = (pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _CELLS)).view(np.int64)
+        borders = ends[(ends > 0) & (ends < len(seq))] - 1
+        pair[borders] = -1
+        maybe = np.bincount(cell, minlength=1 << _CELLS)[cell] >= least
+        maybe[borders] = False
+        kinds, counts = np.unique(pair[maybe], return_counts=True)
+        kinds, counts = kinds[counts >= least], counts[counts >= least]
         if not len(kinds):
             break
-        top = np.argsort(-counts, kind="stable")[:most]
-        order = np.sort(kinds[top])
-        at = np.searchsorted(order, pair)
-        at[at == len(order)] = 0
-        hit = np.flatnonzero(order[at] == pair)
+        top = kinds[np.argsort(-counts, kind="stable")[:most]]
+        # Of pairs in one cell, the most frequent goes now and the others in later rounds.
+        top_cell = (top.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _CELLS)).view(np.int64)
+        top_cell, first = np.unique(top_cell, return_index=True)
+        new = top[first]
+        at = np.zeros(1 << _CELLS, np.int32)
+        at[top_cell] = np.arange(len(new))
+        at = at[cell]
+        hit = np.flatnonzero(new[at] == pair)
         run = np.flatnonzero(np.concatenate([[True], np.diff(hit) != 1]))
         hit = hit[(np.arange(len(hit)) - np.repeat(run, np.diff(np.append(run, len(hit))))) % 2 == 0]
-        new = np.column_stack([order >> 32, order & 0xFFFFFFFF])
         symbol = BASE + len(rules) + at[hit]
-        rules = np.concatenate([rules, new])
+        rules = np.concatenate([rules, np.column_stack([new >> 32, new & 0xFFFFFFFF])])
+        rounds.append(len(rules))
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
         seq[hit] = symbol
         ends = np.concatenate([[0], np.cumsum(keep)])[ends]
         seq = seq[keep]
-    rules, seq, ends = _without_idle_rules(rules, seq, ends)
-    sizes: list[int] = []
-    for left, right in rules.tolist():
-        sizes.append((1 if left < BASE else sizes[left - BASE]) + (1 if right < BASE else sizes[right - BASE]))
-    return rules, np.array(sizes, np.int64), seq, ends
+    return _without_idle_rules(rules, rounds, seq, ends)
 
 
-def _without_idle_rules(rules: np.ndarray, seq: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Take back rules that no rule and at most one place of the sequence uses; the others are numbered anew."""
+def _without_idle_rules(rules: np.ndarray, rounds: list[int], seq: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Take back rules that no rule and at most one place of the sequence uses, number the others anew and add the expansion lengths."""
     n = len(rules)
-    placed = np.bincount(seq[seq >= BASE] - BASE, minlength=n).tolist()
-    inner = np.bincount(rules[rules >= BASE] - BASE, minlength=n).tolist()
-    pairs, idle = (rules - BASE).tolist(), np.zeros(n, bool)
-    for i in range(n - 1, -1, -1):  # a rule is used by later ones alone
-        if not inner[i] and placed[i] < 2:
-            idle[i] = True
-            for x in pairs[i]:
-                if x >= 0:
-                    inner[x] -= 1
-                    placed[x] += placed[i]
-    while (gone := (seq >= BASE) & idle[np.maximum(seq - BASE, 0)]).any() if n else False:
+    if not n:
+        return rules, np.empty(0, np.int64), seq, ends
+    uses = lambda x, weights=None: np.bincount(x[x >= BASE] - BASE, weights, n).astype(np.int64)
+    placed, inner, idle, sizes = uses(seq), uses(rules.ravel()), np.zeros(n, bool), np.empty(n, np.int64)
+    for lo, hi in zip(rounds[-2::-1], rounds[:0:-1], strict=True):  # a rule is used by those of later rounds alone
+        idle[lo:hi] = (inner[lo:hi] == 0) & (placed[lo:hi] < 2)
+        back = rules[lo:hi][idle[lo:hi]].ravel()
+        inner -= uses(back)
+        placed += uses(back, np.repeat(placed[lo:hi][idle[lo:hi]], 2)[back >= BASE])
+    for lo, hi in zip(rounds, rounds[1:], strict=False):
+        inside = rules[lo:hi]
+        sizes[lo:hi] = np.where(inside >= BASE, sizes[np.maximum(inside - BASE, 0)], 1).sum(axis=1) if lo else 2
+    rule = lambda: np.maximum(seq - BASE, 0)
+    while (gone := (seq >= BASE) & idle[rule()]).any():
         ends = np.concatenate([[0], np.cumsum(1 + gone)])[ends]
         at = np.cumsum(1 + gone) - 1 - gone
         out = np.empty(len(seq) + gone.sum(), np.int64)
-        out[at] = np.where(gone, rules[np.maximum(seq - BASE, 0), 0], seq)
+        out[at] = np.where(gone, rules[rule(), 0], seq)
         out[at[gone] + 1] = rules[seq[gone] - BASE, 1]
         seq = out
     number = BASE + np.cumsum(~idle) - 1
-    renumber = lambda x: np.where(x >= BASE, number[np.maximum(x - BASE, 0)], x) if n else x
-    return renumber(rules[~idle]), renumber(seq), ends
+    renumber = lambda x: np.where(x >= BASE, number[np.maximum(x - BASE, 0)], x)
+    return renumber(rules[~idle]), sizes[~idle], renumber(seq), ends
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
     """Token ids of compressed symbols."""
-    out = symbols.astype(np.int64)
-    while (big := out >= BASE).any():
+    flat, owner = rules.astype(np.int64).ravel(), np.repeat(np.arange(len(rules)), 2)
+    while (big := flat >= BASE).any():
         width = np.where(big, 2, 1)
         at = np.cumsum(width) - width
         new = np.empty(int(width.sum()), np.int64)
-        new[at[~big]] = out[~big]
-        new[at[big]], new[at[big] + 1] = rules[out[big] - BASE].T
-        out = new
-    return out
+        new[at[~big]] = flat[~big]
+        new[at[big]], new[at[big] + 1] = rules[flat[big] - BASE].T
+        flat, owner = new, np.repeat(owner, width)
+    sizes = np.bincount(owner, minlength=len(rules))
+    # Every symbol is a stretch of this array: its rule's expansion, or itself.
+    source = np.concatenate([flat, symbols])
+    start, count = len(flat) + np.arange(len(symbols)), np.ones(len(symbols), np.int64)
+    big = np.flatnonzero(symbols >= BASE)
+    rule = symbols[big].astype(np.int64) - BASE
+    start[big], count[big] = (np.cumsum(sizes) - sizes)[rule], sizes[rule]
+    after = np.cumsum(count)
+    return source[np.arange(after[-1] if len(after) else 0) + np.repeat(start - after + count, count)]
 
 
 def decode(shard: dict, document: int, start: int = 0, stop: int | None = None) -> np.ndarray:

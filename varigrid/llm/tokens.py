@@ -9,6 +9,7 @@ A text that holds an added token is encoded whole.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,7 +23,7 @@ END = 2
 #: Words that a worker remembers; a word and its ids take about 200 bytes.
 REMEMBERED = 1 << 19
 #: Bytes of text that are cut at a time.
-TOGETHER = 4 << 20
+TOGETHER = 2 << 20
 _LETTER, _NUMBER, _SPACE, _OTHER, _APOSTROPHE, _WIDE_SPACE = range(1, 7)
 
 
@@ -43,7 +44,7 @@ class _Known:
         self.kinds = np.zeros(0x110000, np.uint8)
         self.ascii = np.zeros(256, np.uint8)
         self.ascii[:128] = [self.kind(chr(i)) for i in range(128)]
-        self.blanks = b" " + bytes(i for i in range(128) if self.ascii[i] == _SPACE and i != 32)
+        self.blanks = bytes(i for i in range(128) if self.ascii[i] == _SPACE)
         self.wide: list[str] = []
         self.clear()
 
@@ -63,9 +64,10 @@ class _Known:
 
     def learn(self, words: list[bytes]) -> None:
         """Encode new words: those that are one of the tokenizer's words by its model alone, as lines of one text, and the others one by one."""
-        apart = [b"'", *(c.encode() for c in self.wide)]
-        plain = [w for w in words if w[-1] not in self.blanks and w[0] not in self.blanks[1:] and not any(c in w for c in apart)]
-        odd = sorted(set(words).difference(plain)) if len(plain) < len(words) else []
+        blanks = re.escape(self.blanks)
+        apart = re.compile(b"|".join([b"'", b"[" + blanks + b"]\\Z", *(re.escape(c.encode()) for c in self.wide)])).search
+        plain = [w for w in words if not apart(w)]
+        odd = [w for w in words if apart(w)] if len(plain) < len(words) else []
         spelled = b"\n".join(plain).decode("latin-1").translate(self.alphabet)
         ids = np.array(self.model.encode_batch_fast([spelled], add_special_tokens=False)[0].ids if plain else [], np.uint32)
         size = self.sizes[ids].cumsum()
