@@ -6,7 +6,7 @@ import pytest
 
 from tests.llm.cases import documents, empty
 from varigrid.llm.components import components
-from varigrid.llm.jaccard_join import _open_pairs, _shared, near_duplicates, signatures
+from varigrid.llm.jaccard_join import _sharing, near_duplicates, signatures
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -43,16 +43,40 @@ def test_against_brute_force(spark, k, percent, split, sub):
     assert sorted(got) == brute(docs.collect(), k, percent)
 
 
-def test_signature_over_several_partitions(spark):
-    rows = spark.createDataFrame([(7, n) for n in range(1, 13)] + [(9, 1), (9, 20)], "sig long, node long").repartitionByRange(4, "sig", "node").sortWithinPartitions("sig", "node")
-    shared = _shared(rows)
-    pairs = {(min(r.lead, r.node), max(r.lead, r.node)) for r in shared.collect()}
-    assert len({r.lead for r in shared.where("sig = 7").collect()}) > 2
-    none = spark.createDataFrame([], "node long, root long")
-    compared = spark.createDataFrame([(a, b, 0, 20) for a, b in pairs], "a long, b long, both long, all long")
-    left = {(r.a, r.b) for r in _open_pairs(shared, none, compared, 90).collect()}
-    # Pairs at one distance from their common lead are not pruned, so each pair is either compared already or open.
-    assert {(a, b) for a in range(1, 13) for b in range(a + 1, 13)} <= pairs | left
+@pytest.mark.parametrize("held", [1, 3, 1000])
+def test_each_signature_has_one_lead_whatever_is_held(spark, held):
+    r = random.Random(held)
+    pairs = [(r.randrange(1, 40) << 58, r.randrange(1, 9)) for _ in range(300)] + [(5 << 58, n) for n in range(1, 60)]
+    blocks = [(sig * 4 >> 64, np.array([sig], np.uint64).tobytes() + np.array([n], np.int64).tobytes()) for sig, n in pairs]
+    rows = _sharing(spark.createDataFrame([(p, bytearray(x)) for p, x in blocks], "part int, pairs binary").repartition(4, "part"), held).collect()
+    nodes = {}
+    for sig, n in pairs:
+        nodes.setdefault(np.array([sig], np.uint64).view(np.int64)[0], set()).add(n)
+    for sig, all_ in nodes.items():
+        leads = {x.lead for x in rows if x.sig == sig}
+        assert len(leads) == (len(all_) > 1)
+        assert {x.node for x in rows if x.sig == sig} | leads == (all_ if leads else set())
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_crowd_around_the_threshold_over_many_partitions(spark, percent):
+    r = random.Random(percent)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for _ in range(r.choice([0, 1, 2, 3, 4, 5, 6])):
+            words[r.randrange(len(words))] = r.choice(["new", f"n{r.randrange(10**6)}"])
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in near_duplicates(docs, 3, percent, rounds=0).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = brute(docs.collect(), 3, percent)
+    assert got == want and 5 < len({c for _, _, c in want}) < 150
 
 
 def test_null_ids_and_empty(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varigrid.llm.common import store
+from varigrid.llm.common import discard, store
 
 
 def _both(links: DataFrame) -> DataFrame:
@@ -28,7 +28,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        links = store(small.where("a <> b").distinct(), "links")
+        old, links = links, store(small.where("a <> b").distinct(), "links")
+        discard(old)
         now = tuple(links.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
         if now == seen:
             break

@@ -5,6 +5,10 @@ alone. Sizes are cut into bands; for each band k is fixed by the largest pair wh
 feature domain is cut by hash into partitions, each of them into ``SUB`` parts. If two sets differ in at most k
 elements, then some partition holds at most ``SPLIT - 1`` differences, and there a subset of its parts agrees
 wholly; the hash of each such subset is a signature. So linked sets of a band share a signature, and no link is lost.
+
+Sets that share a signature are compared with one lead of it, so most links show without a look at every pair of a group. Where sets of
+one signature are then still in different components, the rest of their pairs is cut down by prefixes: elements are put in one order,
+the frequent last, and two linked sets have an element in common among the first of each.
 """
 
 from __future__ import annotations
@@ -19,9 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varigrid.llm.common import store
+from varigrid.llm.common import discard, store
 from varigrid.llm.components import components
 from varigrid.llm.ragged import batches, mix, spans, split, windows
+from varigrid.llm.url_filter import ask, blocks_for
+
+#: Cells in which elements are counted for their order; they bound what the driver holds, and what goes to each task.
+CELLS = 1 << 20
 
 
 def shingle_sets(texts: pa.Array, k: int, lower: bool = True) -> list[np.ndarray]:
@@ -85,30 +93,43 @@ def _bands(size: int, percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def signatures(s: np.ndarray, percent: int, split_: int = 2, sub: int = 3) -> np.ndarray:
-    """PartEnum signatures of a set of hashes for links of at least ``percent`` percent."""
-    out = []
-    for low, high in _bands(len(s), percent) if len(s) else ():
+def signatures_of(sets: list[np.ndarray], percent: int, split_: int = 2, sub: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """PartEnum signatures of sets of hashes for links of at least ``percent`` percent, and the number of the set of each."""
+    by_band: dict[tuple[int, int], list[int]] = {}
+    for i, s in enumerate(sets):
+        for band in _bands(len(s), percent) if len(s) else ():
+            by_band.setdefault(band, []).append(i)
+    out, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for (low, high), members in by_band.items():
         n, bad, parts = scheme(low, high, percent, split_, sub)
         if not n:  # only equal sets can be linked, and those share their set hash
             continue
-        part = (mix(s ^ np.uint64(high)) >> np.uint64(33)) % np.uint64(n * parts)
-        sums = np.zeros(n * parts, np.uint64)
-        np.add.at(sums, part, mix(s + np.uint64(0x632BE59BD9B4E019)))
-        full = (np.bincount(part.astype(np.int64), minlength=n * parts) > 0).reshape(n, parts)
-        sums = sums.reshape(n, parts)
-        weak = np.zeros(n, bool)
+        all_, number = np.concatenate([sets[i] for i in members]), np.array(members)
+        row = np.repeat(np.arange(len(members)), [len(sets[i]) for i in members])
+        cell = row * (n * parts) + ((mix(all_ ^ np.uint64(high)) >> np.uint64(33)) % np.uint64(n * parts)).astype(np.int64)
+        sums, full = np.zeros(len(members) * n * parts, np.uint64), np.zeros(len(members) * n * parts, bool)
+        np.add.at(sums, cell, mix(all_ + np.uint64(0x632BE59BD9B4E019)))
+        full[cell] = True
+        sums, full = sums.reshape(-1, n, parts), full.reshape(-1, n, parts)
+        weak = np.zeros(full.shape[:2], bool)
         for i, chosen in enumerate(combinations(range(parts), parts - split_ + 1)):
-            some = full[:, chosen].any(axis=1)
+            some = full[:, :, chosen].any(axis=2)
             weak |= ~some
-            where = np.flatnonzero(some)
+            at, where = np.nonzero(some)
             h = np.full(len(where), np.uint64(i + 1) + np.uint64(high) * np.uint64(1 << 16), np.uint64) + where.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             for c in chosen:
-                h = mix(h ^ sums[where, c])
+                h = mix(h ^ sums[at, where, c])
             out.append(h)
-        if weak.sum() >= n - bad:
-            out.append(mix(np.array([high], np.uint64)))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+            owners.append(number[at])
+        empty = number[weak.sum(axis=1) >= n - bad]
+        out.append(np.repeat(mix(np.array([high], np.uint64)), len(empty)))
+        owners.append(empty)
+    return np.concatenate(out), np.concatenate(owners)
+
+
+def signatures(s: np.ndarray, percent: int, split_: int = 2, sub: int = 3) -> np.ndarray:
+    """PartEnum signatures of one set."""
+    return signatures_of([s], percent, split_, sub)[0]
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -120,66 +141,91 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(work, "doc_id long, fp long, n_shingles long, node long")
 
 
-def _signature_rows(docs: DataFrame, k: int, percent: int, split_: int, sub: int, remembered: int = 1 << 18) -> DataFrame:
-    """Rows (sig, node); a task skips sets that it has just had, so large groups of copies send one set per task."""
+def _signature_blocks(docs: DataFrame, k: int, percent: int, split_: int, sub: int, parts: int, held: int = 1 << 20, remembered: int = 1 << 18) -> DataFrame:
+    """Rows (part, pairs): signatures and their nodes as two arrays of 64-bit numbers, dealt to ``parts`` ranges of signatures.
+
+    A task skips sets that it has just had, so large groups of copies send one set per task.
+    """
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        sigs, nodes = [], []
+
+        def flush() -> pa.RecordBatch:
+            sig, node = np.concatenate(sigs), np.concatenate(nodes)
+            part = ((sig >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            sig, node = sig[order], node[order]
+            ends = np.cumsum(np.bincount(part, minlength=parts))
+            rows = [(p, sig[a:z].tobytes() + node[a:z].tobytes()) for p, (a, z) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)) if z > a]
+            sigs.clear(), nodes.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "pairs"])
+
         for b in batches(it):
-            sig, node = [], []
+            new = []
             for s in shingle_sets(b.column("text"), k):
                 if (h := set_hash(s)) not in seen:
                     if len(seen) >= remembered:
                         seen.clear()
                     seen.add(h)
-                    sig.append(signatures(s, percent, split_, sub))
-                    node.append(np.full(len(sig[-1]), h, np.int64))
-            if sig:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(node))], names=["sig", "node"])
+                    new.append((s, h))
+            sig, owner = signatures_of([s for s, _ in new], percent, split_, sub)
+            sigs.append(sig)
+            nodes.append(np.array([h for _, h in new], np.int64)[owner])
+            if sum(map(len, sigs)) >= held:
+                yield flush()
+        if sum(map(len, sigs)):
+            yield flush()
 
-    return docs.mapInArrow(work, "sig long, node long")
+    return docs.mapInArrow(work, "part int, pairs binary")
 
 
-def _sharing(rows: DataFrame) -> DataFrame:
-    """Of rows sorted by (sig, node) within partitions: (sig, lead, node) for every node but the first of its signature here.
+def _sharing(blocks: DataFrame, held: int = 1 << 20) -> DataFrame:
+    """Of blocks dealt by part: (sig, lead, node) for every node but one, the lead, of each signature that several nodes have.
 
-    The first and the last signature of a partition may go on in its neighbours; their first nodes come as rows with
-    lead null.
+    A task sorts ``held`` pairs at a time. It remembers each signature of its part once, with its lead, so that a
+    signature of very many nodes streams through; such a one has at most one pair for each set, of hundreds that the set has in all parts.
     """
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_sig, last_node, lead, any_ = 0, 0, 0, False
-        for b in it:
-            if not b.num_rows:
-                continue
-            sig, node = np.asarray(b.column("sig")), np.asarray(b.column("node"))
+        known, leads = np.empty(0, np.uint64), np.empty(0, np.int64)
+        waiting: list[np.ndarray] = []
+
+        def shared() -> pa.RecordBatch:
+            nonlocal known, leads
+            sig, node = (np.concatenate([x[i].view(t) for x in waiting]) for i, t in ((0, np.uint64), (1, np.int64)))
+            waiting.clear()
+            order = np.lexsort((node, sig))
+            sig, node = sig[order], node[order]
             new = np.ones(len(sig), bool)
             new[1:] = sig[1:] != sig[:-1]
-            same = np.zeros(len(sig), bool)
-            same[1:] = ~new[1:] & (node[1:] == node[:-1])
-            leads = node[np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))]
-            if any_ and sig[0] == last_sig:
-                new[0] = False
-                stop = int(np.argmax(new)) if new.any() else len(sig)
-                same[0] = node[0] == last_node
-                leads[:stop] = lead
-            keep = np.flatnonzero(~new & ~same & (node != leads))
-            yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(leads[keep]), pa.array(node[keep])], names=["sig", "lead", "node"])
-            if not any_:
-                yield pa.RecordBatch.from_arrays([pa.array(sig[:1]), pa.nulls(1, pa.int64()), pa.array(node[:1])], names=["sig", "lead", "node"])
-            last_sig, last_node, lead, any_ = sig[-1], node[-1], leads[-1], True
-        if any_:
-            yield pa.RecordBatch.from_arrays([pa.array([last_sig], pa.int64()), pa.nulls(1, pa.int64()), pa.array([lead], pa.int64())], names=["sig", "lead", "node"])
-
-    return rows.mapInArrow(work, "sig long, lead long, node long")
-
-
-def _shared(rows: DataFrame) -> DataFrame:
-    """Rows (sig, lead, node) of ``_sharing``, and for a signature that goes on over partitions, its smallest lead with the other leads."""
-    shared = store(_sharing(rows), "shared")
-    edge = shared.where("lead IS NULL").select("sig", "node").distinct()
-    lead = edge.groupBy("sig").agg(F.min("node").alias("lead"))
-    return store(shared.where("lead IS NOT NULL").unionByName(edge.join(lead, "sig").where("node <> lead")).distinct(), "shared")
+            again = np.zeros(len(sig), bool)
+            again[1:] = ~new[1:] & (node[1:] == node[:-1])
+            first = np.flatnonzero(new)
+            own, lead = sig[first], node[first]
+            if len(known):
+                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                old = known[at] == own
+                lead = np.where(old, leads[at], lead)
+                known, leads = np.concatenate([known, own[~old]]), np.concatenate([leads, lead[~old]])
+                by = np.argsort(known, kind="stable")
+                known, leads = known[by], leads[by]
+            else:
+                known, leads = own, lead
+            lead = np.repeat(lead, np.diff(np.append(first, len(sig))))
+            keep = np.flatnonzero(~again & (node != lead))
+            return pa.RecordBatch.from_arrays([pa.array(sig[keep].view(np.int64)), pa.array(lead[keep]), pa.array(node[keep])], names=["sig", "lead", "node"])
+
+        for b in it:
+            for x in b.column("pairs"):
+                pairs = np.frombuffer(x.as_buffer(), np.uint64)
+                waiting.append(pairs.reshape(2, -1).copy())
+                if sum(x.shape[1] for x in waiting) >= held:
+                    yield shared()
+        if waiting:
+            yield shared()
+
+    return blocks.mapInArrow(work, "sig long, lead long, node long")
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -204,74 +250,112 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, split_: int = 2, sub:
     count as lower case), set_id (equal for equal sets) and component_id (smallest doc_id that links reach, itself
     included). A null, empty or blank text has an empty set and is linked with nothing, so component_id is its own
     doc_id. Rows that repeat a doc_id count as documents of their own; a null doc_id is never the smallest, so only
-    a component without any other doc_id gets null. Sets are told apart by 64-bit hashes. Links between documents of one
+    a component without any other doc_id gets null. An empty table gives no rows, other columns are ignored, and a very long text is one set like
+    any other. Sets are told apart by 64-bit hashes. Links between documents of one
     component are not all looked at: a group that shares a signature is first compared with one of its sets, then, for
-    ``rounds`` rounds, with other sets drawn for each signature; only sets that are still in different components are
-    at last compared with each other.
+    ``rounds`` rounds, with other sets drawn for each signature; of sets that are still in different components, those pairs are
+    compared at last that have an element in common in their prefixes (see ``_close_pairs``).
     """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("fp"), "text")
     sets = store(_sets(docs, k), "sets")
-    rows = store(_signature_rows(docs.select("text"), k, percent, split_, sub), "signatures").repartitionByRange("sig", "node").sortWithinPartitions("sig", "node")
-    shared = _shared(rows)
+    shared = store(_sharing(_signature_blocks(docs.select("text"), k, percent, split_, sub, parts).repartition(parts, "part")), "shared")
     pairs = shared.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
     nodes = shared.select("node").union(shared.select("lead")).distinct()
-    one = sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("fp", "doc_id", "n_shingles")).alias("r")).select("node", "r.*")
-    texts = store(docs.select("fp", "text").join(one, "fp").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    one = store(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("fp").alias("fp")), "nodes")
+    rows = ask(docs.select("fp", "text"), "fp", one, blocks_for(one.count())).where("possible").select("fp", "text")
+    texts = store(rows.join(one, "fp").groupBy("node").agg(F.first("text").alias("text")), "texts")
     linked = F.expr(f"100 * both >= {percent} * all")
-    compared = store(_compared(pairs, texts, k), "compared")
-    links = compared.where(linked).select("a", "b")
+    links = store(_compared(pairs, texts, k).where(linked).select("a", "b"), "linked")
     found = store(components(links), "components")
     for turn in range(rounds):
         more = _next_pairs(shared, found, turn)
         if more.isEmpty():
             break
-        compared = store(compared.unionByName(_compared(more, texts, k)), "compared")
-        found = store(components(compared.where(linked).select("a", "b")), "components")
-    more = _open_pairs(shared, found, compared, percent)
-    if not more.isEmpty():
-        links = compared.where(linked).select("a", "b").unionByName(_compared(more, texts, k).where(linked).select("a", "b"))
+        links = store(links.unionByName(_compared(more, texts, k).where(linked).select("a", "b")), "linked")
         found = store(components(links), "components")
+    more = _close_pairs(shared, found, texts, k, percent)
+    links = links.unionByName(_compared(more, texts, k).where(linked).select("a", "b"))
+    found = store(components(links), "components")
+    discard(shared, one, texts, more)
     rows = sets.join(found, "node", "left").withColumn("root", F.coalesce("root", F.when(F.col("n_shingles") > 0, F.col("node"))))
     least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "root", "left").select("doc_id", "fp", "n_shingles", F.col("node").alias("set_id"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _rooted(df: DataFrame, found: DataFrame, column: str, to: str) -> DataFrame:
+def _members(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (sig, node, root): every node of every signature with the component that it is in so far."""
+    members = shared.select("sig", "node").unionByName(shared.select("sig", F.col("lead").alias("node")).distinct())
     root = found.select(F.col("node").alias("n_"), F.col("root").alias("r_"))
-    return df.join(root, F.col(column) == F.col("n_"), "left").withColumn(to, F.coalesce("r_", F.col(column))).drop("n_", "r_")
+    return members.join(root, F.col("node") == F.col("n_"), "left").select("sig", "node", F.coalesce("r_", "node").alias("root"))
 
 
 def _next_pairs(shared: DataFrame, found: DataFrame, turn: int) -> DataFrame:
     """For each signature whose sets are in several components, pairs of one drawn set with those of other components."""
-    members = shared.select("sig", "node").unionByName(shared.select("sig", F.col("lead").alias("node"))).distinct()
-    rows = store(_rooted(members, found, "node", "root"), "members")
+    rows = store(_members(shared, found), "members")
     drawn = F.min_by(F.struct("node", "root"), F.xxhash64(F.lit(turn), "sig", "node"))
     groups = rows.groupBy("sig").agg(drawn.alias("d"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig", "d")
     pairs = rows.join(groups, "sig").where(F.col("root") != F.col("d.root")).select(F.least("node", "d.node").alias("a"), F.greatest("node", "d.node").alias("b"))
-    return store(pairs.distinct(), "pairs")
+    pairs = store(pairs.distinct(), "pairs")
+    discard(rows)
+    return pairs
 
 
-def _open_pairs(shared: DataFrame, found: DataFrame, compared: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a signature, are in different components and were not compared with each other.
+def _levels(texts: DataFrame, k: int) -> np.ndarray:
+    """How frequent elements are, by cells of their hashes, as the logarithm; 0 for the rare.
 
-    Jaccard distance is a metric: two sets whose distances to the same lead differ by more than a link allows are not linked, so
-    such pairs are left out by the join's condition. The smallest lead of a signature is no node of it; where other leads follow, it
-    was not compared with their nodes, so it counts as a node at distance 0 of itself.
+    A task reports the cells that it has met more often than chance would have it; the sums of those, at most ``CELLS``, reach the
+    driver. They decide about the order of elements alone, so an uneven count costs time and no link.
     """
-    far = compared.select("a", "b", (1 - F.col("both") / F.col("all")).alias("far"))
-    far = far.select(F.col("a").alias("l_"), F.col("b").alias("m_"), "far").unionByName(far.select(F.col("b").alias("l_"), F.col("a").alias("m_"), "far"))
-
-    rows = _rooted(_rooted(shared, found, "lead", "lead_root"), found, "node", "root")
-    first = F.min(F.struct("lead", "lead_root"))
-    groups = rows.groupBy("sig").agg(first["lead"].alias("first"), first["lead_root"].alias("first_root"), F.max("lead").alias("last"), F.min("root").alias("low"), F.max("root").alias("high"))
-    open_ = groups.where("low <> first_root OR high <> first_root")
-    rest = rows.select("sig", "lead", "node", "root").join(open_.select("sig", "first_root"), "sig")
-    rest = rest.join(far, (F.col("lead") == F.col("l_")) & (F.col("node") == F.col("m_")), "left").drop("l_", "m_")
-    leads = open_.where("first <> last").select("sig", F.col("first").alias("lead"), F.col("first").alias("node"), F.col("first_root").alias("root"), "first_root", F.lit(0.0).alias("far"))
-    rest = store(rest.unionByName(leads), "open")
-    x, y = (rest.where("root <> first_root") if i == "a" else rest for i in "ab")
-    x = x.select("sig", F.col("lead").alias("la"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("far").alias("fa"))
-    y = y.select(F.col("sig").alias("sig_"), F.col("lead").alias("lb"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("far").alias("fb"))
-    apart = (F.col("la") == F.col("lb")) & (F.abs(F.col("fa") - F.col("fb")) > 1 - percent / 100 + 1e-9)
-    pairs = x.join(y, (F.col("sig") == F.col("sig_")) & (F.col("ra") != F.col("rb")) & ~apart)
-    return store(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+
+    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, np.int64)
+        for b in batches(it):
+            for s in shingle_sets(b.column("text"), k):
+                np.add.at(counts, (s % np.uint64(CELLS)).astype(np.int64), 1)
+        often = np.flatnonzero(counts >= 2 + 4 * counts.sum() // CELLS)
+        yield pa.RecordBatch.from_arrays([pa.array(often, pa.int64()), pa.array(counts[often], pa.int64())], names=["cell", "n"])
+
+    sums = texts.select("text").mapInArrow(work, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n >= 4").toArrow()
+    levels = np.zeros(CELLS, np.uint8)
+    levels[np.asarray(sums["cell"], np.int64)] = np.log2(np.asarray(sums["n"], np.float64)).astype(np.uint8)
+    return levels
+
+
+def _prefixes(texts: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
+    """Rows (element, node, root, at, size): the first elements of each set, which it cannot lack in common with a set that it is linked with."""
+    table = texts.sparkSession.sparkContext.broadcast(levels)
+
+    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it):
+            sets = shingle_sets(b.column("text"), k)
+            first = [s[np.lexsort((s, table.value[(s % np.uint64(CELLS)).astype(np.int64)]))[: len(s) + 1 + (-percent * len(s)) // 100]] for s in sets]
+            many = np.array([len(x) for x in first])
+            row = np.repeat(np.arange(len(sets)), many)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            size = np.array([len(s) for s in sets])[row]
+            element = np.concatenate(first).view(np.int64) if first else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(element), b.column("node").take(pa.array(row)), b.column("root").take(pa.array(row)), pa.array(at, pa.int32()), pa.array(size, pa.int32())], names=["element", "node", "root", "at", "size"])
+
+    return texts.select("node", "root", "text").mapInArrow(work, "element long, node long, root long, at int, size int")
+
+
+def _close_pairs(shared: DataFrame, found: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs of sets in different components that may be linked, among the sets that share a signature with a set of another component.
+
+    All elements have one order, the frequent last. Two linked sets of m and n elements have (m + n) p / (100 + p) or more in common, so
+    the first of these is early in both, and what follows it in either suffices. Sets of a crowd that are not linked differ in
+    elements that few have, and those come first, so a crowd does not make all its pairs.
+    """
+    rows = _members(shared, found)
+    open_ = rows.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig")
+    nodes = store(rows.join(open_, "sig", "left_semi").select("node", "root").distinct(), "open")
+    near = store(texts.join(nodes, "node"), "open-texts")
+    rows = _prefixes(near, k, percent, _levels(near, k))
+    x, y = (rows.select("element", *(F.col(c).alias(f"{c}_{i}") for c in ("node", "root", "at", "size"))) for i in "xy")
+    early = (100 + percent) * (F.least(F.col("size_x") - F.col("at_x"), F.col("size_y") - F.col("at_y"))) >= percent * (F.col("size_x") + F.col("size_y"))
+    sizes = 100 * F.least("size_x", "size_y") >= percent * F.greatest("size_x", "size_y")
+    pairs = x.join(y, "element").where((F.col("node_x") < F.col("node_y")) & (F.col("root_x") != F.col("root_y")) & sizes & early)
+    out = store(pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct(), "pairs")
+    discard(nodes, near)
+    return out
