@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.cases import documents, empty
@@ -154,6 +155,39 @@ def test_templates_with_fields_recur(spark):
     assert {r.doc_id: r.text for r in out} == {i: f"{body(i)}\nonly {body(i)}" for i in range(12)}
 
 
+def test_near_copies_stay_whole_and_boilerplate_pages_do_not(spark):
+    line = lambda i, n: " ".join(f"{chr(97 + (i * 7 + j) % 26)}{chr(97 + i % 26)}{chr(97 + (i // 26 + 3 * j) % 26)}" for j in range(n))
+    told = [line(i, 12) for i in range(8)]
+    copies = [(i, "\n".join([*told[:i % 8], line(100 + i, 12), *told[i % 8 + 1 :]])) for i in range(30)]
+    menu = [f"menu m{chr(97 + i % 26)}{chr(97 + i // 26)} {line(400 + i, 4)}" for i in range(33)]
+    pages = [(100 + 11 * a + b, "\n".join([menu[a], menu[11 + b], menu[22 + (a + b) % 11], f"own o{chr(97 + a)}{chr(97 + b)} {line(1000 + 11 * a + b, 3)}"])) for a in range(11) for b in range(11)]
+    out = {r.doc_id: r.text for r in line_templates.drop_recurring(spark.createDataFrame(copies + pages, "doc_id long, text string")).collect()}
+    assert all(out[i] == t for i, t in copies)
+    assert all(out[i] == t.split("\n")[3] for i, t in pages)
+
+
+def test_fields_follow_the_size_of_the_leaf(spark):
+    """A word counts as a field by its share of a leaf, so with more documents ordinary lines do not turn into templates of their own."""
+    r = random.Random(1)
+    common = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    for many in (400, 4000):
+        rows = [(i, f"we saw {' '.join(r.choices(common, k=6))}") for i in range(many)]
+        assert line_templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string"), usual=0.05).where("n_dropped > 0").isEmpty()
+
+
+CLASHES = ["id", "fp", "gone", "frequent", "host", "block", "possible", "row", "lines", "n_lines", "n_dropped", "fp_", "id_", "h", "w0", "taken", "part", "node"]
+
+
+def test_clashing_names(spark):
+    docs = documents(spark).select("doc_id", "text", "source", *(F.lit(7).alias(c) for c in CLASHES))
+    for out, own in ((quality_rules.clean(docs), []), (line_templates.drop_recurring(docs, least=3), ["n_lines", "n_dropped"])):
+        assert sorted(out.columns) == sorted(docs.columns)
+        assert {tuple(r) for r in out.select([c for c in CLASHES if c not in own]).distinct().collect()} == {(7,) * (len(CLASHES) - len(own))}
+    pages = spark.createDataFrame([(1, "http://a.com/x")], "page_id long, url string").select("*", *(F.lit(7).alias(c) for c in CLASHES))
+    asked = url_filter.ask(pages, "url", pages, 4)
+    assert asked.columns == [*pages.columns, "possible"] and asked.drop("possible").first()["block"] == 7
+
+
 # op6
 
 

@@ -74,7 +74,7 @@ def text_counts(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, f"doc_id long, host long, fp long, {', '.join(f'{x} long' for x in _STATS)}, lines array<struct<h:long,words:long>>")
 
 
-def judge(docs: DataFrame, least: int = 20, share: float = 0.1, left: float = 0.3) -> DataFrame:
+def judge(docs: DataFrame, least: int = 5, share: float = 0.01, left: float = 0.3) -> DataFrame:
     """Counts and verdict of every row of ``docs`` (doc_id, source, text).
 
     Returns doc_id, fp (hash of the text), the five counts, base_failed (fewer than 50 words, or more than half of them in
@@ -97,13 +97,23 @@ def judge(docs: DataFrame, least: int = 20, share: float = 0.1, left: float = 0.
 
 
 def clean(docs: DataFrame, **limits: float) -> DataFrame:
-    """The documents that ``judge`` keeps, with all their columns, without their lines above the limit; n_chars follows the text."""
-    kept = judge(docs, **limits).where("kept").select(F.coalesce("doc_id", F.lit(0)).alias("id_"), F.col("fp").alias("fp_"), "frequent").dropDuplicates(["id_", "fp_"])
-    rows = docs.join(kept, (F.coalesce(docs.doc_id, F.lit(0)) == kept.id_) & (F.xxhash64(F.coalesce(docs.text, F.lit(""))) == kept.fp_)).drop("id_", "fp_")
+    """The documents that ``judge`` keeps, with all their columns, without their lines above the limit; n_chars follows the text.
+
+    Null and empty texts fail the base and go. Rows that repeat a doc_id are judged each. An empty table gives no rows, very long texts are judged whole, and
+    columns of any name are carried along.
+    """
+    kept = judge(docs, **limits).where("kept").select(F.coalesce("doc_id", F.lit(0)).alias("id"), "fp", "frequent").dropDuplicates(["id", "fp"])
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("fp"))
+    rows = rows.join(kept, ["id", "fp"])
 
     @F.pandas_udf("string")
     def without(texts, frequent):
-        return texts.combine(frequent, lambda t, f: t if not len(f) else "\n".join(x for x in t.split("\n") if not x.strip(_BLANK) or line_hash(x) not in set(f.tolist())))
+        def keep(text: str, hashes: np.ndarray) -> str:
+            gone = set(hashes.tolist())
+            return "\n".join(x for x in text.split("\n") if not x.strip(_BLANK) or line_hash(x) not in gone)
+
+        return texts.combine(frequent, lambda t, f: keep(t, f) if len(f) else t)
 
-    rows = rows.withColumn("text", F.when(F.size("frequent") > 0, without("text", "frequent")).otherwise(F.col("text"))).drop("frequent")
-    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else rows.select(*docs.columns)
+    rows = rows.select("row", F.when(F.size("frequent") > 0, without("row.text", "frequent")).otherwise(F.col("row.text")).alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return rows.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

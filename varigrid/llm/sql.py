@@ -40,7 +40,7 @@ lines AS (
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
 hosts AS (SELECT source, count(DISTINCT text) AS documents FROM docs GROUP BY source),
 counts AS (SELECT source, normal, count(DISTINCT text) AS n FROM lines GROUP BY source, normal),
-frequent AS (SELECT c.source, c.normal FROM counts c JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source WHERE c.n > 20 AND c.n > 0.1::DOUBLE * h.documents),
+frequent AS (SELECT c.source, c.normal FROM counts c JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source WHERE c.n > 5 AND c.n > 0.01::DOUBLE * h.documents),
 hit AS (SELECT doc_id, sum(l.n) AS n FROM lines l JOIN frequent f ON l.source IS NOT DISTINCT FROM f.source AND l.normal = f.normal GROUP BY doc_id),
 stats AS (
   SELECT w.doc_id, len(w.w)::BIGINT AS n_words, length(regexp_replace(w.text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
@@ -57,18 +57,26 @@ lines AS (
   SELECT doc_id, text, pos, line, regexp_extract_all(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '{_WORD}') AS words
   FROM (SELECT doc_id, text, unnest(all_lines) AS line, unnest(range(1, len(all_lines) + 1)) AS pos FROM raw)),
 keyed AS (SELECT doc_id, text, pos, line, len(words) AS n, array_to_string(words, ' ') AS key, words, concat_ws(' ', len(words), words[1], words[2]) AS leaf FROM lines),
-leaves AS (SELECT leaf FROM keyed WHERE n > 0 GROUP BY leaf HAVING count(DISTINCT text) >= 10),
+leaves AS (SELECT leaf, count(DISTINCT text) AS documents FROM keyed WHERE n > 0 GROUP BY leaf HAVING count(DISTINCT text) >= 10),
 kinds AS (SELECT leaf, key, any_value(words) AS words, any_value(n) AS n, count(DISTINCT text) AS c FROM keyed WHERE n > 0 AND leaf IN (SELECT leaf FROM leaves) GROUP BY leaf, key),
 places AS (SELECT leaf, key, n, c, unnest(words) AS word, unnest(range(1, n + 1)) AS nth FROM kinds),
-usual AS (SELECT leaf, nth, word FROM places GROUP BY leaf, nth, word HAVING sum(c) >= 10),
+usual AS (SELECT leaf, nth, word FROM places JOIN leaves USING (leaf) GROUP BY leaf, nth, word, documents HAVING sum(c) >= 10 AND sum(c) >= 0.01::DOUBLE * documents),
 fields AS (SELECT p.leaf, p.key, p.n, p.nth, CASE WHEN u.word IS NOT NULL AND p.word <> '<*>' THEN p.word ELSE '<*>' END AS word FROM places p LEFT JOIN usual u ON p.leaf = u.leaf AND p.nth = u.nth AND p.word = u.word),
 templates AS (SELECT leaf, key, string_agg(word, ' ' ORDER BY nth) AS template FROM fields GROUP BY leaf, key HAVING count(*) FILTER (WHERE word <> '<*>') >= 0.5::DOUBLE * count(*)),
 often AS (SELECT t.leaf, t.template FROM templates t JOIN keyed k ON t.leaf = k.leaf AND t.key = k.key GROUP BY t.leaf, t.template HAVING count(DISTINCT k.text) >= 10),
 recurring AS (SELECT DISTINCT t.leaf, t.key FROM templates t JOIN often o ON t.leaf = o.leaf AND t.template = o.template),
-flagged AS (SELECT k.doc_id, k.pos, k.line, k.n, r.key IS NOT NULL AS gone FROM keyed k LEFT JOIN recurring r ON k.leaf = r.leaf AND k.key = r.key),
+hits AS (SELECT k.doc_id, k.text, k.pos, k.line, k.n, k.leaf, k.key, r.key IS NOT NULL AS gone FROM keyed k LEFT JOIN recurring r ON k.leaf = r.leaf AND k.key = r.key),
+mostly AS (SELECT text FROM hits GROUP BY text HAVING 2 * sum(CASE WHEN gone THEN n ELSE 0 END) > sum(n)),
+held AS (SELECT DISTINCT md5(text) AS digest, pos, leaf, key, n FROM hits WHERE gone AND text IN (SELECT text FROM mostly)),
+other AS (SELECT leaf, key, min(digest) AS other FROM held GROUP BY leaf, key),
+pairs AS (SELECT DISTINCT h.digest, o.other FROM held h JOIN other o ON h.leaf = o.leaf AND h.key = o.key WHERE h.digest <> o.other),
+shared AS (SELECT p.digest, p.other, sum(x.n) AS n FROM pairs p JOIN held x ON x.digest = p.digest SEMI JOIN held y ON y.digest = p.other AND y.leaf = x.leaf AND y.key = x.key GROUP BY p.digest, p.other),
+own AS (SELECT md5(text) AS digest, sum(n) AS n FROM (SELECT DISTINCT text, pos, n FROM hits) GROUP BY text),
+copies AS (SELECT unnest([s.digest, s.other]) AS digest FROM shared s JOIN own o ON s.digest = o.digest WHERE s.n > 0.5::DOUBLE * o.n),
+flagged AS (SELECT doc_id, pos, line, gone AND md5(text) NOT IN (SELECT digest FROM copies) AS gone FROM hits),
 dropped AS (
   SELECT doc_id, count(*) FILTER (WHERE gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept
-  FROM flagged GROUP BY doc_id HAVING count(*) FILTER (WHERE gone) > 0 AND sum(n) FILTER (WHERE gone) <= 0.5::DOUBLE * sum(n))
+  FROM flagged GROUP BY doc_id HAVING count(*) FILTER (WHERE gone) > 0)
 SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_lines, coalesce(s.n_dropped, 0)::BIGINT AS n_dropped, sha256(coalesce(s.kept, d.text)) AS kept_sha256
 FROM documents d LEFT JOIN dropped s ON d.doc_id = s.doc_id
 """

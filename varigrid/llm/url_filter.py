@@ -74,12 +74,12 @@ def ask(rows: DataFrame, key: str, keys: DataFrame, blocks: int) -> DataFrame:
 
     The filter's size is bounded by its blocks, so it is broadcast.
     """
-    columns = [F.col(c) for c in rows.columns]
-    joined = rows.withColumn("block", _block(F.col(key), blocks)).join(F.broadcast(bloom(keys, key, blocks)), "block", "left")
-    passed = F.lit(True)
-    for i, bit in enumerate(_bits(F.col(key))):
+    held = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), _block(F.col(key), blocks).alias("block"))
+    joined = held.join(F.broadcast(bloom(keys, key, blocks)), "block", "left")
+    asked, passed = F.col(f"row.`{key}`"), F.lit(True)
+    for i, bit in enumerate(_bits(asked)):
         passed &= F.coalesce(F.col(f"w{i}").bitwiseAND(bit) != 0, F.lit(False))
-    return joined.select(*columns, (F.col(key).isNotNull() & passed).alias("possible"))
+    return joined.select(*(F.col(f"row.`{c}`").alias(c) for c in rows.columns), (asked.isNotNull() & passed).alias("possible"))
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], bits_per_key: int = 16) -> DataFrame:
