@@ -55,3 +55,11 @@ def test_leftmost_min():
     x = r.integers(0, 5, 200).astype(np.uint64)
     for w in (1, 2, 3, 7, 28, 30):
         assert _leftmost_min(x, w).tolist() == [i + int(np.argmin(x[i : i + w])) for i in range(len(x) - w + 1)]
+
+
+def test_many_repeated_rows(spark):
+    """Rows that repeat one id and one text cost their number, not its square."""
+    text = " ".join(f"w{i % 290}" for i in range(300))
+    docs = spark.createDataFrame([(None if i % 2 else 7, text) for i in range(4000)] + [(9, "alone " * 3)], "doc_id long, text string")
+    rows = remove_repeated_passages(docs).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert {tuple(r) for r in rows} == {(None, 300, 300, 2000), (7, 300, 300, 2000), (9, 3, 0, 1)}

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varigrid.llm.common import store
+from varigrid.llm.common import discard, store
 from varigrid.llm.ragged import batches, spans, split, windows
 
 SEED = 6
@@ -123,25 +123,28 @@ def remove_repeated_passages(docs: DataFrame, length: int = 35, seed: int = SEED
     Returns, for every row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, spans (removed word ranges, end
     exclusive) and kept_text (the kept words joined by one space). Windows are judged on the input. Null and empty
     texts have no words and give 0, 0, [] and ''. Rows that repeat a text, with the same doc_id or another, are
-    occurrences of their own, so all their windows repeat. Other columns are ignored. Windows are compared by 64-bit
-    hashes of their words. Shuffled data: about one row of 30 bytes for 12 words, then the texts once.
+    occurrences of their own, so all their windows repeat. An empty table gives no rows, other columns are ignored, and very long texts are cut
+    nowhere. Windows are compared by 64-bit hashes of their words, and the hash decides: words are not looked at again. Shuffled data: about one row of 30 bytes for 12 words, then the texts once.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("fp"), "text")
     found = document_runs(keyed.select("id", "fp", "text"), length, seed)
     paths = found.groupBy("minimizer").agg(F.count(F.lit(1)).alias("c"), F.min("run").alias("a"), F.max("run").alias("z")).where("c > 1").select("minimizer", (F.col("a") != F.col("z")).alias("branches"))
     paths = store(paths, "minimizers")  # as a table, so that a frequent minimizer is split in the join
     repeated = store(found.join(paths, "minimizer").select("id", "fp", "at", "n", "run", "branches"), "paths")
+    discard(paths)
     here = F.struct("id", "fp", "at")
-    whole = repeated.where("branches").groupBy("run").agg(F.count(F.lit(1)).alias("times"), F.min(here).alias("one"))
+    whole = store(repeated.where("branches").groupBy("run").agg(F.count(F.lit(1)).alias("times"), F.min(here).alias("one")), "whole")  # a frequent run likewise
     branching = repeated.where("branches").join(whole, "run").select("id", "fp", "at", "n", (F.col("times") > 1).alias("sure"), ((F.col("times") == 1) | (F.col("one") == here)).alias("unpack"))
     plain = repeated.where("NOT branches").select("id", "fp", "at", "n", F.lit(True).alias("sure"), F.lit(False).alias("unpack"))
     marked = store(plain.unionByName(branching), "marked")
-    texts = keyed.repartition(n, "id", "fp")
+    discard(repeated, whole)
     run = F.struct("at", "n")
-    unpack = marked.where("unpack").groupBy("id", "fp").agg(F.collect_list(run).alias("open"))
-    edges = _single_edges(texts.join(unpack, ["id", "fp"]).select("doc_id", "id", "fp", "text", "open"), length)
+    # Rows that repeat an id and a text have the same runs, so a set holds them once and no more than the text has.
+    unpack = store(marked.where("unpack").groupBy("id", "fp").agg(F.collect_set(run).alias("open")), "unpack")
+    edges = _single_edges(keyed.join(unpack, ["id", "fp"]).select("doc_id", "id", "fp", "text", "open"), length)
     again = edges.groupBy("edge").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("edge")
     single = edges.join(again, "edge").select("id", "fp", "at", F.lit(1).alias("n"))
-    cover = marked.where("sure").select("id", "fp", "at", "n").unionByName(single).groupBy("id", "fp").agg(F.collect_list(run).alias("cover"))
-    return _without_spans(texts.join(cover, ["id", "fp"], "left").select("doc_id", "text", "cover"), length)
+    cover = marked.where("sure").select("id", "fp", "at", "n").unionByName(single).groupBy("id", "fp").agg(F.collect_set(run).alias("cover"))
+    cover = store(cover, "cover")
+    discard(marked, unpack)
+    return _without_spans(keyed.join(cover, ["id", "fp"], "left").select("doc_id", "text", "cover"), length)

@@ -111,7 +111,11 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes: int = 2
 
 
 def read(index: DataFrame, path: str, gap: int = 1 << 16, most: int = 8 << 20) -> DataFrame:
-    """Records of the selected index rows, read in order of file and offset; ranges at most ``gap`` bytes apart share a read of up to ``most`` bytes."""
+    """Records of the selected index rows, read in order of file and offset; ranges at most ``gap`` bytes apart share a read of up to ``most`` bytes.
+
+    Reads are dealt by the bytes that they fetch, not by the few bytes of their index rows: to a task for each 64 MB, and to as many tasks as the session's
+    shuffle partitions at least. No selected rows give no records.
+    """
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, where = pafs.FileSystem.from_uri(path)
@@ -134,7 +138,8 @@ def read(index: DataFrame, path: str, gap: int = 1 << 16, most: int = 8 << 20) -
                 yield pa.RecordBatch.from_pylist(parsed, schema)
                 i = j
 
-    picked = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    n = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(index.agg(F.sum("length")).first()[0] or 0) // (64 << 20)))
+    picked = index.select("file", "offset", "length").repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset")
     return picked.mapInArrow(work, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
