@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from varigrid.llm.common import discard, store
 from varigrid.llm.components import components
 from varigrid.llm.ragged import batches, mix, spans, split, windows
-from varigrid.llm.url_filter import ask, blocks_for
+from varigrid.llm.url_filter import divide
 
 #: Cells in which elements are counted for their order; they bound what the driver holds, and what goes to each task.
 CELLS = 1 << 20
@@ -263,8 +263,7 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, split_: int = 2, sub:
     pairs = shared.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
     nodes = shared.select("node").union(shared.select("lead")).distinct()
     one = store(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("fp").alias("fp")), "nodes")
-    rows = ask(docs.select("fp", "text"), "fp", one, blocks_for(one.count())).where("possible").select("fp", "text")
-    texts = store(rows.join(one, "fp").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    texts = store(divide(docs.select("fp", "text"), "fp", one)[0].join(one, "fp").groupBy("node").agg(F.first("text").alias("text")), "texts")
     linked = F.expr(f"100 * both >= {percent} * all")
     links = store(_compared(pairs, texts, k).where(linked).select("a", "b"), "linked")
     found = store(components(links), "components")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varigrid.llm.common import SPACE, discard, store
-from varigrid.llm.url_filter import ask, blocks_for
+from varigrid.llm.url_filter import ask, blocks_for, divide
 
 FIELD = "<*>"
 #: A longest run of characters other than the six of white space that holds a digit; it is tried once for each run.
@@ -91,10 +91,13 @@ def drop_recurring(docs: DataFrame, least: int = 10, usual: float = 0.01, fixed:
     found, gone = recurring(docs.select("doc_id", "text"), least, usual, fixed)
     hits = store(found.join(gone.select("leaf", "h"), ["leaf", "h"]), "hits")
     marks = hits.join(_copies(docs.select("text"), found, hits, same), "fp", "left_anti").groupBy("id", "fp").agg(F.collect_set("pos").alias("gone"))
-    discard(found, gone)
+    marks = store(marks.withColumn("key", F.xxhash64("id", "fp")), "marks")
+    discard(found, gone, hits)
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("fp"), F.split("text", "\n").alias("lines"))
-    rows = rows.join(marks, ["id", "fp"], "left")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("fp"))
+    some, none = divide(rows.withColumn("key", F.xxhash64("id", "fp")), "key", marks)
+    rows = some.join(marks.drop("key"), ["id", "fp"], "left").select("row", "gone").unionByName(none.select("row", F.lit(None).cast("array<int>").alias("gone")))
+    rows = rows.withColumn("lines", F.split("row.text", "\n"))
     kept = F.array_join(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)), "\n")
     text = F.when(F.col("gone").isNotNull() & F.col("lines").isNotNull(), kept).otherwise(F.col("row.text"))
     n_lines = F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long")

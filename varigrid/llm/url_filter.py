@@ -82,6 +82,15 @@ def ask(rows: DataFrame, key: str, keys: DataFrame, blocks: int) -> DataFrame:
     return joined.select(*(F.col(f"row.`{c}`").alias(c) for c in rows.columns), (asked.isNotNull() & passed).alias("possible"))
 
 
+def divide(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that may have a ``key`` of ``keys`` (a stored table), and rows that have none; only the first need a join.
+
+    The filter is sized by the number of keys, up to ``MOST_BLOCKS`` blocks; beyond that more rows pass without need.
+    """
+    asked = ask(rows, key, keys.select(key), blocks_for(keys.count()))
+    return asked.where("possible").drop("possible"), asked.where("NOT possible").drop("possible")
+
+
 def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], bits_per_key: int = 16) -> DataFrame:
     """Verdict, allow or block, of every row of ``pages`` (page_id, url).
 
