@@ -11,18 +11,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varigrid.llm import jaccard_join, line_templates, mixing, packing, quality_rules
-from varigrid.llm.common import new_path, table
+from varigrid.llm.common import new_path, store, table
+from varigrid.llm.url_filter import divide
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go; lines that too many documents of a host share go from the others."""
+    """Documents that the quality rules reject go; lines that too many documents of a host share go from the others.
+
+    Null and empty texts are rejected; rows that repeat a doc_id are judged each, very long texts whole; an empty table stays empty. Columns beyond
+    those of documents are left out.
+    """
     return quality_rules.clean(docs.select(*COLUMNS))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go."""
+    """Lines of recurring templates go, but no document does.
+
+    A null text stays null and an empty one empty; rows that repeat a doc_id are handled each, very long texts line by line; an empty table stays
+    empty. Columns beyond those of documents are left out.
+    """
     out = line_templates.drop_recurring(docs.select(*COLUMNS))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
@@ -30,25 +39,35 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays (five-word shingles, similarity 0.8): that with the smallest doc_id.
 
-    Of rows that repeat that doc_id with one text, the one with the smallest lang and source stays; a group without any doc_id stays whole.
+    Of rows that repeat that doc_id with one text, the one with the smallest lang and source stays; a group without any doc_id stays whole. Null and empty
+    texts are no duplicates of anything, though rows that repeat one doc_id without words become one; very long texts are compared whole; an
+    empty table stays empty. Columns beyond those of documents are left out. Documents that go or repeat are few; a Bloom
+    filter of bounded size passes them and a few others to the joins, and the rest needs none.
     """
     docs = docs.select(*COLUMNS)
     groups = jaccard_join.near_duplicates(docs, 5, 80, split_=1, sub=1)
-    gone = groups.where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(F.col("doc_id").alias("id_"), F.col("fp").alias("fp_")).distinct()
-    rows = docs.withColumn("fp", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("fp") == F.col("fp_")), "left_anti")
-    keys = rows.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id_"), F.col("fp").alias("fp_")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    repeated = (F.col("doc_id") == F.col("id_")) & (F.col("fp") == F.col("fp_"))
+    goes = F.coalesce((F.col("doc_id") != F.col("component_id")) | (F.col("doc_id").isNull() & F.col("component_id").isNotNull()), F.lit(False))
+    found = groups.groupBy("doc_id", "fp").agg(F.bool_or(goes).alias("goes"), F.count(F.lit(1)).alias("n"))
+    found = found.where("goes OR (n > 1 AND doc_id IS NOT NULL)").select(F.xxhash64(F.col("doc_id").isNull(), "doc_id", "fp").alias("key"), F.col("doc_id").alias("id"), F.col("fp").alias("fp_"), "goes")
+    found = store(found, "found")
+    rows = docs.withColumn("fp", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "fp"))
+    some, none = divide(rows, "key", found)
+    some = some.join(found.withColumnRenamed("key", "key_"), (F.col("key") == F.col("key_")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("fp") == F.col("fp_")), "left").where("goes IS NULL OR NOT goes")
     rest = [c for c in COLUMNS if c != "doc_id"]
-    one = rows.join(keys, repeated, "left_semi").groupBy("doc_id", "fp").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("r")).select("doc_id", *(f"r.{c}" for c in rest))
-    return rows.join(keys, repeated, "left_anti").select(*COLUMNS).unionByName(one)
+    one = some.where("goes IS NOT NULL").groupBy("doc_id", "fp").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("r")).select("doc_id", *(f"r.{c}" for c in rest))
+    return none.select(*COLUMNS).unionByName(some.where("goes IS NULL").select(*COLUMNS)).unionByName(one)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often and as much as the mix takes of it: whole texts, and the text of the selected blocks."""
+    """Each document as often and as much as the mix takes of it: whole texts, and the text of the selected blocks.
+
+    Null and empty texts have no words and are not taken; tied rows (one doc_id, text and source) share a place in the plan, of which the earliest stands
+    for all; very long texts are cut by blocks of words like any other; an empty table stays empty. Columns beyond those of documents are left out.
+    """
     block = 64
     docs = docs.select(*COLUMNS)
-    plan = mixing.mix(docs, block=block).where("taken > 0").select(F.col("doc_id").alias("id_"), F.col("fp").alias("fp_"), F.col("source").alias("source_"), "repeats", "low", "once", "blocks", "shift").dropDuplicates(["id_", "fp_", "source_"])
+    plan = mixing.mix(docs, block=block).where("taken > 0").select(F.col("doc_id").alias("id_"), F.col("fp").alias("fp_"), F.col("source").alias("source_"), F.struct("low", "repeats", "once", "blocks", "shift").alias("p"))
+    plan = plan.groupBy("id_", "fp_", "source_").agg(F.min("p").alias("p")).select("id_", "fp_", "source_", "p.*")
     keyed = docs.withColumn("fp", F.xxhash64(F.coalesce("text", F.lit(""))))
     rows = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("fp") == F.col("fp_")) & F.col("source").eqNullSafe(F.col("source_")))
     rows = rows.select(*COLUMNS, F.explode(F.sequence(F.lit(0), "repeats")).alias("pass_"), "repeats", "low", "once", "blocks", "shift")
@@ -78,7 +97,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of 1024 tokens: where each piece of each document goes, and its ids."""
+    """Token sequences of 1024 tokens: where each piece of each document goes, and its ids.
+
+    Null and empty texts are the end id alone; rows that repeat are packed each; only texts of more than 1024 tokens are cut; an empty table gives no rows.
+    """
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 1024, with_ids=True)
 
 
