@@ -125,6 +125,13 @@ def test_lineage(spark):
     assert nodes(lineage.required_for(e, start("d"))) == list("abcd") and nodes(lineage.dependents(e, start("c"))) == list("cde")
     assert {(r.node, r.level) for r in lineage.levels(e).collect()} == {("a", 1), ("b", 2), ("c", 2), ("d", 3), ("e", 4)}
     assert nodes(lineage.check_acyclic(e)) == [] and nodes(lineage.check_acyclic(e.union(spark.createDataFrame([("e", "c")], e.schema)))) == list("cde")
+    order = lambda mode: [r.node for r in lineage.order_nodes(lineage.levels(e), mode).collect()]
+    assert order("breadth") == list("abcde") and order("depth") == list("edbca") and sorted(order("arbitrary")) == list("abcde")
+    for cycle in ([("x", "y"), ("y", "x")], [("a", "b"), ("b", "c"), ("c", "b")]):
+        with pytest.raises(ValueError, match="cycle"):
+            lineage.levels(spark.createDataFrame(cycle, e.schema))
+    led = spark.createDataFrame([("a", 1), ("b", 2)], "node string, version int")
+    assert sorted(map(tuple, lineage.invalidated(led, start("b")).collect())) == [("a", 1, False), ("b", 2, False), ("b", 2, True)]
     assert sorted(map(tuple, lineage.collapse(e, spark.createDataFrame([("b",), ("d",)], "node string")).collect())) == [("a", "c"), ("a", "e"), ("c", "e")]
 
 

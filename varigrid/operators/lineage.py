@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varigrid.sources import cut
+from varigrid.sources import stored
 
 
 def parents(edges: DataFrame, keys: DataFrame) -> DataFrame:
@@ -19,12 +20,14 @@ def children(edges: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def _closure(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
-    """Rows reachable by ``step``; every round only looks at rows that are new, and cuts the plan in the checkpoint folder."""
-    seen = frontier = cut(start.select(*keys).distinct())
+    """Rows reachable by ``step``; every round looks at new rows alone and writes them once, as a table of the shared folder."""
+    frontier = stored(start.select(*keys).distinct())
+    found = [frontier]
     while not frontier.isEmpty():
-        frontier = cut(step(frontier).select(*keys).distinct().join(seen, keys, "left_anti"))
-        seen = cut(seen.union(frontier))
-    return seen
+        seen = reduce(DataFrame.union, found)
+        frontier = stored(step(frontier).select(*keys).distinct().join(seen, keys, "left_anti"))
+        found.append(frontier)
+    return reduce(DataFrame.union, found)
 
 
 def required_for(edges: DataFrame, goals: DataFrame) -> DataFrame:
@@ -43,30 +46,51 @@ def invalidate(edges: DataFrame, ledger: DataFrame, matching: Column, name_match
     return (victims.distinct() if name_match_only else dependents(edges, victims)).join(ledger.select("node").distinct(), "node", "left_semi")
 
 
+def invalidated(ledger: DataFrame, victims: DataFrame) -> DataFrame:
+    """The ledger with rows appended that mark the victims (node) invalidated; the rows before stay as its history."""
+    rest = [c for c in ledger.columns if c not in ("node", "invalidated")]
+    rows = victims.select("node").distinct().join(ledger.select("node", *rest).distinct(), "node").withColumn("invalidated", F.lit(True))
+    before = ledger if "invalidated" in ledger.columns else ledger.withColumn("invalidated", F.lit(False))
+    return before.unionByName(rows.select(*before.columns))
+
+
 def relaxations(edges: DataFrame, pins: DataFrame) -> DataFrame:
     """Pins (node, branch) are allowed on all ancestors of the node as well."""
     up = lambda f: f.join(edges, f.node == edges.child).select(F.col("parent").alias("node"), "branch")
     return _closure(pins, up, ["node", "branch"])
 
 
+def _peeled(edges: DataFrame) -> list[DataFrame]:
+    """Nodes level by level, each once: a node follows as soon as the last of its parents has been taken. Nodes on or after a cycle are in none."""
+    edges = edges.select("parent", "child").distinct()
+    need = stored(edges.groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("need")))
+    frontier = stored(roots(edges))
+    levels_, waiting = [frontier], None
+    while not frontier.isEmpty():
+        got = edges.join(frontier.select(F.col("node").alias("parent")), "parent", "left_semi").groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("got"))
+        if waiting is not None:
+            got = got.unionByName(waiting).groupBy("node").agg(F.sum("got").alias("got"))
+        counted = stored(got.join(need, "node"))
+        frontier = counted.where("got = need").select("node")
+        waiting = counted.where("got < need").select("node", "got")
+        levels_.append(frontier)
+    return levels_
+
+
 def levels(edges: DataFrame) -> DataFrame:
     """node, level: 1 for roots, else one more than the highest parent. A cycle is an error."""
     nodes = edges.select(F.col("parent").alias("node")).union(edges.select(F.col("child").alias("node"))).distinct()
-    limit = None
-    level = cut(roots(edges).withColumn("level", F.lit(1)))
-    frontier, n = level.select("node"), 1
-    while not frontier.isEmpty():
-        n += 1
-        limit = limit or nodes.count() + 1
-        if n > limit:
-            raise ValueError("the edges have a cycle")
-        frontier = cut(children(edges, frontier))
-        level = cut(level.union(frontier.withColumn("level", F.lit(n))).groupBy("node").agg(F.max("level").alias("level")))
-    return level
+    out = reduce(DataFrame.union, (f.select("node", F.lit(i).alias("level")) for i, f in enumerate(_peeled(edges), 1)))
+    if out.count() < nodes.count():
+        raise ValueError("the edges have a cycle")
+    return out
 
 
 def order_nodes(level: DataFrame, mode: str = "breadth") -> DataFrame:
-    return level.orderBy(F.col("level") if mode == "breadth" else F.col("level").desc(), "node")
+    """Nodes in an order in which parents come first (``breadth``), children come first (``depth``), or in any (``arbitrary``, no sort)."""
+    if mode not in ("breadth", "depth", "arbitrary"):
+        raise ValueError("mode is breadth, depth or arbitrary")
+    return level if mode == "arbitrary" else level.orderBy(F.col("level") if mode == "breadth" else F.col("level").desc(), "node")
 
 
 def roots(edges: DataFrame) -> DataFrame:
@@ -74,9 +98,17 @@ def roots(edges: DataFrame) -> DataFrame:
 
 
 def check_acyclic(edges: DataFrame) -> DataFrame:
-    """Nodes that reach themselves; empty if there is no cycle."""
-    step = lambda f: f.join(edges, f.b == edges.parent).select("a", F.col("child").alias("b"))
-    return _closure(edges.select(F.col("parent").alias("a"), F.col("child").alias("b")), step, ["a", "b"]).where("a = b").select(F.col("a").alias("node"))
+    """Nodes that lie on a cycle or between cycles; empty if there is none.
+
+    Roots are peeled off level by level, then leaves likewise, so every edge is looked at a few times and no pairs of nodes are made.
+    """
+    def left(e: DataFrame) -> DataFrame:
+        gone = reduce(DataFrame.union, _peeled(e))
+        return stored(e.join(gone.select(F.col("node").alias("parent")), "parent", "left_anti").select("parent", "child"))
+
+    back = lambda e: e.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
+    rest = left(back(left(edges.select("parent", "child").distinct())))
+    return rest.select(F.col("parent").alias("node")).union(rest.select("child")).distinct()
 
 
 def collapse(edges: DataFrame, virtual: DataFrame) -> DataFrame:

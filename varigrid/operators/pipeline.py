@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Observation
+from pyspark.sql import Column, Observation
 from pyspark.sql import functions as F
 
 from varigrid.operators.variants import VariantFrame, branch, graft, vjoin
@@ -41,7 +41,9 @@ def derive(steps: Sequence[Step], sources: Mapping[str, VariantFrame], clause: M
     return out
 
 
-def observed(vf: VariantFrame, name: str) -> tuple[VariantFrame, Observation]:
-    """Count rows in passing; read ``observation.get`` after an action."""
+def observed(vf: VariantFrame, name: str, accept: Column | None = None) -> tuple[VariantFrame, Observation]:
+    """Count rows in passing: seen, and accepted and discarded by ``accept``, which keeps the accepted; read ``observation.get`` after an action."""
     o = Observation(name)
-    return VariantFrame(vf.df.observe(o, F.count(F.lit(1)).alias("rows")), vf.points, vf.masks), o
+    ok = F.lit(True) if accept is None else F.coalesce(accept, F.lit(False))
+    df = vf.df.observe(o, F.count(F.lit(1)).alias("seen"), F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("discarded"))
+    return VariantFrame(df if accept is None else df.where(ok), vf.points, vf.masks), o

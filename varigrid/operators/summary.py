@@ -60,6 +60,13 @@ def metric(df: DataFrame, by: Sequence[str], **values: Column) -> DataFrame:
     return wide.select(*by, rows.alias("m")).select(*by, "m.*")
 
 
+def first_row(df: DataFrame, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """The first row in the order of some columns, of all or of each group; an empty table has none."""
+    rest = [c for c in df.columns if c not in by]
+    first = df.groupBy(*by).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r_"))
+    return first.where("r_ IS NOT NULL").select(*by, "r_.*")
+
+
 def tabular(df: DataFrame, keys: Sequence[tuple[str, str, bool]]) -> DataFrame:
     """Sort by several keys (column, ``text`` or ``number``, descending)."""
     cols = [F.col(c).cast("double") if kind == "number" else F.col(c).cast("string") for c, kind, _ in keys]

@@ -52,9 +52,8 @@ def _named(df: DataFrame, *points: BranchPoint) -> DataFrame:
 def sweep_one_off(spark, d):
     """Line count and revenue with one threshold varied at a time."""
     points = [MIN_QTY, MIN_DISC]
-    holds = lambda: (F.col("l_quantity") >= F.col("val_MinQty")) & (F.col("l_discount") >= F.col("val_MinDisc"))
-    aggs = [F.sum(v).alias(n) for n, v in _sums().items()]
-    return _named(sweep.sweep(t(spark, d, "lineitem"), points, plans.one_off(points), holds, aggs), *points)
+    on = {"MinQty": "l_quantity", "MinDisc": "l_discount"}
+    return _named(sweep.sweep_thresholds(t(spark, d, "lineitem"), points, plans.one_off(points), on, _sums()), *points)
 
 
 @query(f"{_SWEEP} GROUP BY ALL")
@@ -251,6 +250,10 @@ _EDGES = """(SELECT 'region:' || n_regionkey AS parent, 'nation:' || n_nationkey
  UNION SELECT 'supplier:' || l_suppkey, 'line:' || l_orderkey || '/' || l_linenumber FROM lineitem)"""
 
 
+def _edge_sql() -> str:
+    return _EDGES
+
+
 def entity_edges(spark: SparkSession, d: str) -> DataFrame:
     """Edges region, nation, customer or supplier, order, line of the tables' keys."""
     def edge(name: str, a: str, ac: str, b: str, *bc: str) -> DataFrame:
@@ -261,7 +264,7 @@ def entity_edges(spark: SparkSession, d: str) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return sources.cut(out.distinct())
+    return sources.stored(out.distinct())
 
 
 @query(f"WITH RECURSIVE e AS {_EDGES}, r AS (SELECT DISTINCT 'line:' || l_orderkey || '/' || l_linenumber AS node FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-06-01' UNION SELECT parent FROM r JOIN e ON child = node) SELECT node FROM r")
@@ -319,11 +322,12 @@ def key_check(spark, d):
     return checks.check_keys(t(spark, d, "lineitem").select(F.col("l_orderkey").alias("k")), t(spark, d, "orders").select(F.col("o_orderkey").alias("k")), "k")
 
 
-@query("SELECT s AS l_suppkey, f AS l_returnflag FROM (SELECT DISTINCT l_suppkey AS s FROM lineitem WHERE l_quantity > 49), (VALUES ('A'), ('N'), ('R')) v(f) WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s AND l_returnflag = f AND l_quantity > 49)")
+@query("SELECT k AS c_custkey, f AS o_orderstatus FROM (SELECT DISTINCT o_custkey AS k FROM orders), (VALUES ('F'), ('O'), ('P')) v(f) WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = k AND o_orderstatus = f)")
 def missing_keys(spark, d):
-    """Return flags that a supplier's largest lines lack."""
-    facts = t(spark, d, "lineitem").where("l_quantity > 49").select("l_suppkey", "l_returnflag")
-    return checks.missing_keys(facts, plans.dimension(spark, [FLAG]).select(F.col("branch").alias("l_returnflag")), "l_suppkey", "l_returnflag")
+    """Order statuses that a customer's orders lack."""
+    facts = t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderstatus")
+    statuses = plans.dimension(spark, [BranchPoint("Status", {"F": None, "O": None, "P": None})]).select(F.col("branch").alias("o_orderstatus"))
+    return checks.missing_keys(facts, statuses, "c_custkey", "o_orderstatus")
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
@@ -528,4 +532,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweep_one_off(spark, sf_dir)
 
 
-
+from varigrid import queries_store  # noqa: E402, F401  registers its queries here

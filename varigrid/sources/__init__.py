@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -16,9 +17,13 @@ MANIFEST = "version int, kind string, name string, realization string, task_vers
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, ``spark.checkpoint.dir``; in local mode without one, a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return (base or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -29,6 +34,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the plan by a Parquet table in the shared folder, which later reads can prune."""
+    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumnRenamed("value", "line")
 
@@ -95,11 +107,17 @@ def status_report(ledger: DataFrame) -> DataFrame:
     return ledger.select(*KEY, F.explode(F.concat(rows("inputs"), rows("outputs"), rows("params"))).alias("r")).select(*KEY, "r.*")
 
 
-def archive(df: DataFrame, keys: DataFrame, path: str, attic: str) -> DataFrame:
-    """Append rows of ``keys`` to the attic and return the rest; partitions of ``path`` are left to the caller to replace."""
-    on = [c for c in keys.columns]
+def archive(df: DataFrame, keys: DataFrame, path: str, attic: str, partitions: Sequence[str] = ("task", "realization", "version")) -> DataFrame:
+    """Move the rows of ``keys`` from the table at ``path`` to the attic, and return what the table still holds.
+
+    The rest is written beside the table before the table is replaced, so it is still there if the job stops on the way.
+    """
+    on, spark = list(keys.columns), df.sparkSession
+    keys = stored(keys.distinct())
     df.join(keys, on, "left_semi").write.mode("append").parquet(attic)
-    return df.join(keys, on, "left_anti")
+    rest = stored(df.join(keys, on, "left_anti"))
+    rest.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*partitions).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def purge(df: DataFrame, victims: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 STATES = {"begin": "running", "fail": "failed", "succeed": "completed", "skip": "completed"}
@@ -69,6 +70,6 @@ def ready(events: DataFrame, edges: DataFrame, block_on_failure: bool = True) ->
     return rows.groupBy("child").transformWithStateInPandas(_Gate(block_on_failure), "child string, n_parents long", "Append", "None")
 
 
-def watch_files(spark: SparkSession, path: str, schema: str, fmt: str = "json", seconds: int = 15):
-    """A stream of new files and the trigger to start it with."""
-    return spark.readStream.schema(schema).format(fmt).load(path), {"processingTime": f"{seconds} seconds"}
+def watch_files(spark: SparkSession, path: str, schema: str | StructType, fmt: str = "json", seconds: int = 15, glob: str = "*"):
+    """A stream of new files whose names fit a glob, and the trigger to start it with."""
+    return spark.readStream.schema(schema).format(fmt).option("pathGlobFilter", glob).load(path), {"processingTime": f"{seconds} seconds"}
