@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tests.llm.cases import documents, empty
-from varigrid.llm.components import components
+from varigrid.llm.components import components, merged
 from varigrid.llm.jaccard_join import _sharing, near_duplicates, signatures
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -117,3 +117,13 @@ def test_components(spark):
     want = {(i, find(i)) for a, b in links if a != b for i in (a, b)}
     got = components(spark.createDataFrame(links, "a long, b long")).collect()
     assert {(x.node, x.root) for x in got} == want and len(got) == len(want)
+
+
+def test_merged_components_are_those_of_all_links(spark):
+    r = random.Random(6)
+    links = [(r.randrange(120), r.randrange(120)) for _ in range(90)]
+    frame = lambda x: spark.createDataFrame(x, "a long, b long")
+    want = {(x.node, x.root) for x in components(frame(links)).collect()}
+    for cut in (0, 30, 89):
+        got = merged(components(frame(links[:cut])), frame(links[cut:])).collect()
+        assert {(x.node, x.root) for x in got} == want and len(got) == len(want)

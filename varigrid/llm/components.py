@@ -18,20 +18,32 @@ def components(links: DataFrame) -> DataFrame:
     Every round joins each node's neighbours to the smallest of them (large star: the larger neighbours; small star:
     the smaller ones), so that hot nodes are handled by partial aggregation and split joins. Links of a node to
     itself and repeated links are harmless; an empty table gives an empty one. Rounds grow with the logarithm of
-    the longest chain.
+    the longest chain; they end when every node that has a smaller neighbour has no other one.
     """
     links = store(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    seen = None
     while True:
         both = _both(links)
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        groups = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        if not groups.where("m < a AND n > 1").agg(F.count(F.lit(1))).first()[0]:
+            break
+        least = groups.select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         old, links = links, store(small.where("a <> b").distinct(), "links")
         discard(old)
-        now = tuple(links.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
-        if now == seen:
-            break
-        seen = now
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components ``found`` (node, root) after further links (a, b) between their nodes, or nodes without a row, which are alone so far.
+
+    Only the roots that the links join go through the rounds.
+    """
+    for c in "ab":
+        root = found.select(F.col("node").alias(f"n_{c}"), F.col("root").alias(f"r_{c}"))
+        links = links.join(root, F.col(c) == F.col(f"n_{c}"), "left")
+    above = components(links.select(*(F.coalesce(f"r_{c}", c).alias(c) for c in "ab")))
+    up = above.select(F.col("node").alias("from_"), F.col("root").alias("to_"))
+    moved = found.join(up, F.col("root") == F.col("from_"), "left").select("node", F.coalesce("to_", "root").alias("root"))
+    return moved.unionByName(above.join(found.select("node"), "node", "left_anti"))

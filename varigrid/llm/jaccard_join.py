@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varigrid.llm.common import discard, store
-from varigrid.llm.components import components
+from varigrid.llm.components import components, merged
 from varigrid.llm.ragged import batches, mix, spans, split, windows
 from varigrid.llm.url_filter import divide
 
@@ -267,16 +267,14 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, split_: int = 2, sub:
     linked = F.expr(f"100 * both >= {percent} * all")
     links = store(_compared(pairs, texts, k).where(linked).select("a", "b"), "linked")
     found = store(components(links), "components")
-    for turn in range(rounds):
-        more = _next_pairs(shared, found, turn)
-        if more.isEmpty():
+    for turn in range(rounds + 1):
+        more = _next_pairs(shared, found, turn) if turn < rounds else _close_pairs(shared, found, texts, k, percent)
+        if more is None:
             break
-        links = store(links.unionByName(_compared(more, texts, k).where(linked).select("a", "b")), "linked")
-        found = store(components(links), "components")
-    more = _close_pairs(shared, found, texts, k, percent)
-    links = links.unionByName(_compared(more, texts, k).where(linked).select("a", "b"))
-    found = store(components(links), "components")
-    discard(shared, one, texts, more)
+        links = store(_compared(more, texts, k).where(linked).select("a", "b"), "linked")
+        old, found = found, found if links.isEmpty() else store(merged(found, links), "components")
+        discard(more, links, *([old] if old is not found else ()))
+    discard(shared, one, texts)
     rows = sets.join(found, "node", "left").withColumn("root", F.coalesce("root", F.when(F.col("n_shingles") > 0, F.col("node"))))
     least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "root", "left").select("doc_id", "fp", "n_shingles", F.col("node").alias("set_id"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
@@ -289,15 +287,15 @@ def _members(shared: DataFrame, found: DataFrame) -> DataFrame:
     return members.join(root, F.col("node") == F.col("n_"), "left").select("sig", "node", F.coalesce("r_", "node").alias("root"))
 
 
-def _next_pairs(shared: DataFrame, found: DataFrame, turn: int) -> DataFrame:
-    """For each signature whose sets are in several components, pairs of one drawn set with those of other components."""
+def _next_pairs(shared: DataFrame, found: DataFrame, turn: int) -> DataFrame | None:
+    """For each signature whose sets are in several components, pairs of one drawn set with those of other components; None without any."""
     rows = store(_members(shared, found), "members")
     drawn = F.min_by(F.struct("node", "root"), F.xxhash64(F.lit(turn), "sig", "node"))
     groups = rows.groupBy("sig").agg(drawn.alias("d"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig", "d")
     pairs = rows.join(groups, "sig").where(F.col("root") != F.col("d.root")).select(F.least("node", "d.node").alias("a"), F.greatest("node", "d.node").alias("b"))
     pairs = store(pairs.distinct(), "pairs")
     discard(rows)
-    return pairs
+    return None if pairs.isEmpty() else pairs
 
 
 def _levels(texts: DataFrame, k: int) -> np.ndarray:
@@ -339,8 +337,8 @@ def _prefixes(texts: DataFrame, k: int, percent: int, levels: np.ndarray) -> Dat
     return texts.select("node", "root", "text").mapInArrow(work, "element long, node long, root long, at int, size int")
 
 
-def _close_pairs(shared: DataFrame, found: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs of sets in different components that may be linked, among the sets that share a signature with a set of another component.
+def _close_pairs(shared: DataFrame, found: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """Pairs of sets in different components that may be linked, among the sets that share a signature with a set of another component; None without any such set.
 
     All elements have one order, the frequent last. Two linked sets of m and n elements have (m + n) p / (100 + p) or more in common, so
     the first of these is early in both, and what follows it in either suffices. Sets of a crowd that are not linked differ in
@@ -349,6 +347,8 @@ def _close_pairs(shared: DataFrame, found: DataFrame, texts: DataFrame, k: int,
     rows = _members(shared, found)
     open_ = rows.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig")
     nodes = store(rows.join(open_, "sig", "left_semi").select("node", "root").distinct(), "open")
+    if nodes.isEmpty():
+        return None
     near = store(texts.join(nodes, "node"), "open-texts")
     rows = _prefixes(near, k, percent, _levels(near, k))
     x, y = (rows.select("element", *(F.col(c).alias(f"{c}_{i}") for c in ("node", "root", "at", "size"))) for i in "xy")
