@@ -10,11 +10,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.cases import documents
-from varigrid.llm import mixing, order_minhash, ragged
+from varigrid.llm import mixing, order_minhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALL = 2**64
-BYTES = [int(x) for x in ragged._BYTE]
+ALL = 2**64
+LEFT = 0x9E3779B97F4A7C17
 
 
 def scrambled(x):
@@ -23,20 +24,40 @@ def scrambled(x):
     return x ^ x >> 31
 
 
-def polynomial(values, base):
-    return sum(v * pow(base, i, ALL) for i, v in enumerate(values)) % ALL
+def word_hash(word):
+    h = scrambled((len(word) + LEFT) % ALL)
+    for i in range(0, len(word), 8):
+        h = scrambled(h ^ int.from_bytes(word[i : i + 8], "little"))
+    return h
+
+
+def joined(a, b):
+    return scrambled((a * LEFT + b) % ALL)
+
+
+def doubled(values):
+    """Hash of a power of two of values."""
+    return values[0] if len(values) == 1 else joined(doubled(values[: len(values) // 2]), doubled(values[len(values) // 2 :]))
+
+
+def sequence(values, seed=0xD1342543DE82EF95):
+    h, at = scrambled(len(values) ^ seed), 0
+    for j in range(len(values).bit_length() - 1, -1, -1):
+        if len(values) >> j & 1:
+            h, at = joined(h, doubled(values[at : at + (1 << j)])), at + (1 << j)
+    return h
 
 
 def fingerprint(text, m, l, k):
     """The l smallest numbered k-mers of each of m hash functions, put back in text order and hashed as a tuple."""
     words = [w.encode() for w in WORD.findall(text)]
-    hashes = [scrambled((polynomial([BYTES[c] for c in w], 0x9E3779B97F4A7C15) + len(w)) % ALL) for w in words]
+    hashes = [word_hash(w) for w in words]
     kmers = [tuple(hashes[i : i + k]) for i in range(len(words) - k + 1)] or ([tuple(hashes)] if words else [])
     if not kmers:
         return "0" * 8 * m
     met, numbered = Counter(), []
     for kmer in kmers:
-        numbered.append(scrambled((scrambled(polynomial(kmer, 0xD1342543DE82EF95)) + met[kmer] * 0xA24BAED4963EE407) % ALL))
+        numbered.append(scrambled((sequence(kmer) + met[kmer] * 0xA24BAED4963EE407) % ALL))
         met[kmer] += 1
     out = []
     for i in range(m):

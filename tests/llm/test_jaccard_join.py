@@ -127,3 +127,10 @@ def test_merged_components_are_those_of_all_links(spark):
     for cut in (0, 30, 89):
         got = merged(components(frame(links[:cut])), frame(links[cut:])).collect()
         assert {(x.node, x.root) for x in got} == want and len(got) == len(want)
+
+
+def test_words_that_cancel_out_in_sums_are_not_linked(spark):
+    """Two one-word texts of the Thue-Morse family share nothing."""
+    words = ["".join("ab"[(i.bit_count() + flip) % 2] for i in range(1024)) for flip in (0, 1)]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in near_duplicates(docs, 3, 90).collect()) == [(0, 0), (1, 1)]

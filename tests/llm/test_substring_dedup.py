@@ -63,3 +63,23 @@ def test_many_repeated_rows(spark):
     docs = spark.createDataFrame([(None if i % 2 else 7, text) for i in range(4000)] + [(9, "alone " * 3)], "doc_id long, text string")
     rows = remove_repeated_passages(docs).groupBy("doc_id", "n_words", "n_removed").count().collect()
     assert {tuple(r) for r in rows} == {(None, 300, 300, 2000), (7, 300, 300, 2000), (9, 3, 0, 1)}
+
+
+def thue_morse(n, a, b):
+    return [(a, b)[i.bit_count() % 2] for i in range(n)]
+
+
+def test_hashes_of_words_that_cancel_out_in_sums():
+    """Words and word sequences of the Thue-Morse family, whose polynomials agree modulo a power of two, get hashes of their own."""
+    for n in (64, 512, 1024, 2048, 8192):
+        words = ["".join(thue_morse(n, "a", "b")), "".join(thue_morse(n, "b", "a"))]
+        assert len(set(ragged.split(pa.array(words)).hashes().tolist())) == 2
+        h = ragged.split(pa.array([" ".join(thue_morse(n, "a", "b") + thue_morse(n, "b", "a"))])).hashes()
+        two = ragged.spans(h, np.array([0, n]), np.array([n, 2 * n]))
+        assert two[0] != two[1] and ragged.windows(h, n)[[0, n]].tolist() == two.tolist()
+
+
+def test_passages_that_cancel_out_in_sums_stay(spark):
+    docs = spark.createDataFrame([(1, " ".join(thue_morse(1024, "a", "b"))), (2, " ".join(thue_morse(1024, "b", "a")))], "doc_id long, text string")
+    rows = {r.doc_id: r.n_removed for r in remove_repeated_passages(docs, 1024).collect()}
+    assert rows == {1: 0, 2: 0}
