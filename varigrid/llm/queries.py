@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varigrid.llm import jaccard_join, line_templates, mixing, order_minhash, packing, quality_rules, substring_dedup, token_files, url_filter, warc
+from varigrid.llm import decontamination, jaccard_join, line_templates, mixing, order_minhash, packing, quality_rules, substring_dedup, token_files, url_filter, warc
 from varigrid.llm.common import table
 from varigrid.llm.sql import ORACLES
 
@@ -70,5 +70,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op3_jaccard_join, op4_token_files, op5_line_templates, op6_warc, op7_packing, op8_order_minhash, op9_mixing, op10_substring_dedup)}
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontamination.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op3_jaccard_join, op4_token_files, op5_line_templates, op6_warc, op7_packing, op8_order_minhash, op9_mixing, op10_substring_dedup, op13_decontamination)}
 __all__ = ["ORACLES", "QUERIES"]

@@ -105,4 +105,18 @@ SELECT d.doc_id, coalesce(f.n, 0)::BIGINT AS n_words, coalesce(f.r, 0)::BIGINT A
 FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id
 """
 
-ORACLES = {"op1_url_filter": OP1, "op2_quality_rules": OP2, "op5_line_templates": OP5, "op6_warc": OP6, "op10_substring_dedup": OP10}
+OP13 = r"""
+WITH own AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM own),
+items AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+sized AS (SELECT item, w, least(10, len(w)) AS n FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS key FROM (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM sized)),
+starts AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS key FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM sized))),
+hits AS (SELECT r, i, s.n, item FROM starts s JOIN windows x ON s.n = x.n AND s.key = x.key),
+covered AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, i, n FROM hits)) GROUP BY r),
+found AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (r) LEFT JOIN found USING (r)
+"""
+
+ORACLES = {"op1_url_filter": OP1, "op2_quality_rules": OP2, "op5_line_templates": OP5, "op6_warc": OP6, "op10_substring_dedup": OP10, "op13_decontamination": OP13}
