@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varigrid.llm import decontamination, jaccard_join, line_templates, mixing, order_minhash, packing, quality_rules, substring_dedup, token_files, url_filter, warc
-from varigrid.llm.common import table
+from varigrid.llm import decontamination, jaccard_join, line_templates, merkle, mixing, order_minhash, packing, quality_rules, substring_dedup, token_files, url_filter, warc
+from varigrid.llm.common import lower_ascii, table
 from varigrid.llm.sql import ORACLES
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -70,10 +70,25 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof, and whether it holds after some texts were lower-cased."""
+    docs = table(spark, sf_dir, "documents")
+    fields = lambda text: [F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    claim = F.when(tampered, merkle.leaf(fields(lower_ascii(F.col("text")))))
+    m = merkle.build(docs, "source", [F.col("doc_id")], merkle.leaf(fields(F.col("text"))), {"doc_id": F.col("doc_id"), "claim": claim})
+
+    def made(leaf: str, path: list, carried: dict) -> dict:
+        return {"doc_id": carried["doc_id"], "proof_sha256": merkle.proof_digest(path), "folded_root": merkle.folded(carried["claim"] or leaf, path)}
+
+    rows = merkle.proofs(m, made, "doc_id long, proof_sha256 string, folded_root string")
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontamination.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op3_jaccard_join, op4_token_files, op5_line_templates, op6_warc, op7_packing, op8_order_minhash, op9_mixing, op10_substring_dedup, op13_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op3_jaccard_join, op4_token_files, op5_line_templates, op6_warc, op7_packing, op8_order_minhash, op9_mixing, op10_substring_dedup, op11_merkle_manifest, op13_decontamination)}
 __all__ = ["ORACLES", "QUERIES"]

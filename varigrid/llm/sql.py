@@ -105,6 +105,38 @@ SELECT d.doc_id, coalesce(f.n, 0)::BIGINT AS n_words, coalesce(f.r, 0)::BIGINT A
 FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id
 """
 
+def _merkle_levels(tree: str, docs: str, levels: int) -> str:
+    """Levels of trees ``{tree}0`` (t, i, h) up to their roots, and how ``{docs}0`` (doc_id, t, i, acc, proof, ...) goes up with them: a tree with one node left stays as it is."""
+    out = []
+    for k in range(levels):
+        out.append(f"""
+{tree}c{k} AS (SELECT t, i, h, count(*) OVER (PARTITION BY t) AS c FROM {tree}{k}),
+{tree}r{k} AS (SELECT t, i // 16 AS g, min(c) AS c, min(h) AS one, string_agg(h, '' ORDER BY i) AS run FROM {tree}c{k} GROUP BY t, i // 16),
+{tree}{k + 1} AS (SELECT t, g AS i, CASE WHEN c = 1 THEN one ELSE sha256(run) END AS h FROM {tree}r{k}),
+{docs}{k + 1} AS (SELECT d.* EXCLUDE (i, acc, proof), d.i // 16 AS i,
+  CASE WHEN c = 1 THEN acc ELSE sha256(run[1:64 * (d.i % 16)] || acc || run[64 * (d.i % 16) + 65:]) END AS acc,
+  CASE WHEN c = 1 THEN proof ELSE proof || run[1:64 * (d.i % 16)] || run[64 * (d.i % 16) + 65:] END AS proof
+  FROM {docs}{k} d JOIN {tree}r{k} r ON d.t = r.t AND d.i // 16 = r.g)""")
+    return ",".join(out)
+
+
+_encoded = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+_leaf = lambda text: f"sha256({' || '.join(_encoded(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+_CRC32 = "xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT), lambda c, b: list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)), 4294967295::BIGINT), 4294967295)"
+
+OP11 = f"""
+WITH leaves AS (
+  SELECT doc_id, source, {_leaf('text')} AS leaf, CASE WHEN {_CRC32} % 5 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS claim FROM documents),
+placed AS (
+  SELECT doc_id, leaf, coalesce(claim, leaf) AS acc, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS t,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, claim NULLS FIRST) - 1 AS i FROM leaves),
+n0 AS (SELECT t, i, leaf AS h FROM placed),
+d0 AS (SELECT doc_id, leaf, t, i, acc, '' AS proof FROM placed),{_merkle_levels("n", "d", 6)},
+m0 AS (SELECT 0 AS t, t AS i, h FROM n6),
+e0 AS (SELECT doc_id, leaf, n6.h AS subroot, 0 AS t, d6.t AS i, acc, proof FROM d6 JOIN n6 ON d6.t = n6.t),{_merkle_levels("m", "e", 4)}
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = h AS verified FROM e4, m4
+"""
+
 OP13 = r"""
 WITH own AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM own),
@@ -119,4 +151,4 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN covered USING (r) LEFT JOIN found USING (r)
 """
 
-ORACLES = {"op1_url_filter": OP1, "op2_quality_rules": OP2, "op5_line_templates": OP5, "op6_warc": OP6, "op10_substring_dedup": OP10, "op13_decontamination": OP13}
+ORACLES = {"op1_url_filter": OP1, "op2_quality_rules": OP2, "op5_line_templates": OP5, "op6_warc": OP6, "op10_substring_dedup": OP10, "op11_merkle_manifest": OP11, "op13_decontamination": OP13}
