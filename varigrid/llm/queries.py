@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varigrid.llm import decontamination, jaccard_join, line_templates, merkle, mixing, order_minhash, packing, quality_rules, substring_dedup, token_files, url_filter, warc
+from varigrid.llm import alignment, decontamination, jaccard_join, line_templates, merkle, mixing, order_minhash, packing, quality_rules, substring_dedup, token_files, url_filter, warc
 from varigrid.llm.common import lower_ascii, table
 from varigrid.llm.sql import ORACLES
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 RULES = [
     url_filter.Rule("block", "com", "/en/"),
     url_filter.Rule("allow", "example.com", "/en/7"),
@@ -85,10 +86,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontamination.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op3_jaccard_join, op4_token_files, op5_line_templates, op6_warc, op7_packing, op8_order_minhash, op9_mixing, op10_substring_dedup, op11_merkle_manifest, op13_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op3_jaccard_join, op4_token_files, op5_line_templates, op6_warc, op7_packing, op8_order_minhash, op9_mixing, op10_substring_dedup, op11_merkle_manifest, op12_token_alignment, op13_decontamination)}
 __all__ = ["ORACLES", "QUERIES"]

@@ -22,7 +22,7 @@ _LOWER[65:91] += 32
 _BLOCK = 1 << 20
 _LEFT = np.uint64(0x9E3779B97F4A7C17)
 #: The low bytes of a block of eight that belong to a word with so many bytes left.
-_PART = np.array([2 ** (8 * i) - 1 for i in range(9)], np.uint64)
+PART = np.array([2 ** (8 * i) - 1 for i in range(9)], np.uint64)
 #: Words of more bytes are hashed by the xxhash library, one by one.
 _LONG = 1 << 10
 #: Bytes that are in no word of letters and digits: ASCII but for 0-9, A-Z and a-z.
@@ -54,7 +54,7 @@ class Words:
         blocks = np.ndarray(len(self.data) + 1, "<u8", np.concatenate([self.data, np.zeros(8, np.uint8)]), 0, (1,))
         rows, k = np.flatnonzero(size <= _LONG), 0
         while len(rows):
-            part = blocks[self.starts[rows] + k] & _PART[np.minimum(size[rows] - k, 8)]
+            part = blocks[self.starts[rows] + k] & PART[np.minimum(size[rows] - k, 8)]
             out[rows] = mix(out[rows] ^ part)
             k += 8
             rows = rows[size[rows] > k]

@@ -30,13 +30,14 @@ _LETTER, _NUMBER, _SPACE, _OTHER, _APOSTROPHE, _WIDE_SPACE = range(1, 7)
 class _Known:
     """A tokenizer, the classes of characters that it was asked for, and encoded words: the number of each, and the place and count of its ids in one array."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, plain: bool) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
         self.model = Tokenizer(self.tokenizer.model)
         self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.alphabet = {b: c for b, c in _alphabet().items() if b != 10}
         self.sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
@@ -97,9 +98,9 @@ def _alphabet() -> dict[int, str]:
 
 
 @lru_cache(maxsize=1)
-def _known(path: str) -> _Known:
+def _known(path: str, plain: bool = False) -> _Known:
     """For all tasks of a worker process."""
-    return _Known(path)
+    return _Known(path, plain)
 
 
 def _classes(data: np.ndarray, known: _Known) -> np.ndarray:
@@ -136,9 +137,11 @@ def _cuts(data: np.ndarray, edges: np.ndarray, known: _Known) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def encode(texts: pa.Array, path: str, remembered: int = REMEMBERED) -> list[np.ndarray]:
-    """The ids of every text, ended by ``END``, by the tokenizer file ``path`` without its special tokens around the text; a null text counts as empty."""
-    known = _known(path)
+def encode(texts: pa.Array, path: str, remembered: int = REMEMBERED, plain: bool = False) -> list[np.ndarray]:
+    """The ids of every text, ended by ``END``, by the tokenizer file ``path`` without its special tokens around the text; a null text counts as empty.
+
+    With ``plain`` the added tokens are ordinary text where a text spells them."""
+    known = _known(path, plain)
     texts = texts.cast(pa.large_string()).fill_null("")
     _, offsets, raw = texts.buffers()
     off = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
