@@ -1,12 +1,14 @@
 """Facts about branch points, plans, joins and ledgers, worked out by hand."""
 
+import random
+
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from varigrid import functions as fn
 from varigrid import plans, sources, streaming
-from varigrid.operators import ledger, lineage, summary, sweep, variants
+from varigrid.operators import ledger, lineage, pipeline, summary, sweep, variants
 from varigrid.operators.pipeline import Step, derive
 from varigrid.plans import BranchPoint
 
@@ -173,3 +175,132 @@ def test_ready_stream_agrees_with_batch(spark, tmp_path):
     events = spark.createDataFrame([(1, 1, "p1", "completed"), (2, 2, "p2", "failed"), (3, 3, "p2", "completed"), (4, 4, "p3", "failed")], "ts long, event_id long, parent string, status string")
     last = events.groupBy("parent").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"))
     assert sorted(r.child for r in streaming.ready_batch(last, edges).collect()) == ["c1", "c2"]
+
+
+def test_globs_with_ranges(spark):
+    names = spark.createDataFrame([(x,) for x in ("xb1", "x-1", "xd", "a!", "ax", "ay", "1.5", "105", "a@b", "a%", "c^")], "n string")
+    got = lambda glob: {r.n for r in names.where(fn.match_name(F.col("n"), glob)).collect()}
+    assert got("x[a-c]*") == {"xb1"} and got("a[!x]") == {"a!", "ax"} and got("1.*") == {"1.5"}
+    assert got("a@b") == {"a@b"} and got("*%") == {"a%"} and got("c^") == {"c^"} and got("x-1") == {"x-1"}
+
+
+def counted(spark, runs):
+    """Steps out of order: report compares each size with the pinned smaller one; aside is needed by no goal."""
+    rows = spark.createDataFrame([(i, "smaller" if i % 3 else "bigger") for i in range(30)], "n long, bp_WhichSize string")
+    source = variants.VariantFrame(rows, {"WhichSize": SIZE}, frozenset([frozenset(["WhichSize"])]))
+
+    def count(v, params):
+        runs.append("count")
+        return variants.VariantFrame(v.df.groupBy(*v.columns).agg(F.count(F.lit(1)).alias("c")), v.points, v.masks)
+
+    def aside(v, params):
+        raise AssertionError("aside is not needed")
+
+    report = Step("report", lambda v, params: v, {"count": {}, "base": ("count", {"WhichSize": "smaller"})})
+    return [report, Step("aside", aside, {"count": {}}), Step("count", count, {"rows": {}}, points=[N])], {"rows": source}
+
+
+def test_planned_realizations_with_a_graft(spark):
+    steps, frames = counted(spark, [])
+    only = [plans.Plan("big", ["report"], {"WhichSize": ["bigger"], "N": "*"})]
+    need = {s: sorted(r.realization for r in df.collect()) for s, df in pipeline.planned(steps, frames, only).items()}
+    # The smaller size is pinned, so count has it though no plan names it, and report, a goal, has not.
+    assert need == {"report": ["N.two+WhichSize.bigger", "WhichSize.bigger"], "count": ["Baseline.baseline", "N.two", "N.two+WhichSize.bigger", "WhichSize.bigger"], "rows": ["Baseline.baseline", "WhichSize.bigger"]}
+
+
+def test_steps_run_on_planned_realizations_alone(spark):
+    runs = []
+    steps, frames = counted(spark, runs)
+    both = [plans.Plan("big", ["report"], {"WhichSize": ["bigger"]}), plans.Plan("two", ["count"], {"N": ["two"]})]
+    out = pipeline.derive_planned(steps, frames, both)
+    assert runs == ["count"] and "aside" not in out
+    assert sorted(tuple(r) for r in out["count"].df.select("bp_WhichSize", "bp_N", "c").collect()) == [("bigger", "one", 10), ("smaller", "one", 20), ("smaller", "two", 20)]
+    assert [tuple(r) for r in out["report"].df.select("bp_WhichSize", "bp_N", "c", "base_c").collect()] == [("bigger", "one", 10, 20)]
+
+
+def test_without_plans_one_branch_differs(spark):
+    steps, frames = counted(spark, [])
+    need = {s: {r.realization for r in df.collect()} for s, df in pipeline.planned(steps, frames).items()}
+    assert need["count"] == {"Baseline.baseline", "N.two", "WhichSize.bigger"} == need["report"]
+
+
+def test_two_grafts_of_one_parent(spark):
+    df = spark.createDataFrame([("one", "1"), ("two", "2")], "bp_N string, out string")
+    t1 = variants.VariantFrame(df, {"N": N}, frozenset([frozenset(["N"])]))
+    t2 = Step("t2", lambda v, params: v, {"in1": ("t1", {"N": "one"}), "in2": ("t1", {"N": "two"})})
+    for out in (derive([t2], {"t1": t1}), pipeline.derive_planned([t2], {"t1": t1}, [plans.Plan("all", ["t2"], {})])):
+        assert [tuple(r) for r in out["t2"].df.select("in1_out", "in2_out").collect()] == [("1", "2")]
+
+
+def test_plans_that_cannot_be(spark):
+    steps, frames = counted(spark, [])
+    with pytest.raises(ValueError, match="needs no realization"):
+        pipeline.planned(steps, frames, [plans.Plan("none", ["report"], {"WhichSize": ["huge"]})])
+    with pytest.raises(KeyError, match="no step"):
+        pipeline.planned(steps, frames, [plans.Plan("x", ["nothing"], {})])
+    with pytest.raises(ValueError, match="need each other"):
+        pipeline.order_steps([Step("a", None, {"b": {}}), Step("b", None, {"a": {}})])
+    with pytest.raises(KeyError, match="gone"):
+        pipeline.order_steps([Step("a", None, {"gone": {}})])
+
+
+def graph(spark, seed):
+    """Long paths, some inside others, a ladder, a loop of inner nodes beside them, and repeated edges."""
+    r = random.Random(seed)
+    edges = [(f"a{i}", f"a{i + 1}") for i in range(40)] + [(f"b{i}", f"b{i + 1}") for i in range(25)] + [("a7", "b3"), ("b20", "a33"), ("x", "a0"), ("x", "b0")]
+    edges += [(f"r{i}", f"r{i + 1}") for i in range(8)] + [(f"r{i}", f"r{i + 2}") for i in range(7)] + [("a40", "r0"), ("a1", "a2")]
+    names = [f"n{i}" for i in range(30)]
+    edges += [tuple(sorted(r.sample(names, 2), key=lambda n: int(n[1:]))) for _ in range(35)]
+    return edges
+
+
+def reachable(edges, start):
+    out, todo = set(start), list(start)
+    while todo:
+        here = todo.pop()
+        for a, b in edges:
+            if a == here and b not in out:
+                out.add(b)
+                todo.append(b)
+    return out
+
+
+@pytest.mark.parametrize(("seed", "rounds"), [(1, 0), (2, 3)])
+def test_closures_by_contracted_paths(spark, monkeypatch, seed, rounds):
+    monkeypatch.setattr(lineage, "PLAIN_ROUNDS", rounds)
+    edges = graph(spark, seed)
+    loop = [("l0", "l1"), ("l1", "l2"), ("l2", "l0")]
+    df = spark.createDataFrame(edges + loop, "parent string, child string")
+    node = lambda *x: spark.createDataFrame([(n,) for n in x], "node string")
+    for start in (["a5"], ["b1", "n3"], ["x"], ["l1"], ["nowhere"]):
+        assert {r.node for r in lineage.dependents(df, node(*start)).collect()} == reachable(edges + loop, start)
+    back = [(b, a) for a, b in edges + loop]
+    pins = spark.createDataFrame([("a39", "p"), ("r8", "p"), ("b22", "q")], "node string, branch string")
+    want = {(n, "p") for n in reachable(back, ["a39", "r8"])} | {(n, "q") for n in reachable(back, ["b22"])}
+    assert {tuple(r) for r in lineage.relaxations(df, pins).collect()} == want
+    virtual = {n for e in edges for n in e if n[0] in "ab" and n not in ("a0", "a20", "b24", "a40")}
+    passing = [(a, b) for a, b in edges if a in virtual]
+    ends = {(a, n) for a, b in edges if a not in virtual for n in reachable(passing, [b]) if n not in virtual}
+    assert {tuple(r) for r in lineage.collapse(spark.createDataFrame(edges, "parent string, child string"), node(*virtual)).collect()} == ends
+
+
+@pytest.mark.parametrize("rounds", [0, 4])
+def test_levels_by_contracted_paths(spark, monkeypatch, rounds):
+    monkeypatch.setattr(lineage, "PLAIN_ROUNDS", rounds)
+    edges, level = graph(spark, 3), {}
+    nodes = {n for e in edges for n in e}
+    for _ in nodes:
+        level = {n: 1 + max((level.get(a, 0) for a, b in edges if b == n), default=0) for n in nodes}
+    assert {r.node: r.level for r in lineage.levels(spark.createDataFrame(edges, "parent string, child string")).collect()} == level
+    with pytest.raises(ValueError, match="cycle"):
+        lineage.levels(spark.createDataFrame([*edges, ("l0", "l1"), ("l1", "l0")], "parent string, child string"))
+
+
+def test_a_deep_chain_takes_few_rounds_and_leaves_no_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("varigrid.sources.shared_dir", lambda _: f"file://{tmp_path}")
+    edges = spark.range(2000).select(F.col("id").alias("parent"), (F.col("id") + 1).alias("child"))
+    written = []
+    monkeypatch.setattr(lineage, "stored", lambda df: written.append(1) or sources.stored(df))
+    got = lineage.required_for(edges, spark.createDataFrame([(2000,)], "node long"))
+    assert got.count() == 2001 and len(written) <= 24 and len(list(tmp_path.iterdir())) == 1
+    assert lineage.levels(edges).agg(F.sum("level")).first()[0] == 2001 * 2002 // 2

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 BASELINE = "Baseline.baseline"
 #: Longer names are replaced by their digest.
 LONGEST_NAME = 250
+#: The signs that a glob means literally and a pattern does not. All others, such as the - of a range, pass through.
+_LITERAL = (".", "\\", "+", "(", ")", "|", "^", "$", "@", "%")
 _TRUE, _FALSE = ("true", "1", "enable", "t"), ("false", "0", "disable", "f")
 
 
@@ -31,7 +33,7 @@ def short_name(c: Column) -> Column:
 
 
 def glob_to_regex(glob: str) -> str:
-    """Anchored pattern of a glob: ``*``, ``?`` and ``{a,b}``; square brackets pass through; other signs are literal."""
+    """Anchored pattern of a glob: ``*``, ``?`` and ``{a,b}``; square brackets and what they hold pass through, so ``[a-c]`` is a range and ``[!x]`` one of two signs."""
     out, depth = [], 0
     for c in glob:
         if c == "{":
@@ -40,10 +42,12 @@ def glob_to_regex(glob: str) -> str:
         elif c == "}" and depth:
             depth -= 1
             out.append(")")
+        elif c == "}":
+            out.append(r"\}")
         elif c == "," and depth:
             out.append("|")
         else:
-            out.append({"*": ".*", "?": "."}.get(c, c if c in "[]" else re.escape(c)))
+            out.append({"*": ".*", "?": "."}.get(c, f"\\{c}" if c in _LITERAL else c))
     return f"^(?:{''.join(out)})$"
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varigrid.sources import stored
+from varigrid.sources import discard, stored
+
+#: Rounds by single edges before nonbranching paths are contracted.
+PLAIN_ROUNDS = 6
 
 
 def parents(edges: DataFrame, keys: DataFrame) -> DataFrame:
@@ -19,25 +23,98 @@ def children(edges: DataFrame, keys: DataFrame) -> DataFrame:
     return edges.join(keys.select(F.col("node").alias("parent")), "parent", "left_semi").select(F.col("child").alias("node")).distinct()
 
 
-def _closure(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
-    """Rows reachable by ``step``; every round looks at new rows alone and writes them once, as a table of the shared folder."""
-    frontier = stored(start.select(*keys).distinct())
-    found = [frontier]
-    while not frontier.isEmpty():
-        seen = reduce(DataFrame.union, found)
-        frontier = stored(step(frontier).select(*keys).distinct().join(seen, keys, "left_anti"))
+def _turned(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("child").alias("src"), F.col("parent").alias("dst"))
+
+
+def _straight(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("parent").alias("src"), F.col("child").alias("dst"))
+
+
+def contract(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nonbranching paths of edges (src, dst), found by pointer doubling.
+
+    Returns inner (node, path, place): nodes with one edge in and one out, by the path they are on, named after its first inner node, and their place on it, from 1;
+    and short (src, dst, path, length): the edges between all other nodes, a path being one edge of its length, with its name. A cycle of
+    inner nodes alone has no first one, so its nodes count as others. Each round doubles what a pointer spans twice, so a path of n nodes takes about log4(n).
+    """
+    edges = edges.select("src", "dst").where("src <> dst").distinct()
+    once = lambda c: edges.groupBy(F.col(c).alias("node")).agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("node")
+    middle = stored(once("src").join(once("dst"), "node"))
+    back = edges.join(middle.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("dst").alias("node"), F.col("src").alias("at"))
+    is_inner = middle.select(F.col("node").alias("at"), F.lit(False).alias("done"))
+    at = stored(back.join(is_inner, "at", "left").select("node", "at", F.col("node").alias("path"), F.lit(1).cast("long").alias("place"), F.coalesce("done", F.lit(True)).alias("done")))
+    discard(middle)
+
+    def doubled(x: DataFrame) -> DataFrame:
+        far = x.select(F.col("node").alias("at"), F.col("at").alias("at_"), F.col("path").alias("path_"), F.col("place").alias("place_"), F.col("done").alias("done_"))
+        open_ = x.where("NOT done").join(far, "at").select("node", F.col("at_").alias("at"), F.col("path_").alias("path"), (F.col("place") + F.col("place_")).alias("place"), F.col("done_").alias("done"))
+        return x.where("done").unionByName(open_)
+
+    for _ in range(2 + at.count().bit_length() // 2):
+        if at.where("NOT done").isEmpty():
+            break
+        before, at = at, stored(doubled(doubled(at)))
+        discard(before)
+    inner = stored(at.where("done").select("node", "path", "place", F.col("at").alias("src")))
+    discard(at)
+    here = inner.select(F.col("node").alias("src"), "path", "place", F.col("src").alias("from"))
+    onward = edges.join(here, "src").join(inner.select(F.col("node").alias("dst")), "dst", "left_anti")
+    paths = onward.select(F.col("from").alias("src"), "dst", "path", (F.col("place") + 1).alias("length"))
+    ends = inner.select(F.col("node").alias("n"))
+    plain = edges.join(ends, F.col("src") == F.col("n"), "left_anti").join(ends, F.col("dst") == F.col("n"), "left_anti")
+    short = stored(plain.select("src", "dst", F.lit(None).cast(inner.schema["path"].dataType).alias("path"), F.lit(1).cast("long").alias("length")).unionByName(paths))
+    return inner, short
+
+
+def reach(edges: DataFrame, start: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows (keys, node) that edges (src, dst) lead to from those of ``start``, which are among them.
+
+    A round looks at the new rows alone and writes them as a table of the shared folder. After ``PLAIN_ROUNDS`` of them the
+    nonbranching paths are contracted, and from there on a path of any length is one round. The tables of the rounds are deleted at the end.
+    """
+    columns = [*keys, "node"]
+    frontier = stored(start.select(*columns).distinct())
+    found, entered, rest = [frontier], [], []
+    inner = short = None
+    for n in itertools.count(1):
+        if frontier.isEmpty():
+            break
+        if n == PLAIN_ROUNDS + 1:
+            inner, short = contract(edges)
+            rest = [inner, short]
+            inside = frontier.join(inner, "node")
+            entered.append(stored(inside.select(*keys, "path", "place")))
+            last = short.where("path IS NOT NULL").select("path", F.col("dst").alias("node"))
+            onward = inside.select(*keys, "path").join(last, "path").select(*columns)
+            frontier = stored(onward.unionByName(frontier.join(inner.select("node"), "node", "left_anti").select(*columns)).distinct())
+            found.append(frontier)
+        if short is None:
+            step = frontier.join(edges, F.col("node") == F.col("src")).select(*keys, F.col("dst").alias("node"))
+        else:
+            taken = stored(frontier.join(short, F.col("node") == F.col("src")).select(*keys, "dst", "path").distinct())
+            entered.append(taken)
+            step = taken.select(*keys, F.col("dst").alias("node"))
+        frontier = stored(step.distinct().join(reduce(DataFrame.union, found), columns, "left_anti").select(*columns))
         found.append(frontier)
-    return reduce(DataFrame.union, found)
+    out = reduce(DataFrame.union, found)
+    if entered:
+        ways = entered[0].unionByName(reduce(DataFrame.union, (t.where("path IS NOT NULL").select(*keys, "path", F.lit(0).cast("long").alias("place")) for t in entered[1:])))
+        first = ways.groupBy(*keys, "path").agg(F.min("place").alias("from_"))
+        out = out.union(first.join(inner, "path").where("place > from_").select(*columns)).distinct()
+    out = stored(out)
+    discard(*found, *entered, *rest)
+    return out
 
 
 def required_for(edges: DataFrame, goals: DataFrame) -> DataFrame:
     """Goals (node) and everything upstream."""
-    return _closure(goals, lambda f: parents(edges, f), ["node"])
+    return reach(_turned(edges), goals)
 
 
 def dependents(edges: DataFrame, victims: DataFrame) -> DataFrame:
     """Victims (node) and everything downstream."""
-    return _closure(victims, lambda f: children(edges, f), ["node"])
+    return reach(_straight(edges), victims)
 
 
 def invalidate(edges: DataFrame, ledger: DataFrame, matching: Column, name_match_only: bool = False) -> DataFrame:
@@ -56,34 +133,59 @@ def invalidated(ledger: DataFrame, victims: DataFrame) -> DataFrame:
 
 def relaxations(edges: DataFrame, pins: DataFrame) -> DataFrame:
     """Pins (node, branch) are allowed on all ancestors of the node as well."""
-    up = lambda f: f.join(edges, f.node == edges.child).select(F.col("parent").alias("node"), "branch")
-    return _closure(pins, up, ["node", "branch"])
+    return reach(_turned(edges), pins, ["branch"]).select("node", "branch")
 
 
 def _peeled(edges: DataFrame) -> list[DataFrame]:
     """Nodes level by level, each once: a node follows as soon as the last of its parents has been taken. Nodes on or after a cycle are in none."""
-    edges = edges.select("parent", "child").distinct()
-    need = stored(edges.groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("need")))
-    frontier = stored(roots(edges))
-    levels_, waiting = [frontier], None
-    while not frontier.isEmpty():
-        got = edges.join(frontier.select(F.col("node").alias("parent")), "parent", "left_semi").groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("got"))
+    each = _straight(edges).distinct().withColumn("length", F.lit(1).cast("long"))
+    return _peel(each, None) or []
+
+
+def _peel(edges: DataFrame, rounds: int | None) -> list[DataFrame] | None:
+    """Frames (node, level) of edges (src, dst, length), one for each round; a level is one more than the longest way from a root. None if ``rounds`` do not suffice."""
+    need = stored(edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("need")))
+    top = edges.select(F.col("src").alias("node")).distinct().join(need, "node", "left_anti")
+    frontier = stored(top.withColumn("level", F.lit(1).cast("long")))
+    taken, written, waiting = [frontier], [need, frontier], None
+    for n in itertools.count():
+        if frontier.isEmpty():
+            discard(need)
+            return taken
+        if n == rounds:
+            discard(*written)
+            return None
+        parents_ = frontier.select(F.col("node").alias("src"), F.col("level").alias("from_"))
+        got = edges.join(parents_, "src").groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("got"), F.max(F.col("from_") + F.col("length")).alias("level"))
         if waiting is not None:
-            got = got.unionByName(waiting).groupBy("node").agg(F.sum("got").alias("got"))
+            got = got.unionByName(waiting).groupBy("node").agg(F.sum("got").alias("got"), F.max("level").alias("level"))
         counted = stored(got.join(need, "node"))
-        frontier = counted.where("got = need").select("node")
-        waiting = counted.where("got < need").select("node", "got")
-        levels_.append(frontier)
-    return levels_
+        written.append(counted)
+        frontier = counted.where("got = need").select("node", "level")
+        waiting = counted.where("got < need").select("node", "got", "level")
+        taken.append(frontier)
 
 
 def levels(edges: DataFrame) -> DataFrame:
-    """node, level: 1 for roots, else one more than the highest parent. A cycle is an error."""
+    """node, level: 1 for roots, else one more than the highest parent. A cycle is an error.
+
+    A graph deeper than ``PLAIN_ROUNDS`` has its nonbranching paths contracted first, so that they are one round each.
+    """
     nodes = edges.select(F.col("parent").alias("node")).union(edges.select(F.col("child").alias("node"))).distinct()
-    out = reduce(DataFrame.union, (f.select("node", F.lit(i).alias("level")) for i, f in enumerate(_peeled(edges), 1)))
-    if out.count() < nodes.count():
-        raise ValueError("the edges have a cycle")
-    return out
+    each = _straight(edges).distinct()
+    if each.where("src = dst").isEmpty():
+        taken = _peel(each.withColumn("length", F.lit(1).cast("long")), PLAIN_ROUNDS)
+        if taken is not None:
+            out = reduce(DataFrame.union, taken)
+        else:
+            inner, short = contract(each)
+            ends = stored(reduce(DataFrame.union, _peel(short, None)))
+            on_paths = inner.join(ends.withColumnRenamed("node", "src"), "src").select("node", (F.col("level") + F.col("place")).alias("level"))
+            out = ends.union(on_paths)
+        out = stored(out.select("node", F.col("level").cast("int").alias("level")))
+        if out.count() == nodes.count():
+            return out
+    raise ValueError("the edges have a cycle")
 
 
 def order_nodes(level: DataFrame, mode: str = "breadth") -> DataFrame:
@@ -103,7 +205,7 @@ def check_acyclic(edges: DataFrame) -> DataFrame:
     Roots are peeled off level by level, then leaves likewise, so every edge is looked at a few times and no pairs of nodes are made.
     """
     def left(e: DataFrame) -> DataFrame:
-        gone = reduce(DataFrame.union, _peeled(e))
+        gone = reduce(DataFrame.union, (x.select("node") for x in _peeled(e)))
         return stored(e.join(gone.select(F.col("node").alias("parent")), "parent", "left_anti").select("parent", "child"))
 
     back = lambda e: e.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
@@ -114,10 +216,10 @@ def check_acyclic(edges: DataFrame) -> DataFrame:
 def collapse(edges: DataFrame, virtual: DataFrame) -> DataFrame:
     """Edges between real nodes, paths through virtual nodes (node) taken as one edge."""
     v = virtual.select("node").distinct()
-    out_of_virtual = edges.join(v, edges.parent == v.node, "left_semi")
-    step = lambda f: f.join(out_of_virtual.select(F.col("parent").alias("p_"), F.col("child").alias("c_")), F.col("child") == F.col("p_")).select("parent", F.col("c_").alias("child"))
-    start = edges.join(v, edges.parent == v.node, "left_anti")
-    return _closure(start.select("parent", "child"), step, ["parent", "child"]).join(v, F.col("child") == v.node, "left_anti")
+    real = lambda c, how: edges.join(v, F.col(c) == v.node, how)
+    start = real("parent", "left_anti").select("parent", F.col("child").alias("node"))
+    ends = reach(_straight(real("parent", "left_semi")), start, ["parent"])
+    return ends.join(v, "node", "left_anti").select("parent", F.col("node").alias("child"))
 
 
 def edge_list(edges: DataFrame, level: str = "realization") -> DataFrame:

@@ -33,6 +33,15 @@ class BranchPoint:
         return next(iter(self.branches))
 
 
+@dataclass(frozen=True)
+class Plan:
+    """Steps to reach, in the realizations that a clause accepts; several plans add up."""
+
+    name: str
+    goals: Sequence[str]
+    clause: Mapping[str, Sequence[str] | str]
+
+
 def sequence(name: str, start: object, end: object, step: object = 1) -> BranchPoint:
     """Decimal steps from start to end, both included; labels have no zeros at the end."""
     a, z, by = (Decimal(str(x)) for x in (start, end, step))

@@ -35,10 +35,25 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Cut the plan by a Parquet table in the shared folder, which later reads can prune."""
+    """Cut the plan by a Parquet table in the shared folder, which later reads can prune. ``discard`` deletes it."""
     path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def files(spark: SparkSession, path: str):
+    """The file system of a path, and the path in its terms."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote and that nothing reads any more."""
+    for df in tables:
+        fs, p = files(df.sparkSession, df.stored_at)
+        fs.delete(p, True)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
