@@ -103,7 +103,7 @@ def test_decoded_entries_are_what_the_tokenizer_decodes():
     t, voc = Tokenizer.from_file(A), alignment._byte_level(A)
     t.decoder = ByteLevel()
     for i in range(0, 50256, 97):
-        own = voc.data[voc.starts[i] : voc.starts[i] + voc.sizes[i]].tobytes()
+        own = voc.blocks[i].tobytes()[: voc.sizes[i]]
         assert own.decode(errors="replace") == t.decode([i])
 
 
