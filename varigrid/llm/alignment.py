@@ -27,7 +27,7 @@ from varigrid.llm.common import discard, store
 from varigrid.llm.ragged import PART, batches
 
 #: Bytes of text that are merged at a time, and pairs that a block numbers before the next one begins.
-TOGETHER, NUMBERED = 4 << 20, 1 << 19
+TOGETHER, NUMBERED = 2 << 20, 1 << 19
 #: Pieces of text that a worker remembers with their ids.
 REMEMBERED = 1 << 18
 _SPACE = 32
@@ -141,7 +141,7 @@ def lockstep(ends_a: np.ndarray, first_a: np.ndarray, ends_b: np.ndarray, first_
     Documents have both kinds of tokens or none, and both end at the same byte.
     """
     live = np.flatnonzero(np.diff(first_a))
-    a, b, last = first_a[live], first_b[live], first_a[live + 1]
+    a, b, last = (x.astype(np.int32) for x in (first_a[live], first_b[live], first_a[live + 1]))
     links_a, links_b, cuts = [], [], []
     while len(a):
         ea, eb = ends_a[a], ends_b[b]
@@ -276,8 +276,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             ends_a[link_a[cut]], ends_b[link_b[cut]] = 1, 1
             groups = np.cumsum(ends_a) - ends_a, np.cumsum(ends_b) - ends_b
             # By document, then pair: pairs of one document once, with their links.
-            pair = ids_a[link_a] << 32 | ids_b[link_b]
-            distinct, inverse = np.unique(pair, return_inverse=True)
+            distinct, inverse = np.unique(ids_a[link_a] << 32 | ids_b[link_b], return_inverse=True)
             by_text, times = np.unique(text * max(len(distinct), 1) + inverse, return_counts=True)
             own, which = by_text // max(len(distinct), 1), by_text % max(len(distinct), 1)
             codes = block.numbers(distinct[which]) if len(which) else np.empty(0, np.int32)

@@ -48,7 +48,7 @@ stats AS (
     coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(h.n, 0)::BIGINT AS gone
   FROM words w LEFT JOIN dup d ON w.doc_id = d.doc_id LEFT JOIN repeated r ON w.doc_id = r.doc_id LEFT JOIN hit h ON w.doc_id = h.doc_id),
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, gone > 0 AND n_words - gone < 0.3::DOUBLE * n_words AS depleted FROM stats)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT depleted AS kept FROM judged
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, gone::BIGINT AS n_frequent_words, base_failed, NOT base_failed AND NOT depleted AS kept FROM judged
 """
 
 OP5 = rf"""
