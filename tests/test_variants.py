@@ -1,6 +1,7 @@
 """Facts about branch points, plans, joins and ledgers, worked out by hand."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import Row
@@ -304,3 +305,93 @@ def test_a_deep_chain_takes_few_rounds_and_leaves_no_tables(spark, tmp_path, mon
     got = lineage.required_for(edges, spark.createDataFrame([(2000,)], "node long"))
     assert got.count() == 2001 and len(written) <= 24 and len(list(tmp_path.iterdir())) == 1
     assert lineage.levels(edges).agg(F.sum("level")).first()[0] == 2001 * 2002 // 2
+
+
+def below(folder):
+    return sorted(str(f.relative_to(folder)) for f in folder.rglob("*.parquet"))
+
+
+def test_archive_touches_only_files_with_such_rows(spark, tmp_path):
+    path, attic = tmp_path / "store", tmp_path / "attic"
+    df = spark.range(90).select((F.col("id") % 3).cast("string").alias("realization"), F.col("id").alias("v"))
+    sources.write_variants(df.repartition(2), str(path), "a b", 1)
+    before = below(path)
+    schema = spark.read.parquet(str(path)).schema
+    read = lambda p: spark.read.schema(schema).parquet(str(p))
+    kept = sources.archive(read(path), spark.createDataFrame([("0",)], "realization string"), f"file://{path}", f"file://{attic}")
+    assert kept.count() == 60 and below(path) == [f for f in before if "realization=0" not in f] and below(attic) == [f for f in before if "realization=0" in f]
+    # A key of the rows: one realization keeps some.
+    victims = spark.createDataFrame([(1,), (4,), (7,)], "v long")
+    kept = sources.archive(read(path), victims, str(path), str(attic))
+    assert kept.count() == 57 and read(attic).count() == 33 and {r.v for r in read(attic).where("realization = '1'").collect()} == {1, 4, 7}
+    assert [f for f in below(path) if "realization=2" in f] == [f for f in before if "realization=2" in f]
+    again = below(path), below(attic)
+    assert sources.archive(read(path), victims, str(path), str(attic)).count() == 57 and (below(path), below(attic)) == again
+    gone = sources.purge_store(read(path), read(path).where("realization = '2' OR v = 10").select("v"), str(path))
+    assert gone.count() == 26 and not [f for f in below(path) if "realization=2" in f] and not list(path.glob("_change*"))
+
+
+@pytest.mark.parametrize("steps", [0, 1, 3])
+def test_a_stopped_archive_is_finished_by_the_next(spark, tmp_path, monkeypatch, steps):
+    path, attic, done = tmp_path / "store", tmp_path / "attic", []
+    df = spark.range(60).select((F.col("id") % 3).cast("string").alias("realization"), F.col("id").alias("v"))
+    sources.write_variants(df.coalesce(1), str(path), "count", 1)
+    schema, at = spark.read.parquet(str(path)).schema, sources._at
+    read = lambda p: spark.read.schema(schema).parquet(str(p))
+
+    def stop(spark, uri):
+        if "_change-" in uri or "realization=1" in uri:
+            done.append(uri)
+        if len(done) > 2 + steps:
+            raise OSError("stopped")
+        return at(spark, uri)
+
+    monkeypatch.setattr(sources, "_at", stop)
+    victims = spark.createDataFrame([(i,) for i in (1, 4, 0, 3)], "v long")
+    with pytest.raises(OSError, match="stopped"):
+        sources.archive(read(path), victims, str(path), str(attic))
+    monkeypatch.setattr(sources, "_at", at)
+    assert sources.archive(read(path), victims, str(path), str(attic)).count() == 56
+    assert sorted(r.v for r in read(attic).collect()) == [0, 1, 3, 4] and sorted(r.v for r in read(path).collect()) == sorted(set(range(60)) - {0, 1, 3, 4})
+
+
+def test_new_combinations_of_three_parents(spark):
+    def frames(rows):
+        made = [spark.createDataFrame([r[1:] for r in rows if r[0] == k] or [], f"u long, bp_N string, {c} long") for k, c in enumerate("abc")]
+        return [variants.VariantFrame(made[k] if k < 2 else made[k].drop("bp_N"), {"N": N} if k < 2 else {}, frozenset([frozenset(["N"] if k < 2 else [])])) for k in range(3)]
+
+    r = random.Random(4)
+    rows = [(i % 3, r.randrange(3), r.choice(["one", "two"]), i) for i in range(40)]
+    keys = ["u", "bp_N", "a", "b", "c"]
+    whole = Counter(tuple(x) for x in variants.vjoin_new(frames([]), frames(rows), ["u"]).df.select(*keys).collect())
+    by_hand = Counter((x[1], x[2], x[3], y[3], z[3]) for x in rows for y in rows for z in rows if (x[0], y[0], z[0]) == (0, 1, 2) and x[1] == y[1] == z[1] and x[2] == y[2])
+    cut = [rows[:10], rows[10:11], rows[11:30], rows[30:]]
+    in_parts = sum((Counter(tuple(x) for x in variants.vjoin_new(frames(sum(cut[:i], [])), frames(cut[i]), ["u"]).df.select(*keys).collect()) for i in range(4)), Counter())
+    assert whole == by_hand == in_parts and whole
+
+
+def test_arrivals_in_batches_run_twice(spark, tmp_path):
+    take = lambda kind, out: lambda df: variants.variants(df.where(F.col("kind") == kind).select("u", F.col("id").alias(out)))
+    arrivals = streaming.Arrivals(f"file://{tmp_path}/x", {k: take(k, k) for k in "abc"}, ["u"])
+    rows = [("abc"[i % 3], i % 2, i) for i in range(18)]
+    for batch, part in enumerate((rows[:5], rows[5:6], rows[6:])):
+        df = spark.createDataFrame(part, "kind string, u long, id long")
+        arrivals.add(df, batch)
+        if batch < 2:
+            arrivals.add(df, batch)
+    got = Counter(tuple(r) for r in arrivals.derived(spark).select("u", "a", "b", "c").collect())
+    assert got == Counter((x[1], x[2], y[2], z[2]) for x in rows for y in rows for z in rows if x[0] + y[0] + z[0] == "abc" and x[1] == y[1] == z[1])
+
+
+def test_sweeps_by_cells_agree_with_the_general_form(spark):
+    r = random.Random(5)
+    facts = spark.createDataFrame([(r.choice([None, *range(12)]), r.random(), r.choice("pqrs"), r.randrange(100_000), r.randrange(9)) for _ in range(400)], "a long, b double, c string, k long, v long")
+    points = [BranchPoint("A", {"a0": 0, "a5": 5, "also5": 5, "a9": 9, "a99": 99}), BranchPoint("C", {"p": {"p"}, "pq": ["p", "q"], "none": ["z"]}), BranchPoint("B", {f"b{i}": i / 10 for i in range(10)})]
+    on = {"A": "a", "B": "b", "C": "c"}
+    for rows in (plans.cross(points), plans.one_off(points), [{"A": "a9", "C": "pq", "B": "b3"}, {"A": "also5", "C": "p", "B": "b0"}]):
+        got = sweep.sweep_cells(facts, points, rows, on, {"s": F.col("v"), "n": F.lit(1).cast("long")}, {"low": F.col("v")}, {"high": F.col("b")}, {"kinds": F.col("k")})
+        flat = [BranchPoint(p.name, {b: v if p.name != "C" else ",".join(v) for b, v in p.branches.items()}) for p in points]
+        holds = lambda: (F.col("a") >= F.col("val_A")) & (F.col("b") >= F.col("val_B")) & F.array_contains(F.split("val_C", ","), F.col("c"))
+        want = sweep.sweep(facts, flat, rows, holds, [F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("b").alias("high"), F.count_distinct("k").alias("kinds")])
+        columns = ["bp_A", "bp_B", "bp_C", "s", "n", "low", "high", "kinds"]
+        assert sorted(tuple(x) for x in got.select(*columns).collect()) == sorted(tuple(x) for x in want.select(*columns).collect())

@@ -135,6 +135,18 @@ def vjoin_delta(l_old: VariantFrame, l_new: VariantFrame, r_old: VariantFrame, r
     return union_variants([vjoin(l_new, union_variants([r_old, r_new]), on), vjoin(l_old, r_new, on)])
 
 
+def vjoin_new(old: Sequence[VariantFrame], new: Sequence[VariantFrame], on: Sequence[str] = ()) -> VariantFrame:
+    """Only the combinations of any number of parents that hold a new row, each once: the first parent whose row is new tells them apart.
+
+    For each parent: its new rows, with the old rows of those before it and all rows of those after it. The new rows, which are few, come first in each join.
+    """
+    parts = []
+    for i, rows in enumerate(new):
+        others = [*old[:i], *(union_variants([a, b]) for a, b in zip(old[i + 1 :], new[i + 1 :], strict=True))]
+        parts.append(reduce(lambda a, b: vjoin(a, b, on), others, rows))
+    return union_variants(parts)
+
+
 def dedupe(vf: VariantFrame, keys: Sequence[str], order: str) -> VariantFrame:
     """One row of those with equal keys, that with the smallest ``order``."""
     first = vf.df.groupBy(*keys).agg(F.min_by(F.struct(*(c for c in vf.df.columns if c not in keys)), order).alias("r_"))

@@ -532,4 +532,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweep_one_off(spark, sf_dir)
 
 
-from varigrid import queries_store  # noqa: E402, F401  registers its queries here
+from varigrid import queries_derived, queries_store  # noqa: E402, F401  register their queries here

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
@@ -122,19 +123,102 @@ def status_report(ledger: DataFrame) -> DataFrame:
     return ledger.select(*KEY, F.explode(F.concat(rows("inputs"), rows("outputs"), rows("params"))).alias("r")).select(*KEY, "r.*")
 
 
-def archive(df: DataFrame, keys: DataFrame, path: str, attic: str, partitions: Sequence[str] = ("task", "realization", "version")) -> DataFrame:
-    """Move the rows of ``keys`` from the table at ``path`` to the attic, and return what the table still holds.
+def _uri(spark: SparkSession, path: str) -> str:
+    """A path with its scheme and with signs encoded, as Spark names files."""
+    fs, p = files(spark, path)
+    return fs.makeQualified(p).toUri().toString().rstrip("/")
+
+
+def _at(spark: SparkSession, uri: str):
+    """The file system of an encoded name, and its path."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jvm.java.net.URI(uri))
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
 
-    The rest is written beside the table before the table is replaced, so it is still there if the job stops on the way.
+def _below(file: str, root: str) -> str:
+    """The part of a file's name after its store's folder, however the two spell the scheme."""
+    plain = lambda x: re.sub(r"^\w+:/+", "/", x)
+    if not plain(file).startswith(f"{plain(root)}/"):
+        raise ValueError(f"{file} is not below {root}")
+    return plain(file)[len(plain(root)) :]
+
+
+def _apply(spark: SparkSession, change: str) -> None:
+    """What a prepared change says, new files before old ones. Each file is handled if it is still there, so this can be run again from any point."""
+    for r in spark.read.schema("ord int, action string, file string, target string").json(f"{change}/steps").orderBy("ord").collect():
+        fs, a = _at(spark, r.file)
+        if r.action == "delete":
+            fs.delete(a, False)
+        elif fs.exists(a):
+            _, b = _at(spark, r.target)
+            fs.mkdirs(b.getParent())
+            if not fs.rename(a, b):
+                raise OSError(f"cannot move {r.file} to {r.target}")
+    fs, p = files(spark, change)
+    fs.delete(p, True)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Finish changes of a store that were prepared as a whole, and drop those that were not. ``archive`` and ``purge_store`` do so before they begin."""
+    fs, p = files(spark, path)
+    for s in fs.listStatus(p):
+        change = s.getPath().toString()
+        if s.getPath().getName().startswith("_change-"):
+            if fs.exists(files(spark, f"{change}/steps/_SUCCESS")[1]):
+                _apply(spark, change)
+            else:
+                fs.delete(s.getPath(), True)
+
+
+def _take_out(df: DataFrame, keys: DataFrame, path: str, attic: str | None, partitions: Sequence[str]) -> DataFrame:
+    """Take the rows of ``keys`` out of a store of partition folders; only files that hold such rows are touched.
+
+    A file all of whose rows go is moved, or deleted; those that keep some are written anew beside the store. All moves and deletions are
+    then written down, and only after that carried out, so that a run that was stopped is finished by the next. The driver gets the names of these files.
     """
-    on, spark = list(keys.columns), df.sparkSession
-    keys = stored(keys.distinct())
-    df.join(keys, on, "left_semi").write.mode("append").parquet(attic)
-    rest = stored(df.join(keys, on, "left_anti"))
-    rest.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*partitions).parquet(path)
+    spark, on = df.sparkSession, list(keys.columns)
+    recover(spark, path)
+    spark.catalog.refreshByPath(path)
+    read = lambda *where: spark.read.schema(df.schema).option("basePath", path).parquet(*where)
+    root, change = _uri(spark, path), f"{path.rstrip('/')}/_change-{uuid.uuid4().hex}"
+    to = _uri(spark, attic) if attic else None
+    rows, keys = read(path).withColumn("file_", F.col("_metadata.file_path")), stored(keys.distinct())
+    hit = rows.join(keys, on, "left_semi").groupBy("file_").agg(F.count(F.lit(1)).alias("gone_"))
+    if not set(on) <= set(partitions):
+        hit = rows.groupBy("file_").agg(F.count(F.lit(1)).alias("all_")).join(hit, "file_")
+    found = [(r.file_, "all_" not in r or r.all_ == r.gone_) for r in hit.collect()]
+    whole, split = sorted(f for f, all_ in found if all_), sorted(f for f, all_ in found if not all_)
+    steps = [("move", f, to + _below(f, root)) if attic else ("delete", f, "") for f in whole]
+    if split:
+        some = read(*(_at(spark, f)[1].toString() for f in split))
+        parts = {"rest": (some.join(keys, on, "left_anti"), root)} | ({"gone": (some.join(keys, on, "left_semi"), to)} if attic else {})
+        for name, (part, into) in parts.items():
+            part.write.partitionBy(*partitions).parquet(f"{change}/{name}")
+            made = _uri(spark, f"{change}/{name}")
+            steps += [("move", f, into + _below(f, made)) for f in spark.read.schema(df.schema).parquet(f"{change}/{name}").inputFiles()]
+        steps += [("delete", f, "") for f in split]
+    if steps:
+        listed = [(i, *s) for i, s in enumerate(steps)]
+        spark.createDataFrame(listed, "ord int, action string, file string, target string").coalesce(1).write.json(f"{change}/steps")
+        _apply(spark, change)
+    discard(keys)
+    spark.catalog.refreshByPath(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def archive(df: DataFrame, keys: DataFrame, path: str, attic: str, partitions: Sequence[str] = ("task", "realization", "version")) -> DataFrame:
+    """Move the rows of ``keys`` from the store at ``path`` to the attic, and return what the store still holds.
+
+    Files without such rows stay as they are. A run after one that was stopped finishes that one first; nothing is moved twice.
+    """
+    return _take_out(df, keys, path, attic, partitions)
+
+
+def purge_store(df: DataFrame, victims: DataFrame, path: str, partitions: Sequence[str] = ("task", "realization", "version")) -> DataFrame:
+    """Delete the rows of ``victims`` (a closure of lineage) from the store at ``path``, as ``archive`` does but for keeping them, and return the rest."""
+    return _take_out(df, victims, path, None, partitions)
+
+
 def purge(df: DataFrame, victims: DataFrame) -> DataFrame:
     """Rows without the victims and all that depends on them (victims is a closure of lineage)."""
     return df.join(victims, victims.columns, "left_anti")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
+
+from varigrid.operators.variants import VariantFrame, vjoin_new
 
 STATES = {"begin": "running", "fail": "failed", "succeed": "completed", "skip": "completed"}
 
@@ -70,6 +73,35 @@ def ready(events: DataFrame, edges: DataFrame, block_on_failure: bool = True) ->
     return rows.groupBy("child").transformWithStateInPandas(_Gate(block_on_failure), "child string, n_parents long", "Append", "None")
 
 
+@dataclass(frozen=True)
+class Arrivals:
+    """Rows of several parents that arrive in batches, and the combinations that they make, each derived once, with the batch that completes it.
+
+    parents: for each parent what takes its rows from a batch. What has arrived and what is derived are tables below ``path``, with a folder for each
+    batch. A batch that is run again after a failure sees the batches before it alone and replaces its own folders, so nothing is derived twice.
+    """
+
+    path: str
+    parents: Mapping[str, Callable[[DataFrame], VariantFrame]]
+    on: Sequence[str] = ()
+
+    def add(self, rows: DataFrame, batch: int) -> None:
+        """One batch; pass it to ``foreachBatch``."""
+        old, new = [], []
+        for name, take in self.parents.items():
+            vf, place = take(rows), f"{self.path}/arrived/{name}"
+            vf.df.write.mode("overwrite").parquet(f"{place}/batch={batch}")
+            schema = StructType([*vf.df.schema.fields, StructField("batch", LongType())])
+            arrived = rows.sparkSession.read.schema(schema).parquet(place)
+            own = lambda test, vf=vf, arrived=arrived: replace(vf, df=arrived.where(test).drop("batch"))
+            old.append(own(F.col("batch") < batch))
+            new.append(own(F.col("batch") == batch))
+        vjoin_new(old, new, self.on).df.write.mode("overwrite").parquet(f"{self.path}/derived/batch={batch}")
+
+    def derived(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/derived")
+
+
 def watch_files(spark: SparkSession, path: str, schema: str | StructType, fmt: str = "json", seconds: int = 15, glob: str = "*"):
     """A stream of new files whose names fit a glob, and the trigger to start it with."""
     return spark.readStream.schema(schema).format(fmt).option("pathGlobFilter", glob).load(path), {"processingTime": f"{seconds} seconds"}
