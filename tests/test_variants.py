@@ -1,5 +1,7 @@
 """Facts about branch points, plans, joins and ledgers, worked out by hand."""
 
+import hashlib
+import os
 import random
 from collections import Counter
 
@@ -395,3 +397,71 @@ def test_sweeps_by_cells_agree_with_the_general_form(spark):
         want = sweep.sweep(facts, flat, rows, holds, [F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("b").alias("high"), F.count_distinct("k").alias("kinds")])
         columns = ["bp_A", "bp_B", "bp_C", "s", "n", "low", "high", "kinds"]
         assert sorted(tuple(x) for x in got.select(*columns).collect()) == sorted(tuple(x) for x in want.select(*columns).collect())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cycles_are_named(spark, seed):
+    """Two cycles joined at a node, a loop with a long handle, self edges, nodes between cycles, and random edges."""
+    r = random.Random(seed)
+    edges = [(i, (i + 1) % 9) for i in range(9)] + [(4, 20), *((i, i + 1) for i in range(20, 24)), (24, 4)]
+    edges += [(30, 31), (31, 30), (31, 32), (32, 33), (33, 40), *((40 + i, 40 + (i + 1) % 6) for i in range(6)), (50, 50), (51, 51), (50, 51), (8, 30), *((60 + i, 60 + (i + 1) % 5) for i in range(5))]
+    edges += [(r.randrange(70, 95), r.randrange(70, 95)) for _ in range(30)]
+    nodes = {n for e in edges for n in e}
+    down = {n: reachable(edges, [n]) for n in nodes}
+    mine = {n: {m for m in nodes if m in down[n] and n in down[m]} for n in nodes}
+    want = {(n, min(mine[n])) for n in nodes if len(mine[n]) > 1 or (n, n) in edges}
+    got = lineage.cycles(spark.createDataFrame(edges, "parent long, child long")).collect()
+    assert len(got) == len(want) and {tuple(x) for x in got} == want
+    assert lineage.cycles(spark.createDataFrame([(1, 2), (2, 3)], "parent long, child long")).count() == 0
+
+
+def test_ranks_over_many_ranges(spark):
+    r = random.Random(3)
+    rows = [(r.choice(["b", "a", "é", "Z", None]), r.choice(["10", "9", "x", None]), i) for i in range(300)]
+    got = summary.ranked(spark.createDataFrame(rows, "t string, n string, i long").repartition(7), [("t", "text", True), ("i", "number", False)]).collect()
+    order = sorted(rows, key=lambda x: x[2])
+    order = sorted(order, key=lambda x: (x[0] is not None, (x[0] or "").encode()), reverse=True)
+    assert [tuple(x)[:3] for x in sorted(got, key=lambda x: x.rank)] == sorted(order, key=lambda x: ((x[0] is None), tuple(-b for b in (x[0] or "").encode()), x[2]))
+    assert sorted(x.rank for x in got) == list(range(1, 301))
+    assert summary.ranked(spark.createDataFrame([], "t string, n string, i long"), [("t", "text", False)]).count() == 0
+
+
+def test_comment_lines_and_header_are_kept_apart(spark):
+    lines = ["# first", "name score", "b 2", "#second", "a 10", "b 10", "a x", "c", "B 1"]
+    df = spark.createDataFrame(list(enumerate(lines)), "at long, line string")
+    got = sorted((r.part, r.place, r.line) for r in summary.tabular_lines(df, [(1, "text", False), (2, "number", True)]).collect())
+    assert got == [("comment", 1, "# first"), ("comment", 2, "#second"), ("header", 1, "name score"), ("row", 1, "B 1"), ("row", 2, "a 10"), ("row", 3, "a x"), ("row", 4, "b 10"), ("row", 5, "b 2"), ("row", 6, "c")]
+
+
+def test_only_files_with_new_size_or_time_are_read(spark, tmp_path, monkeypatch):
+    for name, text in {"same": "1", "touched": "2", "edited": "3", "gone": "4"}.items():
+        (tmp_path / f"{name}.txt").write_text(text)
+    pattern, read = f"file://{tmp_path}/*.txt", []
+    snapshot = sources.stored(ledger.file_digests(spark, pattern))
+    (tmp_path / "gone.txt").unlink()
+    (tmp_path / "edited.txt").write_text("33")
+    (tmp_path / "new one.txt").write_text("5")
+    os.utime(tmp_path / "touched.txt", (1, 1))
+    whole = ledger.file_digests
+    monkeypatch.setattr(ledger, "file_digests", lambda s, *paths, **k: read.extend(paths) or whole(s, *paths, **k))
+    got = {os.path.basename(r.path): (r.change, r.digest) for r in ledger.changed_on_disk(spark, snapshot, pattern).collect()}
+    md5 = lambda x: hashlib.md5(x).hexdigest()
+    assert got == {"edited.txt": ("changed", md5(b"33")), "new one.txt": ("new", md5(b"5")), "gone.txt": ("gone", md5(b"4"))}
+    assert sorted(os.path.basename(p) for p in read) == ["edited.txt", "new one.txt", "touched.txt"]
+    assert "content" not in ledger.listed_files(spark, pattern)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_result_with_very_many_inputs_in_buckets(spark, tmp_path):
+    result = [F.lit("t").alias("task"), F.lit("r").alias("realization")]
+    inputs = spark.range(1_000_000).select(*result, F.col("id").alias("input_name"))
+    one = spark.range(1).select(*result)
+    sources.ledger_save("many_inputs", f"file://{tmp_path}", 4, tasks=one, inputs=inputs, outputs=one.withColumn("output_name", F.lit("o")), params=one.limit(0).withColumn("p", F.lit("x")))
+    tables = {k: sources.ledger_table(spark, "many_inputs", k) for k in ("tasks", "inputs", "outputs", "params")}
+    lines = sources.status_lines(**tables)
+    assert lines.agg(F.count(F.lit(1)), F.max("place"), F.count_distinct("line")).first()[:] == (1_000_001, 1_000_000, 1_000_001)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = tables["inputs"].join(tables["tasks"].select(*sources.KEY), sources.KEY, "left_semi")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

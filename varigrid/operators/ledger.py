@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from varigrid.functions import exit_ok
 
@@ -109,3 +112,39 @@ def fingerprint(df: DataFrame) -> DataFrame:
     row = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in df.columns))
     h = F.conv(F.substring(F.md5(row), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(h).cast("decimal(38,0)").alias("digest"))
+
+
+def listed_files(spark: SparkSession, *patterns: str) -> DataFrame:
+    """Files (path, size, modified) that fit some patterns; no content is read."""
+    return spark.read.format("binaryFile").load(list(patterns)).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def file_digests(spark: SparkSession, *patterns: str, digest: Callable[[Column], Column] = F.md5) -> DataFrame:
+    """Files (path, size, modified, digest) with the digest of their content, each read whole by one task; files of 2 GB and more are an error."""
+    rows = spark.read.format("binaryFile").load(list(patterns))
+    return rows.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), digest(F.col("content")).alias("digest"))
+
+
+def changed_on_disk(spark: SparkSession, snapshot: DataFrame, *patterns: str, digest: Callable[[Column], Column] = F.md5) -> DataFrame:
+    """Files that differ from a snapshot (path, size, modified, digest): path, size, modified, digest, change (new, changed or gone).
+
+    Sizes and times are compared first, on a listing without content. Only files for which they differ are read, as a list of their own, so the others do
+    not come into that scan; a file with a new time and the old content has not changed. The driver gets the names of files to read.
+    """
+    before = snapshot.select("path", F.col("size").alias("old_size"), F.col("modified").alias("old_modified"), F.col("digest").alias("old_digest"))
+    here = listed_files(spark, *patterns).join(before, "path", "full")
+    stale = here.where(F.col("size").isNotNull() & ~(F.col("size").eqNullSafe(F.col("old_size")) & F.col("modified").eqNullSafe(F.col("old_modified"))))
+    paths = sorted(r.path for r in stale.select("path").collect())
+    gone = here.where("size IS NULL").select("path", F.col("old_size").alias("size"), F.col("old_modified").alias("modified"), F.col("old_digest").alias("digest"), F.lit("gone").alias("change"))
+    if not paths:
+        return gone
+    read = file_digests(spark, *paths, digest=digest).join(before.select("path", "old_digest"), "path", "left")
+    change = F.when(F.col("old_digest").isNull(), "new").otherwise("changed")
+    return read.where("old_digest IS NULL OR digest <> old_digest").select("path", "size", "modified", "digest", change.alias("change")).unionByName(gone)
+
+
+def version_rows(manifest: DataFrame) -> DataFrame:
+    """Entries of each version and kind as rows in order: version, kind, place (from 1), entry."""
+    entry = F.concat_ws("/", "name", "realization", F.col("task_version").cast("string"))
+    place = F.row_number().over(Window.partitionBy("version", "kind").orderBy("entry"))
+    return manifest.select("version", "kind", entry.alias("entry")).withColumn("place", place).select("version", "kind", "place", "entry")

@@ -32,23 +32,30 @@ def _straight(edges: DataFrame) -> DataFrame:
 
 
 def contract(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``paths`` without the loops."""
+    inner, short, loops = paths(edges)
+    discard(loops)
+    return inner, short
+
+
+def paths(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nonbranching paths of edges (src, dst), found by pointer doubling.
 
     Returns inner (node, path, place): nodes with one edge in and one out, by the path they are on, named after its first inner node, and their place on it, from 1;
     and short (src, dst, path, length): the edges between all other nodes, a path being one edge of its length, with its name. A cycle of
-    inner nodes alone has no first one, so its nodes count as others. Each round doubles what a pointer spans twice, so a path of n nodes takes about log4(n).
+    inner nodes alone has no first one, so its nodes count as others; loops (node, loop) has them, with the smallest node of their cycle. Each round doubles what a pointer spans twice, so a path of n nodes takes about log4(n).
     """
     edges = edges.select("src", "dst").where("src <> dst").distinct()
     once = lambda c: edges.groupBy(F.col(c).alias("node")).agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("node")
     middle = stored(once("src").join(once("dst"), "node"))
     back = edges.join(middle.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("dst").alias("node"), F.col("src").alias("at"))
     is_inner = middle.select(F.col("node").alias("at"), F.lit(False).alias("done"))
-    at = stored(back.join(is_inner, "at", "left").select("node", "at", F.col("node").alias("path"), F.lit(1).cast("long").alias("place"), F.coalesce("done", F.lit(True)).alias("done")))
+    at = stored(back.join(is_inner, "at", "left").select("node", "at", F.col("node").alias("path"), F.lit(1).cast("long").alias("place"), F.col("node").alias("least"), F.coalesce("done", F.lit(True)).alias("done")))
     discard(middle)
 
     def doubled(x: DataFrame) -> DataFrame:
-        far = x.select(F.col("node").alias("at"), F.col("at").alias("at_"), F.col("path").alias("path_"), F.col("place").alias("place_"), F.col("done").alias("done_"))
-        open_ = x.where("NOT done").join(far, "at").select("node", F.col("at_").alias("at"), F.col("path_").alias("path"), (F.col("place") + F.col("place_")).alias("place"), F.col("done_").alias("done"))
+        far = x.select(F.col("node").alias("at"), F.col("at").alias("at_"), F.col("path").alias("path_"), F.col("place").alias("place_"), F.col("least").alias("least_"), F.col("done").alias("done_"))
+        open_ = x.where("NOT done").join(far, "at").select("node", F.col("at_").alias("at"), F.col("path_").alias("path"), (F.col("place") + F.col("place_")).alias("place"), F.least("least", "least_").alias("least"), F.col("done_").alias("done"))
         return x.where("done").unionByName(open_)
 
     for _ in range(2 + at.count().bit_length() // 2):
@@ -57,14 +64,15 @@ def contract(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         before, at = at, stored(doubled(doubled(at)))
         discard(before)
     inner = stored(at.where("done").select("node", "path", "place", F.col("at").alias("src")))
+    loops = stored(at.where("NOT done").select("node", F.col("least").alias("loop")))
     discard(at)
     here = inner.select(F.col("node").alias("src"), "path", "place", F.col("src").alias("from"))
     onward = edges.join(here, "src").join(inner.select(F.col("node").alias("dst")), "dst", "left_anti")
-    paths = onward.select(F.col("from").alias("src"), "dst", "path", (F.col("place") + 1).alias("length"))
+    onward_ = onward.select(F.col("from").alias("src"), "dst", "path", (F.col("place") + 1).alias("length"))
     ends = inner.select(F.col("node").alias("n"))
     plain = edges.join(ends, F.col("src") == F.col("n"), "left_anti").join(ends, F.col("dst") == F.col("n"), "left_anti")
-    short = stored(plain.select("src", "dst", F.lit(None).cast(inner.schema["path"].dataType).alias("path"), F.lit(1).cast("long").alias("length")).unionByName(paths))
-    return inner, short
+    short = stored(plain.select("src", "dst", F.lit(None).cast(inner.schema["path"].dataType).alias("path"), F.lit(1).cast("long").alias("length")).unionByName(onward_))
+    return inner, short, loops
 
 
 def reach(edges: DataFrame, start: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -213,6 +221,66 @@ def check_acyclic(edges: DataFrame) -> DataFrame:
     return rest.select(F.col("parent").alias("node")).union(rest.select("child")).distinct()
 
 
+def cycles(edges: DataFrame) -> DataFrame:
+    """The strongly connected components with a cycle: node, component, named after its smallest node. A node on no cycle has no row.
+
+    Nonbranching paths are contracted first. Then, as long as edges are left, every node takes the largest node that leads to it as its
+    colour; those that also lead back to it, by edges of one colour, are its component and go, and so do nodes without edges in or out. Both are closures with one table for
+    a round, so the rounds follow the longest way between branching nodes. No pairs of nodes are made.
+    """
+    each = _straight(edges).distinct()
+    inner, short, loops = paths(each)
+    found = [loops.select("node", F.col("loop").alias("component")), each.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))]
+    own = short.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
+    found.append(own)
+    rest = stored(short.where("src <> dst").select("src", "dst").distinct().join(loops.select(F.col("node").alias("src")), "src", "left_anti"))
+    while not rest.isEmpty():
+        rest = _with_both_ends(rest)
+        if rest.isEmpty():
+            break
+        colour = _colours(rest)
+        there = colour.select(F.col("node").alias("src"), F.col("colour").alias("from_")), colour.select(F.col("node").alias("dst"), F.col("colour").alias("to_"))
+        joined = rest.join(there[0], "src").join(there[1], "dst")
+        one = stored(joined.where("from_ = to_").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        same = reach(one, colour.where("node = colour").select("node"))
+        part = same.join(colour, "node")
+        least = part.groupBy("colour").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("n_"))
+        found.append(stored(part.join(least.where("n_ > 1"), "colour").select("node", "component")))
+        gone = part.select("node")
+        left = rest.join(gone, F.col("src") == F.col("node"), "left_anti").join(gone, F.col("dst") == F.col("node"), "left_anti")
+        before, rest = rest, stored(left)
+        discard(before, one, colour, same)
+    # A component has one name, the smallest of all its nodes, those on paths between its nodes included.
+    some = stored(reduce(DataFrame.union, found).groupBy("node").agg(F.min("component").alias("component")))
+    ends = lambda c: some.select(F.col("node").alias(c), F.col("component").alias(f"{c}_"))
+    within = short.where("path IS NOT NULL").join(ends("src"), "src").join(ends("dst"), "dst").where("src_ = dst_").select("path", F.col("src_").alias("component"))
+    nodes = some.unionByName(inner.join(within, "path").select("node", "component"))
+    names = nodes.groupBy("component").agg(F.min("node").alias("name"))
+    out = stored(nodes.join(names, "component").groupBy("node").agg(F.min("name").alias("component")))
+    discard(inner, short, loops, some)
+    return out
+
+
+def _with_both_ends(edges: DataFrame) -> DataFrame:
+    """Edges (src, dst) after a few rounds that take away nodes without an edge in or without one out, which are on no cycle."""
+    for _ in range(3):
+        has = lambda c, other: edges.select(F.col(other).alias(c)).distinct()
+        before, edges = edges, stored(edges.join(has("src", "dst"), "src", "left_semi").join(has("dst", "src"), "dst", "left_semi").select("src", "dst"))
+        discard(before)
+    return edges
+
+
+def _colours(edges: DataFrame) -> DataFrame:
+    """(node, colour): the largest node from which edges (src, dst) lead to it, itself included."""
+    colour = stored(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("colour", F.col("node")).withColumn("new", F.lit(True)))
+    while not colour.where("new").isEmpty():
+        sent = edges.join(colour.where("new").select(F.col("node").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("sent"))
+        step = colour.join(sent, "node", "left").select("node", F.greatest("colour", "sent").alias("colour"), F.coalesce(F.col("sent") > F.col("colour"), F.lit(False)).alias("new"))
+        before, colour = colour, stored(step)
+        discard(before)
+    return colour
+
+
 def collapse(edges: DataFrame, virtual: DataFrame) -> DataFrame:
     """Edges between real nodes, paths through virtual nodes (node) taken as one edge."""
     v = virtual.select("node").distinct()

@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from varigrid.operators.variants import VariantFrame
+from varigrid.sources import stored
 
 MISSING = "--"
 
@@ -67,7 +69,44 @@ def first_row(df: DataFrame, order: Sequence[str], by: Sequence[str] = ()) -> Da
     return first.where("r_ IS NOT NULL").select(*by, "r_.*")
 
 
-def tabular(df: DataFrame, keys: Sequence[tuple[str, str, bool]]) -> DataFrame:
-    """Sort by several keys (column, ``text`` or ``number``, descending)."""
+def _sort_keys(keys: Sequence[tuple[str, str, bool]]) -> list[Column]:
     cols = [F.col(c).cast("double") if kind == "number" else F.col(c).cast("string") for c, kind, _ in keys]
-    return df.orderBy(*(c.desc() if down else c.asc() for c, (_, _, down) in zip(cols, keys, strict=True)))
+    return [c.desc() if down else c.asc() for c, (_, _, down) in zip(cols, keys, strict=True)]
+
+
+def tabular(df: DataFrame, keys: Sequence[tuple[str, str, bool]]) -> DataFrame:
+    """Sort by several keys (column, ``text`` or ``number``, descending). Text sorts by its UTF-8 bytes."""
+    return df.orderBy(*_sort_keys(keys))
+
+
+def ranked(df: DataFrame, keys: Sequence[tuple[str, str, bool]], name: str = "rank") -> DataFrame:
+    """Add each row's place in the order of some keys, from 1, as the column ``name``; rows that tie in all keys follow by all their columns.
+
+    Rows are dealt by ranges of the keys and sorted in many tasks; a row's place is that in its range plus the rows of the ranges before, of
+    which there is one number each. The sorted rows are written as a table of the shared folder, so that the ranges stay what they are.
+    """
+    order = [*_sort_keys(keys), *(F.col(c).asc() for c in df.columns)]
+    rows = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at_", F.monotonically_increasing_id()))
+    part = F.shiftright("at_", 33).alias("part_")  # the high bits are the range, the low 33 the place in it
+    counts = rows.groupBy(part).agg(F.count(F.lit(1)).alias("n_")).withColumn("all_", F.lit(0))
+    before = F.sum("n_").over(Window.partitionBy("all_").orderBy("part_").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_")
+    starts = stored(counts.select("part_", before.alias("before_")))
+    place = F.col("before_") + F.col("at_").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.withColumn("part_", F.shiftright("at_", 33)).join(starts, "part_").select(*df.columns, place.alias(name))
+
+
+def tabular_lines(lines: DataFrame, keys: Sequence[tuple[int, str, bool]], sep: str = r"\s+") -> DataFrame:
+    """Lines (line, at: their order in the file) as part, place and line: ``comment`` lines begin with #, in file order; the first other line is the ``header``; ``row`` lines
+    are sorted by keys (column from 1, ``text`` or ``number``, descending), then by the line, all in byte order. A field that a line lacks is empty; one that is no number counts as 0.
+    """
+    rest = lines.where(~F.startswith("line", F.lit("#")))
+    first = rest.agg(F.min("at").alias("at")).first().at
+    fields = F.split(F.trim("line"), sep)
+    text = lambda n: F.coalesce(F.get(fields, F.lit(n - 1)), F.lit(""))
+    number = lambda n: F.coalesce(text(n).try_cast("double"), F.lit(0.0))
+    body = rest.where(F.col("at") > F.lit(first)).select("line", *((number(n) if kind == "number" else text(n)).alias(f"k{i}") for i, (n, kind, _) in enumerate(keys)))
+    rows = ranked(body, [(f"k{i}", kind, down) for i, (_, kind, down) in enumerate(keys)] + [("line", "text", False)], "place")
+    comments = ranked(lines.where(F.startswith("line", F.lit("#"))).select("at", "line"), [("at", "number", False)], "place")
+    tagged = lambda df, part: df.select(F.lit(part).alias("part"), "place", "line")
+    header = rest.where(F.col("at") == F.lit(first)).withColumn("place", F.lit(1).cast("long"))
+    return tagged(comments, "comment").unionByName(tagged(header, "header")).unionByName(tagged(rows, "row"))

@@ -238,10 +238,7 @@ def constant_points(spark, d):
 def tabular_sort(spark, d):
     """A summary sorted by text, then by number, with the place of each row; there is one row per realization."""
     df = _metrics(spark, d).where("label = 'lines'").select("bp_Flag", "bp_Status", F.col("value").alias("v"))
-    ranked = summary.tabular(df, [("bp_Flag", "text", False), ("v", "number", True)])
-    from pyspark.sql.window import Window
-
-    return ranked.withColumn("rank", F.row_number().over(Window.orderBy("bp_Flag", F.col("v").cast("double").desc())).cast("long"))
+    return summary.ranked(df, [("bp_Flag", "text", False), ("v", "number", True)])
 
 
 _EDGES = """(SELECT 'region:' || n_regionkey AS parent, 'nation:' || n_nationkey AS child FROM nation
@@ -337,13 +334,13 @@ def duplicate_keys(spark, d):
 
 @query("SELECT 'user' || user_id AS task, event_type AS realization, count(*) AS n_inputs, count(*) FILTER (value > 10) AS n_outputs, 1::BIGINT AS n_params FROM events GROUP BY ALL")
 def status_report(spark, d):
-    """Ledger tables assembled per result, and how many lines of each kind it reports."""
+    """The report of ledger tables as rows, and how many lines of each kind a result has."""
     e = t(spark, d, "events").select(F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("task"), F.col("event_type").alias("realization"), "event_id", "value")
     tasks = e.select("task", "realization").distinct()
     inputs = e.select("task", "realization", F.col("event_id").cast("string").alias("input_name"))
     outputs = e.where("value > 10").select("task", "realization", F.col("event_id").cast("string").alias("output_name"))
     params = tasks.withColumns({"param_name": F.lit("kind"), "param_value": F.col("realization")})
-    lines = sources.status_report(sources.assemble(tasks, inputs, outputs, params))
+    lines = sources.status_lines(tasks, inputs, outputs, params)
     n = lambda k: F.count_if(F.col("kind") == k).alias(f"n_{k}")
     return lines.groupBy("task", "realization").agg(n("inputs"), n("outputs"), n("params"))
 

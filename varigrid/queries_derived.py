@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from varigrid import functions as fn
 from varigrid import plans, sources, streaming
-from varigrid.operators import checks, lineage, pipeline, sweep, variants
+from varigrid.operators import checks, ledger, lineage, pipeline, summary, sweep, variants
 from varigrid.plans import BranchPoint
 from varigrid.queries import _EDGES, FLAG, MIN_DISC, MIN_QTY, _shipments, entity_edges, query, t
 from varigrid.queries_store import place
@@ -135,3 +135,84 @@ def event_chain(spark, d):
     start = -1 - F.col("user_id")
     rows = lineage.levels(edges.select(F.coalesce("before", start).alias("parent"), F.col("event_id").alias("child")))
     return rows.where("node >= 0").select("node", (F.col("level") - 1).alias("level"))
+
+
+@query("SELECT event_id AS node, min(event_id) OVER (PARTITION BY user_id) AS component FROM events WHERE user_id % 2 = 0 QUALIFY count(*) OVER (PARTITION BY user_id) > 1")
+def event_cycles(spark, d):
+    """The events of users with an even number lead back from the last to the first. All chains run into that of the largest number, which
+    is no cycle if odd, and the chains of odd numbers start at events of others: nodes between cycles that are on none."""
+    from pyspark.sql.window import Window
+
+    by = Window.partitionBy("user_id")
+    e = t(spark, d, "events").select("user_id", "event_id", F.lead("event_id").over(by.orderBy("event_id")).alias("next"), F.min("event_id").over(by).alias("first"), F.max("event_id").over(by).alias("last"))
+    edge = lambda df, a, b: df.select(F.col(a).alias("parent"), F.col(b).alias("child"))
+    firsts = e.select("user_id", "first").distinct()
+    odd = firsts.where("user_id % 2 = 1").select((F.col("user_id") - 1).alias("user_id"), F.col("first").alias("onto"))
+    edges = edge(e.where("next IS NOT NULL"), "event_id", "next").union(edge(e.where("event_id = last AND user_id % 2 = 0 AND first < last"), "last", "first")).union(edge(firsts.join(odd, "user_id"), "first", "onto"))
+    return lineage.cycles(edges)
+
+
+@query(f"WITH RECURSIVE e AS {_EDGES}, r AS (SELECT DISTINCT parent AS node, 1 AS level FROM e WHERE parent NOT IN (SELECT child FROM e) UNION SELECT child, level + 1 FROM r JOIN e ON parent = node) SELECT node, max(level)::INT AS level, row_number() OVER (ORDER BY max(level), node) AS rank FROM r GROUP BY node")
+def node_ranks(spark, d):
+    """The place of each node in breadth-first order."""
+    return summary.ranked(lineage.levels(entity_edges(spark, d)), [("level", "number", False), ("node", "text", False)])
+
+
+_LINES = "(SELECT o_orderkey AS pos, CASE WHEN o_orderkey % 7 = 0 THEN '# order ' || o_orderkey ELSE o_orderstatus || ' ' || floor(o_totalprice)::BIGINT || ' ' || o_orderkey END AS line FROM orders)"
+
+
+@query(f"WITH l AS {_LINES}, h AS (SELECT min(pos) AS pos FROM l WHERE line NOT LIKE '#%') SELECT 'comment' AS part, row_number() OVER (ORDER BY pos) AS place, line FROM l WHERE line LIKE '#%' UNION ALL SELECT 'header', 1, line FROM l JOIN h USING (pos) UNION ALL SELECT 'row', row_number() OVER (ORDER BY split_part(line, ' ', 1), split_part(line, ' ', 2)::DOUBLE DESC, line), line FROM l WHERE line NOT LIKE '#%' AND pos <> (SELECT pos FROM h)")
+def tabular_file(spark, d):
+    """Lines of which some are comments: those stay in order, the first other line is the header, the rest is sorted by text, then by number."""
+    line = F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("# order "), F.col("o_orderkey").cast("string"))).otherwise(F.concat_ws(" ", "o_orderstatus", F.floor("o_totalprice").cast("string"), F.col("o_orderkey").cast("string")))
+    return summary.tabular_lines(t(spark, d, "orders").select(F.col("o_orderkey").alias("at"), line.alias("line")), [(1, "text", False), (2, "number", True)])
+
+
+@query("WITH f AS (SELECT 'mode' || (p_partkey % 20) AS name, p_partkey % 20 AS k, md5(string_agg(p_name || chr(10), '' ORDER BY p_partkey)) AS old, md5(string_agg(upper(p_name) || chr(10), '' ORDER BY p_partkey)) AS new FROM part GROUP BY ALL) SELECT name, 'changed' AS change, new AS digest FROM f WHERE k < 5 UNION ALL SELECT name, 'gone', old FROM f WHERE k = 19 UNION ALL SELECT 'new' || k, 'new', old FROM f WHERE k = 7")
+def files_on_disk(spark, d):
+    """Files of part names against a snapshot: some have other content, some were written anew with the same, one has gone and one is new."""
+    path = place(spark, "files")
+
+    def write(df: DataFrame, prefix: str = "mode") -> None:
+        rows = df.select((F.col("p_partkey") % 20).alias("k"), "p_name", "p_partkey").repartition("k").sortWithinPartitions("k", "p_partkey")
+        staged = f"{path}/staged-{prefix}"
+        rows.select("k", "p_name").write.mode("overwrite").partitionBy("k").text(staged)
+        for f in spark.read.text(staged).inputFiles():  # twenty files
+            fs, a = sources.files(spark, f)
+            b = sources.files(spark, f"{path}/now/{prefix}{f.split('/k=')[1].split('/')[0]}.txt")[1]
+            fs.mkdirs(b.getParent())
+            fs.delete(b, False)
+            fs.rename(a, b)
+
+    part = t(spark, d, "part")
+    write(part)
+    snapshot = sources.stored(ledger.file_digests(spark, f"{path}/now/*.txt"))
+    k = F.col("p_partkey") % 20
+    write(part.where(k < 5).withColumn("p_name", F.upper("p_name")))
+    write(part.where(k.between(5, 9)))
+    write(part.where(k == 7), "new")
+    fs, last = sources.files(spark, f"{path}/now/mode19.txt")
+    fs.delete(last, False)
+    changed = ledger.changed_on_disk(spark, snapshot, f"{path}/now/*.txt")
+    return changed.select(fn.basename(F.col("path"), ".txt").alias("name"), "change", "digest")
+
+
+@query("SELECT version, kind, row_number() OVER (PARTITION BY version, kind ORDER BY entry)::INT AS place, entry FROM (SELECT o_orderdate::DATE::VARCHAR AS day, 1 AS version, CASE WHEN o_orderstatus = 'F' THEN 'existing' ELSE 'todo' END AS kind, 'order/' || o_orderstatus || '/' || o_orderkey AS entry FROM orders)")
+def version_listing(spark, d):
+    """The manifest of all orders listed as rows in order."""
+    o = t(spark, d, "orders").select(F.lit(1).alias("version"), F.when(F.col("o_orderstatus") == "F", "existing").otherwise("todo").alias("kind"), F.lit("order").alias("name"), F.col("o_orderstatus").alias("realization"), F.col("o_orderkey").cast("int").alias("task_version"))
+    return ledger.version_rows(o)
+
+
+@query("SELECT 'order' AS task, o_orderkey::VARCHAR AS realization, kind, row_number() OVER (PARTITION BY o_orderkey, kind ORDER BY line)::INT AS place, line FROM (SELECT l_orderkey AS o_orderkey, 'inputs' AS kind, '{\"input_name\":\"' || l_linenumber || '/' || l_partkey || '\"}' AS line FROM lineitem UNION ALL SELECT o_orderkey, 'params', '{\"param_name\":\"priority\",\"param_value\":\"' || o_orderpriority || '\"}' FROM orders UNION ALL SELECT o_orderkey, 'outputs', '{\"output_name\":\"total\"}' FROM orders WHERE o_totalprice > 100000)")
+def ledger_listing(spark, d):
+    """Ledger tables kept in buckets, joined without a shuffle, and reported line by line."""
+    import uuid
+
+    key = lambda c: [F.lit("order").alias("task"), F.col(c).cast("string").alias("realization")]
+    o, path, name = t(spark, d, "orders"), place(spark, "ledger"), f"ledger_{uuid.uuid4().hex}"
+    inputs = t(spark, d, "lineitem").select(*key("l_orderkey"), F.concat_ws("/", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("input_name"))
+    outputs = o.where("o_totalprice > 100000").select(*key("o_orderkey"), F.lit("total").alias("output_name"))
+    params = o.select(*key("o_orderkey"), F.lit("priority").alias("param_name"), F.col("o_orderpriority").alias("param_value"))
+    sources.ledger_save(name, path, 8, tasks=o.select(*key("o_orderkey")), inputs=inputs, outputs=outputs, params=params)
+    return sources.status_lines(*(sources.ledger_table(spark, name, k) for k in ("tasks", "inputs", "outputs", "params"))).select("task", "realization", "kind", "place", "line")

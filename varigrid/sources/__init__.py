@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 KEY = ["task", "realization"]
 MANIFEST = "version int, kind string, name string, realization string, task_version int, package_version string, packages array<string>"
@@ -117,6 +118,29 @@ def assemble(tasks: DataFrame, inputs: DataFrame, outputs: DataFrame, params: Da
     return reduce(lambda a, b: a.join(b, KEY, "left"), [tasks, listed(inputs, "inputs"), listed(outputs, "outputs"), listed(params, "params")])
 
 
+def ledger_save(name: str, path: str, buckets: int, **tables: DataFrame) -> None:
+    """Append to ledger tables ``name_tasks``, ``name_inputs`` and so on of the catalog, kept below ``path`` in buckets by result, sorted: joins of them by result need no shuffle."""
+    for kind, df in tables.items():
+        df.write.bucketBy(buckets, *KEY).sortBy(*KEY).mode("append").option("path", f"{path}/{kind}").saveAsTable(f"{name}_{kind}")
+
+
+def ledger_table(spark: SparkSession, name: str, kind: str) -> DataFrame:
+    return spark.table(f"{name}_{kind}")
+
+
+def status_lines(tasks: DataFrame, inputs: DataFrame, outputs: DataFrame, params: DataFrame) -> DataFrame:
+    """The report of results as rows: task, realization, kind (inputs, outputs or params), place (in the order of the lines, from 1) and line.
+
+    A result may have any number of inputs: they are rows of their own, sorted with spilling, and never one array.
+    """
+    def listed(df: DataFrame, kind: str) -> DataFrame:
+        own = df.join(tasks.select(*KEY), KEY, "left_semi")
+        return own.select(*KEY, F.lit(kind).alias("kind"), F.to_json(F.struct(*(c for c in df.columns if c not in KEY))).alias("line"))
+
+    rows = reduce(DataFrame.unionByName, (listed(df, k) for k, df in (("inputs", inputs), ("outputs", outputs), ("params", params))))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*KEY, "kind").orderBy("line")))
+
+
 def status_report(ledger: DataFrame) -> DataFrame:
     """Assembled results as lines (task, realization, kind, line)."""
     rows = lambda name: F.coalesce(F.transform(name, lambda x: F.struct(F.lit(name).alias("kind"), F.to_json(x).alias("line"))), F.array().cast("array<struct<kind:string,line:string>>"))
