@@ -1,5 +1,6 @@
 """Facts about branch points, plans, joins and ledgers, worked out by hand."""
 
+import datetime
 import hashlib
 import os
 import random
@@ -465,3 +466,41 @@ def test_a_result_with_very_many_inputs_in_buckets(spark, tmp_path):
         assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.fixture
+def rocks(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset(key)
+
+
+def files_in_turn(spark, tmp_path, batches, schema):
+    """A stream of one file for each batch, in order."""
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
+    return spark.readStream.schema(spark.createDataFrame([], schema).schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/events")
+
+
+def test_last_status_with_late_events_and_state_that_goes(spark, tmp_path, rocks):
+    at = lambda day, *x: (datetime.datetime(2024, 1, day), *x)
+    batches = [[at(5, 1, "t", "r", "begin"), at(6, 2, "t", "r", "succeed"), at(5, 3, "u", "r", "fail")], [at(5, 4, "t", "r", "fail"), at(7, 5, "u", "r", "begin"), at(20, 6, "v", "r", "begin")], [at(19, 8, "t", "r", "fail")], [at(7, 7, "u", "r", "succeed"), at(20, 9, "v", "r", "other"), at(21, 10, "v", "r", "skip")]]
+    stream = files_in_turn(spark, tmp_path, batches, "ts timestamp, event_id long, task string, realization string, event string")
+    seen = []
+    out = streaming.live_status_changes(stream, "2 days", 3 * 86400)
+    out.writeStream.foreachBatch(lambda df, i: seen.extend((r.task, r.event_id, r.status) for r in df.collect())).option("checkpointLocation", f"{tmp_path}/state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    # Event 4 is older than what its result has; event 7 is too late two batches after the 20th; event 9 is no change of status.
+    assert sorted(seen, key=lambda x: x[1]) == [("t", 2, "completed"), ("u", 3, "failed"), ("u", 5, "running"), ("v", 6, "running"), ("t", 8, "failed"), ("v", 10, "completed")]
+    with pytest.raises(ValueError, match="as long as"):
+        streaming.live_status_changes(stream, "2 days", 60)
+
+
+def test_ready_goes_on_from_its_checkpoint(spark, tmp_path, rocks):
+    edges = spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "y"), ("c", "z")], "parent string, child string")
+    schema, at = "ts long, event_id long, parent string, status string", f"{tmp_path}/checkpoint"
+    sent = []
+    for batch, want in (([(1, 1, "a", "completed"), (1, 2, "c", "failed")], []), ([(2, 3, "b", "completed")], ["x", "y"]), ([(3, 4, "b", "completed"), (3, 5, "c", "completed")], ["x", "y", "z"])):
+        stream = files_in_turn(spark, tmp_path, [batch], schema)
+        streaming.ready(stream, edges).writeStream.foreachBatch(lambda df, i: sent.extend(r.child for r in df.collect())).option("checkpointLocation", at).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        assert sorted(sent) == want

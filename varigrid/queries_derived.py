@@ -216,3 +216,56 @@ def ledger_listing(spark, d):
     params = o.select(*key("o_orderkey"), F.lit("priority").alias("param_name"), F.col("o_orderpriority").alias("param_value"))
     sources.ledger_save(name, path, 8, tasks=o.select(*key("o_orderkey")), inputs=inputs, outputs=outputs, params=params)
     return sources.status_lines(*(sources.ledger_table(spark, name, k) for k in ("tasks", "inputs", "outputs", "params"))).select("task", "realization", "kind", "place", "line")
+
+
+def _in_rocks(spark, run):
+    """Stateful processors keep their state in RocksDB; the setting is put back afterwards."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        run()
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+@query("SELECT 'order:' || l_orderkey AS child, count(*) AS n_parents FROM (SELECT l_orderkey, l_linenumber, bool_and(l_linestatus = 'F' AND l_returnflag <> 'R') AS ok FROM lineitem GROUP BY 1, 2) GROUP BY 1 HAVING bool_and(ok)")
+def ready_stream(spark, d):
+    """Orders that can go on, sent as their lines are done: three batches of a stream that is stopped in between and goes on from its checkpoint."""
+    path = place(spark, "ready")
+    line = F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    failed = F.max((F.col("l_returnflag") == "R").cast("int")) == 1
+    done = F.min((F.col("l_linestatus") == "F").cast("int")) == 1
+    lines = t(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.when(failed, "failed").when(done, "completed").otherwise("running").alias("status"), F.max("l_shipdate").alias("ts"))
+    events = sources.stored(lines.select("ts", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("event_id"), line.alias("parent"), "status", "l_linenumber"))
+    edges = t(spark, d, "lineitem").select(line.alias("parent"), F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("child"))
+    rows = events.drop("l_linenumber")
+
+    def send(some: DataFrame) -> None:
+        some.select(rows.columns).coalesce(1).write.mode("append").parquet(f"{path}/events")
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/events")
+        out = streaming.ready(stream, edges).writeStream.format("parquet").option("path", f"{path}/sent").option("checkpointLocation", f"{path}/checkpoint")
+        out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+    third = F.pmod(F.hash("event_id"), F.lit(3))
+    _in_rocks(spark, lambda: [send(events.where(third == i)) for i in range(3)])
+    return spark.read.schema("child string, n_parents long").parquet(f"{path}/sent")
+
+
+@query("SELECT user_id::VARCHAR AS task, event_type AS realization, CASE event_type WHEN 'signup' THEN 'completed' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END AS status, max(event_id) AS event_id FROM events GROUP BY ALL")
+def live_status_late(spark, d):
+    """Last status of each user and kind from a stream in four batches whose events come out of order, with state that expires."""
+    path = place(spark, "late")
+    kind = F.create_map(*(F.lit(x) for kv in {"signup": "skip", "view": "begin", "click": "begin", "purchase": "succeed", "error": "fail"}.items() for x in kv))[F.col("event_type")]
+    rows = t(spark, d, "events").select("ts", "event_id", F.col("user_id").cast("string").alias("task"), F.col("event_type").alias("realization"), kind.alias("event"))
+    rows.repartition(4, F.pmod(F.hash("event_id"), F.lit(4))).write.parquet(f"{path}/events")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/events")
+    span = rows.agg(F.unix_seconds(F.max("ts").cast("timestamp")) - F.unix_seconds(F.min("ts").cast("timestamp"))).first()[0] or 0
+    changes = streaming.live_status_changes(stream, f"{span + 1} seconds", 2 * span + 2)
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/changes/batch={batch}")
+
+    _in_rocks(spark, lambda: changes.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").outputMode("update").trigger(availableNow=True).start().awaitTermination())
+    got = spark.read.schema(changes.schema).parquet(f"{path}/changes")
+    return got.groupBy("task", "realization").agg(F.max_by(F.struct("status", "event_id"), F.struct("at", "event_id")).alias("s")).select("task", "realization", "s.status", "s.event_id")

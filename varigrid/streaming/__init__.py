@@ -25,6 +25,51 @@ def live_status(events: DataFrame) -> DataFrame:
     return events.where(state.isNotNull()).groupBy("task", "realization").agg(F.max_by(state, F.struct("ts", "event_id")).alias("status"))
 
 
+class _Latest(StatefulProcessor):
+    def __init__(self, keep_ms: int) -> None:
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at long, event_id long, status string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:  # noqa: N802
+        best = self.last.get() if self.last.exists() else None
+        before = best
+        for r in rows:
+            r = r.sort_values(["at", "event_id"]).iloc[-1]
+            own = (int(r["at"]), int(r["event_id"]), r["status"])
+            best = own if best is None or own[:2] > tuple(best)[:2] else best
+        if best is not before:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(best[0] // 1000 + self.keep_ms)
+            self.last.update(tuple(best))
+            yield pd.DataFrame({"task": [key[0]], "realization": [key[1]], "at": [best[0]], "event_id": [best[1]], "status": [best[2]]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def live_status_changes(events: DataFrame, late: str, keep_seconds: int) -> DataFrame:
+    """A stream of changes of results' last statuses: task, realization, at (microseconds), event_id, status; for a result the last in (at, event_id) holds.
+
+    Events that come more than ``late`` (an interval of time) after later ones are not taken in. An event that is late within it changes nothing if its result has had a
+    later one. A result's state goes when ``keep_seconds`` of event time have passed since its last event, so that results without end
+    do not fill the store. Longer than ``late`` it has to be kept, or a late event could set an older status; shorter times are an error.
+    """
+    if keep_seconds < events.sparkSession.sql(f"SELECT unix_seconds(timestamp_seconds(0) + INTERVAL {late}) AS s").first().s:
+        raise ValueError("state must be kept for as long as events may be late")
+    state = F.create_map(*(F.lit(x) for kv in STATES.items() for x in kv))[F.col("event")]
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).where(state.isNotNull()).select("task", "realization", "ts", F.unix_micros("ts").alias("at"), "event_id", state.alias("status"))
+    schema = "task string, realization string, at long, event_id long, status string"
+    return rows.groupBy("task", "realization").transformWithStateInPandas(_Latest(keep_seconds * 1000), schema, "Update", "EventTime")
+
+
 def display_status(flags: Column) -> Column:
     """completed over running over failed over other, of an array of statuses."""
     return F.when(F.array_contains(flags, "completed"), "completed").when(F.array_contains(flags, "running"), "running").when(F.array_contains(flags, "failed"), "failed").otherwise("other")
