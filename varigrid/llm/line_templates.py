@@ -98,7 +98,8 @@ def drop_recurring(docs: DataFrame, least: int = 10, usual: float = 0.01, fixed:
     some, none = divide(rows.withColumn("key", F.xxhash64("id", "fp")), "key", marks)
     rows = some.join(marks.drop("key"), ["id", "fp"], "left").select("row", "gone").unionByName(none.select("row", F.lit(None).cast("array<int>").alias("gone")))
     rows = rows.withColumn("lines", F.split("row.text", "\n"))
-    kept = F.array_join(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)), "\n")
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")  # by hashing, so a text's lines cost their number
+    kept = F.array_join(F.transform(places, lambda i: F.col("lines")[i]), "\n")
     text = F.when(F.col("gone").isNotNull() & F.col("lines").isNotNull(), kept).otherwise(F.col("row.text"))
     n_lines = F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long")
     n_dropped = F.when(F.col("lines").isNull() | F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
