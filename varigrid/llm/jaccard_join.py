@@ -30,6 +30,8 @@ from varigrid.llm.url_filter import divide
 
 #: Cells in which elements are counted for their order; they bound what the driver holds, and what goes to each task.
 CELLS = 1 << 20
+#: Pairs of a signature and a set that a part is to hold, and the signatures of a set that parts are counted by.
+PART_PAIRS, USUAL_SIGNATURES = 1 << 22, 300
 
 
 def shingle_sets(texts: pa.Array, k: int, lower: bool = True) -> list[np.ndarray]:
@@ -256,10 +258,11 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, split_: int = 2, sub:
     ``rounds`` rounds, with other sets drawn for each signature; of sets that are still in different components, those pairs are
     compared at last that have an element in common in their prefixes (see ``_close_pairs``).
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("fp"), "text")
     sets = store(_sets(docs, k), "sets")
-    shared = store(_sharing(_signature_blocks(docs.select("text"), k, percent, split_, sub, parts).repartition(parts, "part")), "shared")
+    # Parts grow in number with the sets, so what a task holds of one does not; each part is one task's.
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sets.count() * USUAL_SIGNATURES // PART_PAIRS))
+    shared = store(_sharing(_signature_blocks(docs.select("text"), k, percent, split_, sub, parts).repartitionById(parts, F.col("part"))), "shared")
     pairs = shared.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
     nodes = shared.select("node").union(shared.select("lead")).distinct()
     one = store(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("fp").alias("fp")), "nodes")
