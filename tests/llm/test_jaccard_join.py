@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from tests.llm.cases import documents, empty
+from varigrid.llm import jaccard_join
 from varigrid.llm.components import components, merged
 from varigrid.llm.jaccard_join import _sharing, near_duplicates, signatures
 
@@ -134,3 +135,33 @@ def test_words_that_cancel_out_in_sums_are_not_linked(spark):
     words = ["".join("ab"[(i.bit_count() + flip) % 2] for i in range(1024)) for flip in (0, 1)]
     docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id) for r in near_duplicates(docs, 3, 90).collect()) == [(0, 0), (1, 1)]
+
+
+def test_profiles_never_bound_below_what_sets_have_in_common():
+    r = np.random.default_rng(6)
+    for n, m, both in ((1, 1, 0), (1, 1, 1), (60, 70, 60), (64, 65, 40), (500, 520, 470), (1000, 1030, 3), (20_000, 24_000, 18_000), (9000, 16_500, 8000)):
+        x = r.integers(0, 2**63, n + m - both, dtype=np.uint64)
+        a, b = jaccard_join.profile(x[:n]), jaccard_join.profile(x[n - both :])
+        assert both <= jaccard_join.most_in_common(a, b) <= min(n, m) and jaccard_join.most_in_common(a, b) == jaccard_join.most_in_common(b, a)
+    assert jaccard_join.profile(np.arange(300, dtype=np.uint64) * np.uint64(1 << 20)) is None and len(jaccard_join.profile(np.empty(0, np.uint64))) == 64
+
+
+def crowd(spark, n):
+    """Texts of 300 words that all share and three slots of 20 words, each one of 30 passages; no two are linked unless all slots agree."""
+    r = random.Random(8)
+    shared, slots = [f"s{i}" for i in range(300)], [[[f"t{i}x{j}y{k}" for k in range(20)] for j in range(30)] for i in range(3)]
+    rows = [(i, " ".join(shared[:100] + r.choice(slots[0]) + shared[100:200] + r.choice(slots[1]) + shared[200:] + r.choice(slots[2]))) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_a_crowd_below_the_threshold_compares_few_texts(spark, monkeypatch):
+    compared, own = [], jaccard_join._compared
+    monkeypatch.setattr(jaccard_join, "_compared", lambda pairs, texts, k: compared.append(pairs.count()) or own(pairs, texts, k))
+    docs = crowd(spark, 600)
+    rows = near_duplicates(docs, 3, 90).collect()
+    # Two texts with two slots of three in common are just below; all others are told apart by their profiles.
+    groups = {}
+    for r in docs.collect():
+        groups.setdefault(r.text, r.doc_id)
+    assert {r.doc_id: r.component_id for r in rows} == {r.doc_id: groups[r.text] for r in docs.collect()}
+    assert sum(compared) <= 3 * 600

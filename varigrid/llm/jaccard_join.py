@@ -230,6 +230,64 @@ def _sharing(blocks: DataFrame, held: int = 1 << 20) -> DataFrame:
     return blocks.mapInArrow(work, "sig long, lead long, node long")
 
 
+def _cells(n: int) -> int:
+    """Cells of the profile of a set of n elements, a power of two about as large as the set."""
+    return 1 << min(max(int(n - 1).bit_length() if n > 1 else 0, 6), 13)
+
+
+def profile(s: np.ndarray) -> bytes | None:
+    """How many elements of a set fall into each cell; None if one has more than 255."""
+    counts = np.bincount((s & np.uint64(_cells(len(s)) - 1)).astype(np.int64), minlength=_cells(len(s)))
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else None
+
+
+def most_in_common(x: bytes, y: bytes) -> int:
+    """What two sets can have in common at most, by their profiles: the smaller count of each cell; the finer profile is folded."""
+    a, b = (np.frombuffer(p, np.uint8).astype(np.int64) for p in (x, y))
+    cells = min(len(a), len(b))
+    return int(np.minimum(a.reshape(-1, cells).sum(axis=0), b.reshape(-1, cells).sum(axis=0)).sum())
+
+
+def _profiles(texts: DataFrame, k: int) -> DataFrame:
+    """Rows (node, n, profile) of texts (node, text): the size of the set and its profile."""
+
+    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it):
+            sets = shingle_sets(b.column("text"), k)
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([profile(s) for s in sets], pa.binary())], names=["node", "n", "profile"])
+
+    return texts.mapInArrow(work, "node long, n long, profile binary")
+
+
+def _possible(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and profiles allow a link. The bound is never below what a pair has in common, so no link is lost; most pairs that
+    share a signature and little else end here, before their texts are sent anywhere."""
+
+    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            sizes = zip(b.column("n_a").to_pylist(), b.column("n_b").to_pylist(), strict=True)
+            keep = []
+            for (m, n), x, y in zip(sizes, b.column("profile_a"), b.column("profile_b"), strict=True):
+                both = min(m, n) if not (x.is_valid and y.is_valid) else min(m, n, most_in_common(x.as_py(), y.as_py()))
+                keep.append(100 * both >= percent * (m + n - both))
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
+
+    a, b = (profiles.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("profile").alias(f"profile_{x}")) for x in "ab")
+    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    sized = pairs.join(a.select("a", "n_a"), "a").join(b.select("b", "n_b"), "b").where(fits).select("a", "b")
+    return sized.join(a, "a").join(b, "b").mapInArrow(work, "a long, b long")
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, profiles: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are linked, as a table. Only texts of pairs that profiles leave open are sent to be compared."""
+    open_ = store(_possible(pairs, profiles, percent), "possible")
+    nodes = store(open_.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "compared")
+    near = divide(texts, "node", nodes)[0]
+    out = store(_compared(open_, near, k).where(F.expr(f"100 * both >= {percent} * all")).select("a", "b"), "linked")
+    discard(open_, nodes)
+    return out
+
+
 def _compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """Pairs (a, b) of nodes with both, the size of the intersection of their sets, and all, that of the union; texts has one text per node."""
 
@@ -267,17 +325,17 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, split_: int = 2, sub:
     nodes = shared.select("node").union(shared.select("lead")).distinct()
     one = store(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("fp").alias("fp")), "nodes")
     texts = store(divide(docs.select("fp", "text"), "fp", one)[0].join(one, "fp").groupBy("node").agg(F.first("text").alias("text")), "texts")
-    linked = F.expr(f"100 * both >= {percent} * all")
-    links = store(_compared(pairs, texts, k).where(linked).select("a", "b"), "linked")
+    profiles = store(_profiles(texts, k), "profiles")
+    links = _linked(pairs, texts, profiles, k, percent)
     found = store(components(links), "components")
     for turn in range(rounds + 1):
         more = _next_pairs(shared, found, turn) if turn < rounds else _close_pairs(shared, found, texts, k, percent)
         if more is None:
             break
-        links = store(_compared(more, texts, k).where(linked).select("a", "b"), "linked")
+        links = _linked(more, texts, profiles, k, percent)
         old, found = found, found if links.isEmpty() else store(merged(found, links), "components")
         discard(more, links, *([old] if old is not found else ()))
-    discard(shared, one, texts)
+    discard(shared, one, texts, profiles)
     rows = sets.join(found, "node", "left").withColumn("root", F.coalesce("root", F.when(F.col("n_shingles") > 0, F.col("node"))))
     least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "root", "left").select("doc_id", "fp", "n_shingles", F.col("node").alias("set_id"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
