@@ -13,8 +13,11 @@ def check_branch_sets(defs: DataFrame) -> DataFrame:
 
 
 def missing_keys(facts: DataFrame, required: DataFrame, by: str, key: str) -> DataFrame:
-    """Required keys (a small table) that a group lacks."""
-    return facts.select(by).distinct().crossJoin(required.select(key).distinct()).join(facts.select(by, key), [by, key], "left_anti")
+    """Required keys that a group lacks. Groups that have as many of them as there are end after a count; the others alone meet the list of keys, of which they lack some."""
+    keys, each = required.select(key).distinct(), facts.select(by, key).distinct()
+    have = each.join(keys, key, "left_semi").groupBy(by).agg(F.count(F.lit(1)).alias("n_"))
+    short = facts.select(by).distinct().join(have, by, "left").where(F.coalesce("n_", F.lit(0)) < F.lit(keys.count())).select(by)
+    return short.crossJoin(keys).join(each, [by, key], "left_anti")
 
 
 def check_keys(fact: DataFrame, dim: DataFrame, key: str, mode: str = "warn") -> DataFrame:

@@ -13,13 +13,17 @@ from pyspark.sql.window import Window
 
 from varigrid.plans import BranchPoint, grid
 
+#: Realizations of a grid that is sent to all tasks.
+MOST_BROADCAST = 100_000
+
 
 def sweep(facts: DataFrame, points: Sequence[BranchPoint], rows: Sequence[Mapping[str, str]], holds: Callable[[], Column], aggs: Sequence[Column]) -> DataFrame:
     """General form: facts joined with the declared grid under any condition over fact columns and val_ columns.
 
-    The grid is declared on the driver, so its size is known and it is broadcast.
+    The grid is declared on the driver, so its size is known; up to ``MOST_BROADCAST`` realizations it is broadcast, beyond that Spark chooses.
     """
-    g = F.broadcast(grid(facts.sparkSession, points, rows))
+    g = grid(facts.sparkSession, points, rows)
+    g = F.broadcast(g) if len(rows) <= MOST_BROADCAST else g
     return facts.join(g, holds()).groupBy(*(p.column for p in points)).agg(*aggs)
 
 

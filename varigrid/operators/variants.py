@@ -153,9 +153,15 @@ def dedupe(vf: VariantFrame, keys: Sequence[str], order: str) -> VariantFrame:
     return replace(vf, df=first.select(*keys, "r_.*"))
 
 
-def per_variant(vf: VariantFrame, fn, schema: str) -> DataFrame:
-    """Run opaque pandas code once per realization; a realization must fit one task. Prefer DataFrame expressions."""
-    return vf.df.groupBy(*vf.columns).applyInPandas(fn, schema)
+def per_variant(vf: VariantFrame, fn, schema: str, by: Sequence[str] = (), buckets: int = 1) -> DataFrame:
+    """Run opaque pandas code once per realization; a realization must fit one task. Prefer DataFrame expressions.
+
+    With ``buckets`` the rows of a realization are dealt by the hash of the columns ``by`` and the code runs once per realization and bucket, so that a
+    realization of any size is many tasks' work; what it gives for the buckets is merged by an aggregate of the caller's.
+    """
+    if buckets == 1:
+        return vf.df.groupBy(*vf.columns).applyInPandas(fn, schema)
+    return vf.df.groupBy(*vf.columns, F.pmod(F.hash(*by), F.lit(buckets)).alias("bucket_")).applyInPandas(fn, schema)
 
 
 def bind(df: DataFrame, name: str, value: Column | object) -> DataFrame:

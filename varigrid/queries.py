@@ -122,7 +122,7 @@ def plan_union(spark, d):
     """Orders per realization of the union of three plan clauses."""
     g = plans.plan_union(plans.grid(spark, PLAN_POINTS, plans.cross(PLAN_POINTS)), PLAN_POINTS, PLANS, ["Basic"])
     o = t(spark, d, "orders")
-    cells = F.broadcast(g).join(o, (F.col("o_orderstatus") == F.col("val_N")) & (F.month("o_orderdate") == F.col("val_M")) & (F.col("o_totalprice") >= F.col("val_WhichSize")))
+    cells = o.join(g, (F.col("o_orderstatus") == F.col("val_N")) & (F.month("o_orderdate") == F.col("val_M")) & (F.col("o_totalprice") >= F.col("val_WhichSize")))
     n = cells.groupBy("bp_WhichSize", "bp_N", "bp_M").agg(F.count(F.lit(1)).alias("n_"))
     keys = ["bp_WhichSize", "bp_N", "bp_M"]
     return g.select(*keys).join(n, keys, "left").select(*keys, F.coalesce("n_", F.lit(0)).alias("n_orders"))
@@ -136,7 +136,7 @@ def plan_explain(spark, d):
     """Every realization under every clause with the reason it is refused, and the orders it would look at."""
     g = plans.explain_plan(plans.grid(spark, PLAN_POINTS, plans.cross(PLAN_POINTS)), PLAN_POINTS, PLANS)
     n = t(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("val_N")).agg(F.count(F.lit(1)).alias("n_orders"))
-    return g.join(F.broadcast(n), "val_N", "left").select("clause", "bp_WhichSize", "bp_N", "bp_M", "accepted", "reason", F.coalesce("n_orders", F.lit(0)).alias("n_orders"))
+    return g.join(n, "val_N", "left").select("clause", "bp_WhichSize", "bp_N", "bp_M", "accepted", "reason", F.coalesce("n_orders", F.lit(0)).alias("n_orders"))
 
 
 FLAG = BranchPoint("Flag", {"N": None, "A": None, "R": None})
@@ -498,7 +498,7 @@ def ready_gate(spark, d):
 
 @query("SELECT l_returnflag AS bp_Flag, l_linestatus AS bp_Status, count(*) AS n, max(l_partkey) AS top FROM lineitem GROUP BY ALL")
 def per_variant_udf(spark, d):
-    """Opaque code once per realization; rows are reduced to one per part first, which bounds a realization."""
+    """Opaque code on buckets of each realization's parts, and what it gives for them merged."""
     import pandas as pd
 
     def body(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -506,7 +506,9 @@ def per_variant_udf(spark, d):
 
     vf = _shipments(spark, d)
     small = vf.df.groupBy("bp_Flag", "bp_Status", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
-    return variants.per_variant(variants.VariantFrame(small, vf.points, vf.masks), body, "bp_Flag string, bp_Status string, n long, top long")
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = variants.per_variant(variants.VariantFrame(small, vf.points, vf.masks), body, "bp_Flag string, bp_Status string, n long, top long", ["l_partkey"], buckets)
+    return parts.groupBy("bp_Flag", "bp_Status").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
 
 
 @query("SELECT trial::VARCHAR AS bp_Trial, sum(CASE WHEN ('0x' || substr(md5(l_orderkey::VARCHAR || '/' || l_linenumber::VARCHAR || '/' || trial::VARCHAR), 1, 8))::BIGINT % 10 = 0 THEN 1 ELSE 0 END)::BIGINT AS n FROM lineitem, (SELECT i AS trial FROM range(1, 6) r(i)) GROUP BY 1")

@@ -190,7 +190,7 @@ def plan_predicates(spark, d):
     rows = sweep.sweep_conditional(t(spark, d, "lineitem"), points, plans.cross(points), lambda r: (F.col("l_quantity") >= r["MinQty"]) & (F.col("l_discount") >= r["MinDisc"]), {"n": F.lit(1).cast("long")})
     base = plans.baselines(plans.dimension(spark, points)).groupBy().agg(F.array_join(F.transform(F.reverse(F.sort_array(F.collect_list(F.struct("branch_point", "branch")))), lambda x: x["branch"]), "/").alias("base"))
     relax = {"MinDisc": ["d9"]}
-    return rows.join(F.broadcast(base)).select("bp_MinQty", "bp_MinDisc", plans.is_one_off(points).alias("one_off"), plans.is_one_off(points, relax).alias("relaxed_off"), plans.is_relaxed(F.col("bp_MinDisc"), ["d9"]).alias("relaxed"), "base", F.coalesce("n", F.lit(0)).alias("n"))
+    return rows.join(base).select("bp_MinQty", "bp_MinDisc", plans.is_one_off(points).alias("one_off"), plans.is_one_off(points, relax).alias("relaxed_off"), plans.is_relaxed(F.col("bp_MinDisc"), ["d9"]).alias("relaxed"), "base", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("SELECT DISTINCT o_orderpriority AS task, o_orderstatus AS realization FROM orders WHERE o_orderstatus IN ('F', 'O')")
