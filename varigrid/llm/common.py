@@ -13,12 +13,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch, where the session does not say otherwise: a task holds several on both sides, and texts can be long.
+_BATCH, _BATCH_BYTES, _USUAL = "spark.sql.execution.arrow.maxBytesPerBatch", "4m", "67108864b"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session. Arrow batches are bounded on the way.
 
     Where it is unset and the master is local (tests), a temporary folder is made and set for the session;
     on a cluster an unset folder is an error, since a machine-local one would be lost with its executor.
     """
+    if spark.conf.get(_BATCH, None) == _USUAL:
+        spark.conf.set(_BATCH, _BATCH_BYTES)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
