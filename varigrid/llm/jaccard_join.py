@@ -274,8 +274,7 @@ def _possible(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
 
     a, b = (profiles.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("profile").alias(f"profile_{x}")) for x in "ab")
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    sized = pairs.join(a.select("a", "n_a"), "a").join(b.select("b", "n_b"), "b").where(fits).select("a", "b")
-    return sized.join(a, "a").join(b, "b").mapInArrow(work, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").where(fits).mapInArrow(work, "a long, b long")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, profiles: DataFrame, k: int, percent: int) -> DataFrame:
