@@ -312,7 +312,7 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, split_: int = 2, sub:
     a component without any other doc_id gets null. An empty table gives no rows, other columns are ignored, and a very long text is one set like
     any other. Sets are told apart by 64-bit hashes. Links between documents of one
     component are not all looked at: a group that shares a signature is first compared with one of its sets, then, for
-    ``rounds`` rounds, with other sets drawn for each signature; of sets that are still in different components, those pairs are
+    ``rounds`` rounds, with other sets drawn for each signature; a pair's texts are only compared if the profiles of their sets allow a link; of sets that are still in different components, those pairs are
     compared at last that have an element in common in their prefixes (see ``_close_pairs``).
     """
     docs = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("fp"), "text")

@@ -116,7 +116,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = 64, se
     once, blocks, shift (the selection, from there), taken.
     Sources in code point order, null last, weigh ``weights``, repeating. A null or empty text has size 0 and is taken 0
     times; an empty table gives no rows; rows that repeat a doc_id are documents of their own and tied rows share a
-    place in the order. taken is at most ``most`` times size. The order depends on doc_id, text and seed alone.
+    place in the order. A very long text is cut by blocks like any other; other columns are ignored. taken is at most ``most`` times size. The order depends on doc_id, text and seed alone.
     """
     fp = F.xxhash64(F.coalesce("text", F.lit("")))
     sized = docs.select("doc_id", fp.alias("fp"), "source", n_words(F.col("text")).alias("size"))

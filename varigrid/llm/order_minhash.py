@@ -79,7 +79,8 @@ def likeness(x: np.ndarray, y: np.ndarray) -> float:
 def fingerprints(docs: DataFrame, m: int = 64, l: int = 2, k: int = 2) -> DataFrame:
     """Rows (doc_id, n_chars, fingerprint) for every row of ``docs`` (doc_id, text); null counts as the empty text.
 
-    The fingerprint is the sketch in hexadecimal, 8 digits an entry. Equal texts have equal fingerprints.
+    The fingerprint is the sketch in hexadecimal, 8 digits an entry. Equal texts have equal fingerprints. Very long texts are sketched whole; rows
+    that repeat have a row each; an empty table gives none; other columns are ignored.
     """
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,6 +126,8 @@ def edit_report(docs: DataFrame, m: int = 64, l: int = 2, k: int = 2) -> DataFra
     The edited text has its last floor(n_chars / 2) characters replaced by as many (or all there are) from the start of
     the next document in descending order of doc_id; the last document is followed by the first. Columns: doc_id, n_chars,
     edited_text, fingerprint, edited_fingerprint, near_edited, near_next. Null and empty texts count as ''.
+    Very long texts are edited and sketched whole. Rows that repeat a doc_id follow each other by text; a table of one row is its own next; an empty
+    one gives no rows; other columns are ignored.
     """
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

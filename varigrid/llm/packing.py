@@ -122,7 +122,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, with_ids: bool = Fals
 
     Returns one row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (gapless from 0 in each
     sequence) and ids (little-endian unsigned 32-bit; null unless ``with_ids``). A null or empty text is the end id
-    alone. Rows that repeat a doc_id are packed as documents of their own; equal lengths are told apart by rank, so
+    alone; a very long one is cut into pieces of ``capacity``. Rows that repeat a doc_id are packed as documents of their own; equal lengths are told apart by rank, so
     ties only swap places. An empty table gives no rows; other columns are ignored. Only the histogram of lengths, at
     most ``capacity`` rows, reaches the driver.
     """

@@ -79,7 +79,7 @@ def judge(docs: DataFrame, least: int = 5, share: float = 0.01, left: float = 0.
 
     Returns doc_id, fp (hash of the text), the five counts, base_failed (fewer than 50 words, or more than half of them in
     repeated 3-word windows), frequent (hashes of its lines above the limit), n_frequent_words, depleted and kept. A null or empty text has
-    no words and fails the base. Null sources are one host. Rows that repeat a doc_id are judged each; other columns
+    no words and fails the base. Null sources are one host. Rows that repeat a doc_id are judged each; very long texts are counted whole; other columns
     are ignored; an empty table gives no rows.
     """
     base = store(text_counts(docs), "counts")

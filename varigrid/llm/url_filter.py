@@ -96,8 +96,8 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], bits_per_key:
 
     A rule that fits decides; else a url whose canonical spelling is in ``listed`` (canonical) is blocked and all others are allowed.
     Returns page_id, host, path, canonical, rule, possible (the filter passed it on), listed, verdict. A null url, or one without ``://``, has empty
-    host and path, no canonical spelling, and is allowed. Rows that repeat are judged each; null and repeated entries of the list are
-    ignored; an empty list blocks nothing. The filter has 256 bits for every 256 / bits_per_key listed urls up to ``MOST_BLOCKS`` blocks; a
+    host and path, no canonical spelling, and is allowed. Rows that repeat are judged each; very long urls are judged whole; without pages
+    there are no rows; other columns are ignored. Null and repeated entries of the list are ignored; an empty list blocks nothing. The filter has 256 bits for every 256 / bits_per_key listed urls up to ``MOST_BLOCKS`` blocks; a
     longer list only raises the share of rows that the exact join must look at.
     """
     listed = store(listed.select("canonical").where("canonical IS NOT NULL").distinct(), "listed")

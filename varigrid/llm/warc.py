@@ -76,7 +76,8 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes: int = 2
 
     A null html is an empty payload, a null url leaves out its header. Of records with equal payloads of ``least_bytes`` or more, those with
     the smallest page_id are responses, the others revisits of it without payload; a null page_id is never the smallest, and records that all lack one are responses. Rows
-    that repeat each get a record. Columns of the index: file, offset, length, page_id, url, digest, record_type.
+    that repeat each get a record. A very long html is one record, in a file that may then be larger than ``file_bytes``. Without pages the index is
+    empty; other columns are ignored. Columns of the index: file, offset, length, page_id, url, digest, record_type.
     """
     role = roles(pages, least_bytes).select(F.coalesce("page_id", F.lit(-1)).alias("id_"), F.col("page_id").isNull().alias("none_"), F.col("html_sha").alias("sha_"), "refers_to")
     html = F.coalesce(F.col("html"), F.lit(""))
