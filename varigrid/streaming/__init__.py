@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -25,49 +26,81 @@ def live_status(events: DataFrame) -> DataFrame:
     return events.where(state.isNotNull()).groupBy("task", "realization").agg(F.max_by(state, F.struct("ts", "event_id")).alias("status"))
 
 
+#: Keys of a stateful stream are dealt to so many buckets; a checkpoint holds for one number of them.
+BUCKETS = 1024
+
+
+def _packed(df: pd.DataFrame, schema: pa.Schema) -> tuple[bytes]:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as w:
+        w.write_table(pa.Table.from_pandas(df, schema, preserve_index=False))
+    return (out.getvalue().to_pybytes(),)
+
+
+def _unpacked(state) -> pd.DataFrame | None:
+    return pa.ipc.open_stream(state.get()[0]).read_pandas() if state.exists() else None
+
+
 class _Latest(StatefulProcessor):
+    """The last status of each result of a bucket, as one table: a call for each result, and a trip to the store for each value, took milliseconds a result."""
+
+    schema = pa.schema([("task", pa.string()), ("realization", pa.string()), ("at", pa.int64()), ("event_id", pa.int64()), ("status", pa.string())])
+
     def __init__(self, keep_ms: int) -> None:
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at long, event_id long, status string")
+        self.last = handle.getValueState("last", "rows binary")
+
+    def _keep(self, rows: pd.DataFrame, watermark: int) -> None:
+        """Rows whose time has not passed, and a timer at the first that will pass."""
+        until = rows["at"] // 1000 + self.keep_ms
+        rows, until = rows[until > watermark], until[until > watermark]
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if len(rows):
+            self.handle.registerTimer(int(until.min()))
+            self.last.update(_packed(rows, self.schema))
+        else:
+            self.last.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:  # noqa: N802
-        best = self.last.get() if self.last.exists() else None
-        before = best
-        for r in rows:
-            r = r.sort_values(["at", "event_id"]).iloc[-1]
-            own = (int(r["at"]), int(r["event_id"]), r["status"])
-            best = own if best is None or own[:2] > tuple(best)[:2] else best
-        if best is not before:
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(best[0] // 1000 + self.keep_ms)
-            self.last.update(tuple(best))
-            yield pd.DataFrame({"task": [key[0]], "realization": [key[1]], "at": [best[0]], "event_id": [best[1]], "status": [best[2]]})
+        new = pd.concat([r[self.schema.names] for r in rows], ignore_index=True).assign(new=True)
+        before = _unpacked(self.last)
+        # The rows before come last, so that of equal ones those stay.
+        both = new if before is None else pd.concat([new, before.assign(new=False)], ignore_index=True)
+        best = both.sort_values(["at", "event_id"], kind="stable").drop_duplicates(["task", "realization"], keep="last")
+        changed = best[best["new"]]
+        if len(changed):
+            self._keep(best[self.schema.names], timer.getCurrentWatermarkInMs())
+            yield changed[self.schema.names]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        self.last.clear()
+        before = _unpacked(self.last)
+        if before is not None:
+            self._keep(before, timerValues.getCurrentWatermarkInMs())
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def live_status_changes(events: DataFrame, late: str, keep_seconds: int) -> DataFrame:
+def live_status_changes(events: DataFrame, late: str, keep_seconds: int, buckets: int = BUCKETS) -> DataFrame:
     """A stream of changes of results' last statuses: task, realization, at (microseconds), event_id, status; for a result the last in (at, event_id) holds.
 
     Events that come more than ``late`` (an interval of time) after later ones are not taken in. An event that is late within it changes nothing if its result has had a
     later one. A result's state goes when ``keep_seconds`` of event time have passed since its last event, so that results without end
     do not fill the store. Longer than ``late`` it has to be kept, or a late event could set an older status; shorter times are an error.
+    A batch reads and writes the state of the ``buckets`` that it has events of; a checkpoint holds for one number of them.
     """
     if keep_seconds < events.sparkSession.sql(f"SELECT unix_seconds(timestamp_seconds(0) + INTERVAL {late}) AS s").first().s:
         raise ValueError("state must be kept for as long as events may be late")
     state = F.create_map(*(F.lit(x) for kv in STATES.items() for x in kv))[F.col("event")]
     rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).where(state.isNotNull()).select("task", "realization", "ts", F.unix_micros("ts").alias("at"), "event_id", state.alias("status"))
     schema = "task string, realization string, at long, event_id long, status string"
-    return rows.groupBy("task", "realization").transformWithStateInPandas(_Latest(keep_seconds * 1000), schema, "Update", "EventTime")
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("task", "realization"), F.lit(buckets)))
+    return dealt.groupBy("bucket").transformWithStateInPandas(_Latest(keep_seconds * 1000), schema, "Update", "EventTime")
 
 
 def display_status(flags: Column) -> Column:
