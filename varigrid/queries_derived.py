@@ -238,17 +238,18 @@ def ready_stream(spark, d):
     done = F.min((F.col("l_linestatus") == "F").cast("int")) == 1
     lines = t(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.when(failed, "failed").when(done, "completed").otherwise("running").alias("status"), F.max("l_shipdate").alias("ts"))
     events = sources.stored(lines.select("ts", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("event_id"), line.alias("parent"), "status", "l_linenumber"))
-    edges = t(spark, d, "lineitem").select(line.alias("parent"), F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("child"))
+    edges = sources.stored(streaming.with_need(t(spark, d, "lineitem").select(line.alias("parent"), F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("child"))))
     rows = events.drop("l_linenumber")
 
     def send(some: DataFrame) -> None:
-        some.select(rows.columns).coalesce(1).write.mode("append").parquet(f"{path}/events")
-        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/events")
+        some.select(rows.columns).write.mode("append").parquet(f"{path}/events")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{path}/events")
         out = streaming.ready(stream, edges).writeStream.format("parquet").option("path", f"{path}/sent").option("checkpointLocation", f"{path}/checkpoint")
         out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
     third = F.pmod(F.hash("event_id"), F.lit(3))
     _in_rocks(spark, lambda: [send(events.where(third == i)) for i in range(3)])
+    sources.discard(events, edges)
     return spark.read.schema("child string, n_parents long").parquet(f"{path}/sent")
 
 

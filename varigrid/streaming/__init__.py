@@ -116,39 +116,57 @@ def ready_batch(done: DataFrame, edges: DataFrame, block_on_failure: bool = True
 
 
 class _Gate(StatefulProcessor):
+    """The parents' last statuses of each child of a bucket that is not sent yet, and the sent children (without parent and status), as one table."""
+
+    schema = pa.schema([("child", pa.string()), ("parent", pa.string()), ("status", pa.string())])
+
     def __init__(self, block: bool) -> None:
         self.block = block
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.parents = handle.getMapState("parents", "parent string", "status string")
-        self.sent = handle.getValueState("sent", "sent boolean")
+        self.state = handle.getValueState("parents", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:  # noqa: N802
-        need = 0
-        for r in rows:
-            r = r.sort_values(["ts", "event_id"])
-            need = int(r["n_parents"].iloc[0])
-            for parent, status in zip(r["parent"], r["status"], strict=True):
-                self.parents.updateValue((parent,), (status,))
-        states = [v[0] for _, v in self.parents.iterator()]
-        done = sum(s == "completed" or (s == "failed" and not self.block) for s in states)
-        if not self.sent.exists() and done == need:
-            self.sent.update((True,))
-            yield pd.DataFrame({"child": [key[0]], "n_parents": [need]})
+        new = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
+        before = _unpacked(self.state)
+        both = new[self.schema.names]
+        if before is not None:
+            sent = before["parent"].isna()
+            new = new[~new["child"].isin(before["child"][sent])]
+            if new.empty:
+                return
+            both = pd.concat([before, new[self.schema.names]], ignore_index=True)
+        both = both.drop_duplicates(["child", "parent"], keep="last")
+        done = both["status"].isin(["completed"] if self.block else ["completed", "failed"])
+        n_done = done.groupby(both["child"]).sum()
+        need = new.drop_duplicates("child", keep="last").set_index("child")["n_parents"]
+        ready = need[n_done.reindex(need.index) == need]
+        open_ = both[~both["child"].isin(ready.index)]
+        sent_now = pd.DataFrame({"child": ready.index, "parent": None, "status": None})
+        self.state.update(_packed(pd.concat([open_, sent_now], ignore_index=True), self.schema))
+        if len(ready):
+            yield ready.rename_axis("child").reset_index()[["child", "n_parents"]]
 
     def close(self) -> None:
         pass
 
 
-def ready(events: DataFrame, edges: DataFrame, block_on_failure: bool = True) -> DataFrame:
+def with_need(edges: DataFrame) -> DataFrame:
+    """The distinct edges with ``n_parents``, the number of parents of their child."""
+    e = edges.select("parent", "child").distinct()
+    return e.join(e.groupBy("child").agg(F.count(F.lit(1)).alias("n_parents")), "child")
+
+
+def ready(events: DataFrame, edges: DataFrame, block_on_failure: bool = True, buckets: int = BUCKETS) -> DataFrame:
     """Stream of children, each sent once, when its last parent completes. events: ts, event_id, parent, status; edges is static.
 
-    A failed parent holds its children back; a later success lets them go.
+    A failed parent holds its children back; a later success lets them go. edges from ``with_need``, stored, are not counted again in each batch.
+    A batch reads and writes the state of the ``buckets`` that it has events of; a checkpoint holds for one number of them.
     """
-    e = edges.select("parent", "child").distinct()
-    need = e.groupBy("child").agg(F.count(F.lit(1)).alias("n_parents"))
-    rows = events.join(e.join(need, "child"), "parent").select("child", "parent", "status", "n_parents", "ts", "event_id")
-    return rows.groupBy("child").transformWithStateInPandas(_Gate(block_on_failure), "child string, n_parents long", "Append", "None")
+    need = edges if "n_parents" in edges.columns else with_need(edges)
+    rows = events.join(need, "parent").select("child", "parent", "status", "n_parents", "ts", "event_id")
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("child"), F.lit(buckets)))
+    return dealt.groupBy("bucket").transformWithStateInPandas(_Gate(block_on_failure), "child string, n_parents long", "Append", "None")
 
 
 @dataclass(frozen=True)
