@@ -282,12 +282,20 @@ def _colours(edges: DataFrame) -> DataFrame:
 
 
 def collapse(edges: DataFrame, virtual: DataFrame) -> DataFrame:
-    """Edges between real nodes, paths through virtual nodes (node) taken as one edge."""
-    v = virtual.select("node").distinct()
-    real = lambda c, how: edges.join(v, F.col(c) == v.node, how)
-    start = real("parent", "left_anti").select("parent", F.col("child").alias("node"))
-    ends = reach(_straight(real("parent", "left_semi")), start, ["parent"])
-    return ends.join(v, "node", "left_anti").select("parent", F.col("node").alias("child"))
+    """Edges between real nodes, paths through virtual nodes (node) taken as one edge.
+
+    Edges are told apart once; only those between virtual nodes are gone through in rounds, and real ends are met once.
+    """
+    v = virtual.select("node").distinct().withColumn("yes", F.lit(True))
+    mark = lambda e, c: e.join(v.select(F.col("node").alias(c), F.col("yes").alias(f"{c}_")), c, "left").withColumn(f"{c}_", F.coalesce(f"{c}_", F.lit(False)))
+    kinds = stored(mark(mark(edges.select("parent", "child"), "parent"), "child"))
+    some = lambda parent, child: kinds.where(f"{'' if parent else 'NOT '}parent_ AND {'' if child else 'NOT '}child_").select("parent", "child")
+    start, between = some(False, True).select("parent", F.col("child").alias("node")), some(True, True)
+    through = start if between.isEmpty() else reach(_straight(between), start, ["parent"])
+    last = through.join(some(True, False).select(F.col("parent").alias("node"), "child"), "node").select("parent", "child")
+    out = stored(some(False, False).union(last).distinct())
+    discard(kinds)
+    return out
 
 
 def edge_list(edges: DataFrame, level: str = "realization") -> DataFrame:

@@ -298,7 +298,7 @@ def collapse_virtual(spark, d):
     order = lambda c: F.concat(F.lit("order:"), F.col(c).cast("string"))
     up = o.select(F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("parent"), order("o_orderkey").alias("child"))
     down = l.select(order("l_orderkey").alias("parent"), F.concat(F.lit("line:"), F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))).alias("child"))
-    edges = up.union(down).distinct()
+    edges = up.union(down)
     out = lineage.collapse(edges, o.select(order("o_orderkey").alias("node")).union(l.select(order("l_orderkey"))))
     return out
 
