@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from varigrid.functions import exit_ok
+from varigrid.operators import summary
 
 KEY = ["task", "realization"]
 
@@ -146,5 +146,8 @@ def changed_on_disk(spark: SparkSession, snapshot: DataFrame, *patterns: str, di
 def version_rows(manifest: DataFrame) -> DataFrame:
     """Entries of each version and kind as rows in order: version, kind, place (from 1), entry."""
     entry = F.concat_ws("/", "name", "realization", F.col("task_version").cast("string"))
-    place = F.row_number().over(Window.partitionBy("version", "kind").orderBy("entry"))
-    return manifest.select("version", "kind", entry.alias("entry")).withColumn("place", place).select("version", "kind", "place", "entry")
+    # A version has few kinds, so places come from ranks over ranges of all rows, less the ranks before their kind's first.
+    rows = summary.ranked(manifest.select("version", "kind", entry.alias("entry")), [("version", "text", False), ("kind", "text", False), ("entry", "text", False)])
+    first = rows.groupBy("version", "kind").agg(F.min("rank").alias("first_")).select(F.col("version").alias("v_"), F.col("kind").alias("k_"), "first_")
+    placed = rows.join(first, F.col("version").eqNullSafe(F.col("v_")) & F.col("kind").eqNullSafe(F.col("k_")))
+    return placed.select("version", "kind", (F.col("rank") - F.col("first_") + 1).cast("int").alias("place"), "entry")
