@@ -13,6 +13,8 @@ from varigrid.sources import discard, stored
 
 #: Rounds by single edges before nonbranching paths are contracted.
 PLAIN_ROUNDS = 6
+#: From so many found rows on, a round's few candidates are met with their own rows among them alone.
+MANY = 1_000_000
 
 
 def parents(edges: DataFrame, keys: DataFrame) -> DataFrame:
@@ -83,7 +85,7 @@ def reach(edges: DataFrame, start: DataFrame, keys: Sequence[str] = ()) -> DataF
     """
     columns = [*keys, "node"]
     frontier = stored(start.select(*columns).distinct())
-    found, entered, rest = [frontier], [], []
+    found, entered, rest, n_found = [frontier], [], [], 0
     inner = short = None
     for n in itertools.count(1):
         if frontier.isEmpty():
@@ -103,7 +105,15 @@ def reach(edges: DataFrame, start: DataFrame, keys: Sequence[str] = ()) -> DataF
             taken = stored(frontier.join(short, F.col("node") == F.col("src")).select(*keys, "dst", "path").distinct())
             entered.append(taken)
             step = taken.select(*keys, F.col("dst").alias("node"))
-        frontier = stored(step.distinct().join(reduce(DataFrame.union, found), columns, "left_anti").select(*columns))
+        seen, new = reduce(DataFrame.union, found), step.distinct()
+        n_found += frontier.count()
+        if n_found > MANY:
+            candidates = stored(new)
+            few = candidates.count() * 20 < n_found
+            frontier = stored(candidates.join(seen.join(candidates, columns, "left_semi") if few else seen, columns, "left_anti").select(*columns))
+            discard(candidates)
+        else:
+            frontier = stored(new.join(seen, columns, "left_anti").select(*columns))
         found.append(frontier)
     out = reduce(DataFrame.union, found)
     if entered:
