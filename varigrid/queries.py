@@ -252,7 +252,7 @@ def _edge_sql() -> str:
 
 
 def entity_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Edges region, nation, customer or supplier, order, line of the tables' keys."""
+    """Edges region, nation, customer or supplier, order, line of the tables' keys, as often as the tables have them; closures and levels take each once."""
     def edge(name: str, a: str, ac: str, b: str, *bc: str) -> DataFrame:
         ident = lambda kind, *cols: F.concat(F.lit(f"{kind}:"), F.concat_ws("/", *(F.col(c).cast("string") for c in cols)))
         return t(spark, d, name).select(ident(a, ac).alias("parent"), ident(b, *bc).alias("child"))
@@ -261,7 +261,7 @@ def entity_edges(spark: SparkSession, d: str) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return sources.stored(out.distinct())
+    return sources.stored(out)
 
 
 @query(f"WITH RECURSIVE e AS {_EDGES}, r AS (SELECT DISTINCT 'line:' || l_orderkey || '/' || l_linenumber AS node FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-06-01' UNION SELECT parent FROM r JOIN e ON child = node) SELECT node FROM r")
