@@ -160,10 +160,13 @@ def _peeled(edges: DataFrame) -> list[DataFrame]:
     return _peel(each, None) or []
 
 
-def _peel(edges: DataFrame, rounds: int | None) -> list[DataFrame] | None:
-    """Frames (node, level) of edges (src, dst, length), one for each round; a level is one more than the longest way from a root. None if ``rounds`` do not suffice."""
+def _peel(edges: DataFrame, rounds: int | None, nodes: DataFrame | None = None) -> list[DataFrame] | None:
+    """Frames (node, level) of edges (src, dst, length), one for each round; a level is one more than the longest way from a root. None if ``rounds`` do not suffice.
+
+    ``nodes`` (node), if given, are all nodes, so that those without edges are roots as well.
+    """
     need = stored(edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("need")))
-    top = edges.select(F.col("src").alias("node")).distinct().join(need, "node", "left_anti")
+    top = (edges.select(F.col("src").alias("node")).distinct() if nodes is None else nodes).join(need, "node", "left_anti")
     frontier = stored(top.withColumn("level", F.lit(1).cast("long")))
     taken, written, waiting = [frontier], [need, frontier], None
     for n in itertools.count():
@@ -187,23 +190,34 @@ def _peel(edges: DataFrame, rounds: int | None) -> list[DataFrame] | None:
 def levels(edges: DataFrame) -> DataFrame:
     """node, level: 1 for roots, else one more than the highest parent. A cycle is an error.
 
-    A graph deeper than ``PLAIN_ROUNDS`` has its nonbranching paths contracted first, so that they are one round each.
+    Only edges between nodes that have children are gone through in rounds; all leaves, mostly far more, follow in one step from their parents.
+    A graph deeper than ``PLAIN_ROUNDS``, or most of whose nodes are on nonbranching paths, has these contracted first, so that they are one round each.
     """
-    nodes = edges.select(F.col("parent").alias("node")).union(edges.select(F.col("child").alias("node"))).distinct()
-    each = _straight(edges).distinct()
-    if each.where("src = dst").isEmpty():
-        taken = _peel(each.withColumn("length", F.lit(1).cast("long")), PLAIN_ROUNDS)
-        if taken is not None:
-            out = reduce(DataFrame.union, taken)
-        else:
-            inner, short = contract(each)
-            ends = stored(reduce(DataFrame.union, _peel(short, None)))
-            on_paths = inner.join(ends.withColumnRenamed("node", "src"), "src").select("node", (F.col("level") + F.col("place")).alias("level"))
-            out = ends.union(on_paths)
-        out = stored(out.select("node", F.col("level").cast("int").alias("level")))
-        if out.count() == nodes.count():
-            return out
-    raise ValueError("the edges have a cycle")
+    each = _straight(edges)
+    nodes = stored(each.select(F.col("src").alias("node")).distinct())
+    with_children = nodes.select(F.col("node").alias("dst"), F.lit(True).alias("inner"))
+    tagged = stored(each.join(with_children, "dst", "left"))
+    inner = tagged.where("inner").select("src", "dst").distinct()
+    if not inner.where("src = dst").isEmpty():
+        raise ValueError("the edges have a cycle")
+    inner = stored(inner)
+    degree = inner.select(F.col("src").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionAll(inner.select("dst", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("out").alias("out"), F.sum("in").alias("in"))
+    n = degree.agg(F.count(F.lit(1)).alias("all"), F.count_if((F.col("out") == 1) & (F.col("in") == 1)).alias("middle")).first()
+    taken = None if 2 * n.middle > n.all else _peel(inner.withColumn("length", F.lit(1).cast("long")), PLAIN_ROUNDS, nodes)
+    if taken is not None:
+        known = reduce(DataFrame.union, taken)
+    else:
+        inside, short = contract(inner)
+        on_paths = inside.select("node")
+        ends = stored(reduce(DataFrame.union, _peel(short, None, nodes.join(on_paths, "node", "left_anti"))))
+        known = ends.union(inside.join(ends.withColumnRenamed("node", "src"), "src").select("node", (F.col("level") + F.col("place")).alias("level")))
+    known = stored(known)
+    if known.count() != nodes.count():
+        raise ValueError("the edges have a cycle")
+    leaves = tagged.where("inner IS NULL").select("src", F.col("dst").alias("node")).join(known.withColumnRenamed("node", "src"), "src").groupBy("node").agg((F.max("level") + 1).alias("level"))
+    out = stored(known.unionByName(leaves).select("node", F.col("level").cast("int").alias("level")))
+    discard(nodes, tagged, inner, known)
+    return out
 
 
 def order_nodes(level: DataFrame, mode: str = "breadth") -> DataFrame:
