@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows that a task groups by key at most, about.
+ROWS = 2_000_000
+
 
 def check_branch_sets(defs: DataFrame) -> DataFrame:
     """Branch points whose definitions (branch_point, definition, branch, ord) differ in branches or baseline."""
@@ -24,8 +27,13 @@ def check_keys(fact: DataFrame, dim: DataFrame, key: str, mode: str = "warn") ->
     """Fact keys without a dimension row (undeclared) and dimension keys without facts (unused), tagged with the severity."""
     if mode not in ("ignore", "warn", "error"):
         raise ValueError("mode is ignore, warn or error")
-    f, d = fact.select(key).distinct(), dim.select(key).distinct()
-    both = f.join(d, key, "left_anti").withColumn("problem", F.lit("undeclared")).unionByName(d.join(f, key, "left_anti").withColumn("problem", F.lit("unused")))
+    rows = fact.select(key, F.lit(True).alias("f_"), F.lit(False).alias("d_")).unionAll(dim.select(key, F.lit(False), F.lit(True)))
+    # Keys are so small in a shuffle that Spark would put many millions of them into one task.
+    n = max(int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // ROWS + 1)
+    each = rows.repartition(n, key).groupBy(key).agg(F.bool_or("f_").alias("f_"), F.bool_or("d_").alias("d_"))
+    alone = F.col(key).isNull()  # null equals nothing
+    problems = F.filter(F.array(F.when(F.col("f_") & (~F.col("d_") | alone), "undeclared"), F.when(F.col("d_") & (~F.col("f_") | alone), "unused")), lambda x: x.isNotNull())
+    both = each.select(key, F.explode(problems).alias("problem"))
     return both.withColumn("severity", F.lit(mode)).where(F.lit(mode != "ignore"))
 
 
