@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.cases import documents, empty
@@ -165,3 +166,41 @@ def test_a_crowd_below_the_threshold_compares_few_texts(spark, monkeypatch):
         groups.setdefault(r.text, r.doc_id)
     assert {r.doc_id: r.component_id for r in rows} == {r.doc_id: groups[r.text] for r in docs.collect()}
     assert sum(compared) <= 3 * 600
+
+
+def test_signatures_are_sent_in_turns_and_leave_one_row_for_a_pair(spark, monkeypatch):
+    r = random.Random(9)
+    base = [[f"w{r.randrange(10**6)}" for _ in range(300)] for _ in range(10)]
+    rows = [(i, " ".join([*base[i % 10][:150], f"n{i}", *base[i % 10][150:]])) for i in range(60)]
+    sent, kept, plans, blocks, own = [], [], [], jaccard_join._signature_blocks, jaccard_join.store
+
+    def counted(*args, **more):
+        out = blocks(*args, **more)
+        sent.append(sum(len(x.pairs) for x in out.collect()))
+        return out
+
+    def stored(df, name):
+        out = own(df, name)
+        if name == "shared":
+            kept.append(out.count())
+        if name == "texts":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_signature_blocks", counted)
+    monkeypatch.setattr(jaccard_join, "store", stored)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, split_=1, sub=1).collect()
+    assert {x.doc_id: x.component_id for x in got} == {i: i % 10 for i, _ in rows}
+    all_ = 16 * sum(len(signatures(s, 80, 1, 1)) for s in jaccard_join.shingle_sets(pa.array([x for _, x in rows]), 5))
+    assert sum(sent) == all_ and max(sent) < 0.6 * all_
+    assert sum(kept) <= len(kept) * 10 * 15  # pairs in ten groups of six, not signatures
+    assert len(plans) == 1 and "hashpartitioning(node" not in plans[0]  # texts are shuffled once, by their hash
+
+
+def test_texts_of_open_sets_are_not_sent_to_their_components(spark, monkeypatch):
+    names, own = [], jaccard_join.store
+    monkeypatch.setattr(jaccard_join, "store", lambda df, name: names.append((name, "text" in df.columns)) or own(df, name))
+    docs = crowd(spark, 120)
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in near_duplicates(docs, 3, 90).collect())
+    assert got == brute(docs.collect(), 3, 90)
+    assert ("open", False) in names and [n for n, text in names if text] == ["texts"]

@@ -6,16 +6,17 @@ feature domain is cut by hash into partitions, each of them into ``SUB`` parts.
 elements, then some partition holds at most ``SPLIT - 1`` differences, and there a subset of its parts agrees
 wholly; the hash of each such subset is a signature. So linked sets of a band share a signature, and no link is lost.
 
-Sets that share a signature are compared with one lead of it, so most links show without a look at every pair of a group. Where sets of
-one signature are then still in different components, the rest of their pairs is cut down by prefixes: elements are put in one order,
-the frequent last, and two linked sets have an element in common among the first of each.
+Sets that share a signature are compared with one lead of it, so most links show without a look at every pair of a group. After that the
+signature is not needed any more: copies share hundreds, but have one lead in common or few. Where sets of one lead are then still in
+different components, the rest of their pairs is cut down by prefixes: elements are put in one order, the frequent last, and two linked
+sets have an element in common among the first of each.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -32,6 +33,8 @@ from varigrid.llm.url_filter import divide
 CELLS = 1 << 20
 #: Pairs of a signature and a set that a part is to hold, and the signatures of a set that parts are counted by.
 PART_PAIRS, USUAL_SIGNATURES = 1 << 22, 300
+#: Signatures are dealt out in so many turns, each a share of all, as those of one turn lie on disk together.
+TURNS = 2
 
 
 def shingle_sets(texts: pa.Array, k: int, lower: bool = True) -> list[np.ndarray]:
@@ -143,10 +146,10 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(work, "doc_id long, fp long, n_shingles long, node long")
 
 
-def _signature_blocks(docs: DataFrame, k: int, percent: int, split_: int, sub: int, parts: int, held: int = 1 << 20, remembered: int = 1 << 18) -> DataFrame:
+def _signature_blocks(docs: DataFrame, k: int, percent: int, split_: int, sub: int, parts: int, held: int = 1 << 20, remembered: int = 1 << 18, turn: int = 0, turns: int = 1) -> DataFrame:
     """Rows (part, pairs): signatures and their nodes as two arrays of 64-bit numbers, dealt to ``parts`` ranges of signatures.
 
-    A task skips sets that it has just had, so large groups of copies send one set per task.
+    Of ``turns`` calls, each has the signatures of one remainder; together they have all. A task skips sets that it has just had, so large groups of copies send one set per task.
     """
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,6 +175,8 @@ def _signature_blocks(docs: DataFrame, k: int, percent: int, split_: int, sub: i
                     seen.add(h)
                     new.append((s, h))
             sig, owner = signatures_of([s for s, _ in new], percent, split_, sub)
+            due = sig % np.uint64(turns) == turn
+            sig, owner = sig[due], owner[due]
             sigs.append(sig)
             nodes.append(np.array([h for _, h in new], np.int64)[owner])
             if sum(map(len, sigs)) >= held:
@@ -231,8 +236,8 @@ def _sharing(blocks: DataFrame, held: int = 1 << 20) -> DataFrame:
 
 
 def _cells(n: int) -> int:
-    """Cells of the profile of a set of n elements, a power of two about as large as the set."""
-    return 1 << min(max(int(n - 1).bit_length() if n > 1 else 0, 6), 13)
+    """Cells of the profile of a set of n elements, a power of two about a quarter as large as the set."""
+    return 1 << min(max(int(n - 1).bit_length() - 2 if n > 1 else 0, 6), 13)
 
 
 def profile(s: np.ndarray) -> bytes | None:
@@ -311,19 +316,23 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, split_: int = 2, sub:
     doc_id. Rows that repeat a doc_id count as documents of their own; a null doc_id is never the smallest, so only
     a component without any other doc_id gets null. An empty table gives no rows, other columns are ignored, and a very long text is one set like
     any other. Sets are told apart by 64-bit hashes. Links between documents of one
-    component are not all looked at: a group that shares a signature is first compared with one of its sets, then, for
-    ``rounds`` rounds, with other sets drawn for each signature; a pair's texts are only compared if the profiles of their sets allow a link; of sets that are still in different components, those pairs are
+    component are not all looked at: a group that shares a signature is first compared with one of its sets, its lead, then, for
+    ``rounds`` rounds, with other sets drawn for each lead; a pair's texts are only compared if the profiles of their sets allow a link; of sets that are still in different components, those pairs are
     compared at last that have an element in common in their prefixes (see ``_close_pairs``).
     """
     docs = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("fp"), "text")
     sets = store(_sets(docs, k), "sets")
     # Parts grow in number with the sets, so what a task holds of one does not; each part is one task's.
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sets.count() * USUAL_SIGNATURES // PART_PAIRS))
-    shared = store(_sharing(_signature_blocks(docs.select("text"), k, percent, split_, sub, parts).repartitionById(parts, F.col("part"))), "shared")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sets.count() * USUAL_SIGNATURES // (PART_PAIRS * TURNS)))
+    blocks = (_signature_blocks(docs.select("text"), k, percent, split_, sub, parts, turn=i, turns=TURNS) for i in range(TURNS))
+    stored = [store(_sharing(x.repartitionById(parts, F.col("part"))).select("lead", "node").distinct(), "shared") for x in blocks]
+    shared = reduce(DataFrame.unionByName, stored)
     pairs = shared.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
     nodes = shared.select("node").union(shared.select("lead")).distinct()
     one = store(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("fp").alias("fp")), "nodes")
-    texts = store(divide(docs.select("fp", "text"), "fp", one)[0].join(one, "fp").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    # A text's set has one node, so grouping and join need one shuffle of texts, by their hash.
+    near = divide(docs.select("fp", "text"), "fp", one)[0].groupBy("fp").agg(F.first("text").alias("text"))
+    texts = store(near.join(one, "fp").select("node", "text"), "texts")
     profiles = store(_profiles(texts, k), "profiles")
     links = _linked(pairs, texts, profiles, k, percent)
     found = store(components(links), "components")
@@ -334,25 +343,27 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, split_: int = 2, sub:
         links = _linked(more, texts, profiles, k, percent)
         old, found = found, found if links.isEmpty() else store(merged(found, links), "components")
         discard(more, links, *([old] if old is not found else ()))
-    discard(shared, one, texts, profiles)
+    discard(*stored, one, texts, profiles)
     rows = sets.join(found, "node", "left").withColumn("root", F.coalesce("root", F.when(F.col("n_shingles") > 0, F.col("node"))))
     least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "root", "left").select("doc_id", "fp", "n_shingles", F.col("node").alias("set_id"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def _members(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows (sig, node, root): every node of every signature with the component that it is in so far."""
-    members = shared.select("sig", "node").unionByName(shared.select("sig", F.col("lead").alias("node")).distinct())
+    """Rows (lead, node, root): the sets that share a signature with each lead, with the component that they are in so far.
+
+    A lead is no member of its own group, since it has been compared with all others of it.
+    """
     root = found.select(F.col("node").alias("n_"), F.col("root").alias("r_"))
-    return members.join(root, F.col("node") == F.col("n_"), "left").select("sig", "node", F.coalesce("r_", "node").alias("root"))
+    return shared.join(root, F.col("node") == F.col("n_"), "left").select("lead", "node", F.coalesce("r_", "node").alias("root"))
 
 
 def _next_pairs(shared: DataFrame, found: DataFrame, turn: int) -> DataFrame | None:
-    """For each signature whose sets are in several components, pairs of one drawn set with those of other components; None without any."""
+    """For each lead whose sets are in several components, pairs of one drawn set with those of other components; None without any."""
     rows = store(_members(shared, found), "members")
-    drawn = F.min_by(F.struct("node", "root"), F.xxhash64(F.lit(turn), "sig", "node"))
-    groups = rows.groupBy("sig").agg(drawn.alias("d"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig", "d")
-    pairs = rows.join(groups, "sig").where(F.col("root") != F.col("d.root")).select(F.least("node", "d.node").alias("a"), F.greatest("node", "d.node").alias("b"))
+    drawn = F.min_by(F.struct("node", "root"), F.xxhash64(F.lit(turn), "lead", "node"))
+    groups = rows.groupBy("lead").agg(drawn.alias("d"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("lead", "d")
+    pairs = rows.join(groups, "lead").where(F.col("root") != F.col("d.root")).select(F.least("node", "d.node").alias("a"), F.greatest("node", "d.node").alias("b"))
     pairs = store(pairs.distinct(), "pairs")
     discard(rows)
     return None if pairs.isEmpty() else pairs
@@ -380,41 +391,36 @@ def _levels(texts: DataFrame, k: int) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """Rows (element, node, root, at, size): the first elements of each set, which it cannot lack in common with a set that it is linked with."""
+    """Rows (node, size, elements): the first elements of each set, which it cannot lack in common with a set that it is linked with."""
     table = texts.sparkSession.sparkContext.broadcast(levels)
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
             sets = shingle_sets(b.column("text"), k)
-            first = [s[np.lexsort((s, table.value[(s % np.uint64(CELLS)).astype(np.int64)]))[: len(s) + 1 + (-percent * len(s)) // 100]] for s in sets]
-            many = np.array([len(x) for x in first])
-            row = np.repeat(np.arange(len(sets)), many)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-            size = np.array([len(s) for s in sets])[row]
-            element = np.concatenate(first).view(np.int64) if first else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(element), b.column("node").take(pa.array(row)), b.column("root").take(pa.array(row)), pa.array(at, pa.int32()), pa.array(size, pa.int32())], names=["element", "node", "root", "at", "size"])
+            first = [s[np.lexsort((s, table.value[(s % np.uint64(CELLS)).astype(np.int64)]))[: len(s) + 1 + (-percent * len(s)) // 100]].view(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([len(s) for s in sets], pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=["node", "size", "elements"])
 
-    return texts.select("node", "root", "text").mapInArrow(work, "element long, node long, root long, at int, size int")
+    return texts.select("node", "text").mapInArrow(work, "node long, size int, elements array<long>")
 
 
 def _close_pairs(shared: DataFrame, found: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame | None:
-    """Pairs of sets in different components that may be linked, among the sets that share a signature with a set of another component; None without any such set.
+    """Pairs of sets in different components that may be linked, among the sets that share a lead with a set of another component; None without any such set.
 
     All elements have one order, the frequent last. Two linked sets of m and n elements have (m + n) p / (100 + p) or more in common, so
     the first of these is early in both, and what follows it in either suffices. Sets of a crowd that are not linked differ in
-    elements that few have, and those come first, so a crowd does not make all its pairs.
+    elements that few have, and those come first, so a crowd does not make all its pairs. Prefixes are sent to their components, not texts.
     """
     rows = _members(shared, found)
-    open_ = rows.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig")
-    nodes = store(rows.join(open_, "sig", "left_semi").select("node", "root").distinct(), "open")
+    open_ = rows.groupBy("lead").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("lead")
+    nodes = store(rows.join(open_, "lead", "left_semi").select("node", "root").distinct(), "open")
     if nodes.isEmpty():
         return None
-    near = store(texts.join(nodes, "node"), "open-texts")
-    rows = _prefixes(near, k, percent, _levels(near, k))
+    near = divide(texts, "node", nodes)[0]
+    rows = _prefixes(near, k, percent, _levels(near, k)).join(nodes, "node").select("node", "root", "size", F.posexplode("elements").alias("at", "element"))
     x, y = (rows.select("element", *(F.col(c).alias(f"{c}_{i}") for c in ("node", "root", "at", "size"))) for i in "xy")
     early = (100 + percent) * (F.least(F.col("size_x") - F.col("at_x"), F.col("size_y") - F.col("at_y"))) >= percent * (F.col("size_x") + F.col("size_y"))
     sizes = 100 * F.least("size_x", "size_y") >= percent * F.greatest("size_x", "size_y")
     pairs = x.join(y, "element").where((F.col("node_x") < F.col("node_y")) & (F.col("root_x") != F.col("root_y")) & sizes & early)
     out = store(pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct(), "pairs")
-    discard(nodes, near)
+    discard(nodes)
     return out
